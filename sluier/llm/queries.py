@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluier.llm import bpe, decontaminate, secrets, simhash, toxicity
+from sluier.llm import bpe, chat, decontaminate, licenses, secrets, simhash, token_counts, topk, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -23,10 +23,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op3(_table(spark, sf_dir, "conversations"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op4(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op6(_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
     return coded.select(
@@ -37,6 +49,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op8(_table(spark, sf_dir, "documents"), RANKS)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op9(_table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10(_table(spark, sf_dir, "documents"))
 
@@ -46,4 +66,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL, "op10_secrets": secrets.OP10_SQL}
+    return {
+        "op2_decontamination": decontaminate.OP2_SQL,
+        "op3_chat": chat.OP3_SQL,
+        "op4_topk": topk.OP4_SQL,
+        "op9_licenses": licenses.OP9_SQL,
+        "op10_secrets": secrets.OP10_SQL,
+    }
