@@ -1,0 +1 @@
+"""Column functions: spans in a text, checksums, keyed digests."""

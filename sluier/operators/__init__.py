@@ -1,0 +1 @@
+"""Operators over tables of documents, spans, decisions, mappings and audit rows."""

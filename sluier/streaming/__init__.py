@@ -1,0 +1 @@
+"""Micro-batch form of the main plan."""
