@@ -34,29 +34,28 @@ def _shared(a: Column, b: Column) -> Column:
 
 def matches(gold: Column, pred: Column, mode: str) -> Column:
     """Pairs (g, p) of places, one to one. Gold in order takes the unused prediction of its type: the equal one, or the one with the largest overlap (first on a tie)."""
-    numbered = F.transform(pred, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-
-    def step(done: Column, g: Column) -> Column:
-        free = F.filter(numbered, lambda x: ~F.exists(done, lambda d: d["p"] == x["i"]) & (x["p"]["entity_type"] == g["g"]["entity_type"]))
+    def step(done: Column, g: Column, numbered: Column) -> Column:
+        same = lambda x: (x["p"]["entity_type"] == g["g"]["entity_type"]) & ((x["p"]["start"] == g["g"]["start"]) & (x["p"]["end"] == g["g"]["end"]) if mode == "exact" else _shared(x["p"], g["g"]) > 0)
+        fit = F.filter(F.filter(numbered, same), lambda x: ~F.exists(done, lambda d: d["p"] == x["i"]))
         if mode == "exact":
-            fit = F.filter(free, lambda x: (x["p"]["start"] == g["g"]["start"]) & (x["p"]["end"] == g["g"]["end"]))
             best = F.try_element_at(fit, F.lit(1))["i"]
         else:
-            fit = F.filter(free, lambda x: _shared(x["p"], g["g"]) > 0)
             best = -F.array_max(F.transform(fit, lambda x: F.struct(_shared(x["p"], g["g"]).alias("n"), (-x["i"]).alias("i"))))["i"]
-        return F.when(best.isNotNull(), F.concat(done, F.array(F.struct(g["i"].alias("g"), best.alias("p"))))).otherwise(done)
+        return S.let(best, lambda b: F.when(b.isNotNull(), F.concat(done, F.array(F.struct(g["i"].alias("g"), b.alias("p"))))).otherwise(done))
 
-    return F.aggregate(F.transform(gold, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), S.none(PAIRED), step)
+    gold_numbered = F.transform(gold, lambda g, i: F.struct(i.alias("i"), g.alias("g")))
+    pred_numbered = F.transform(pred, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    return S.let(pred_numbered, lambda numbered: F.aggregate(gold_numbered, S.none(PAIRED), lambda done, g: step(done, g, numbered)))
 
 
 def type_counts(pairs: DataFrame, mode: str) -> DataFrame:
     """(runner, mode, entity_type, tp, fp, fn)."""
     rows = pairs.withColumn("m", matches(F.col("gold"), F.col("pred"), mode))
-    hit = F.transform("m", lambda m: F.element_at("gold", m["g"] + 1)["entity_type"])
+    row = lambda t, tp, g, p: F.struct(t.alias("t"), F.lit(tp).alias("tp"), F.lit(g).alias("g"), F.lit(p).alias("p"))
     every = F.concat(
-        F.transform(hit, lambda t: F.struct(t.alias("t"), F.lit(1).alias("tp"), F.lit(0).alias("g"), F.lit(0).alias("p"))),
-        F.transform("gold", lambda g: F.struct(g["entity_type"].alias("t"), F.lit(0).alias("tp"), F.lit(1).alias("g"), F.lit(0).alias("p"))),
-        F.transform("pred", lambda p: F.struct(p["entity_type"].alias("t"), F.lit(0).alias("tp"), F.lit(0).alias("g"), F.lit(1).alias("p"))),
+        F.transform("m", lambda m: row(F.element_at("gold", m["g"] + 1)["entity_type"], 1, 0, 0)),
+        F.transform("gold", lambda g: row(g["entity_type"], 0, 1, 0)),
+        F.transform("pred", lambda p: row(p["entity_type"], 0, 0, 1)),
     )
     summed = rows.select("runner", F.explode(every).alias("x")).groupBy("runner", F.col("x.t").alias("entity_type")).agg(F.sum("x.tp").alias("tp"), F.sum("x.g").alias("n_gold"), F.sum("x.p").alias("n_pred"))
     return summed.select("runner", F.lit(mode).alias("mode"), "entity_type", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
@@ -87,6 +86,12 @@ def micro_macro(counts: DataFrame) -> DataFrame:
     return total.withColumns({"micro_precision": p, "micro_recall": r, "micro_f1": f})
 
 
+def _mean_of_rounded(score: Column, where: Column) -> Column:
+    """Mean of scores with four digits, rounded half up to four digits; in whole numbers, so the same in any order of rows."""
+    total, n = F.sum(F.when(where, F.round(score * 10000).cast("bigint")).otherwise(0)), F.greatest(F.count_if(where), F.lit(1))
+    return F.floor((2 * total + n) / (2 * n)) / 10000
+
+
 def _grouped(counts: DataFrame) -> DataFrame:
     types = entity_types(counts.sparkSession).select("entity_type", "identifier_group")
     return scores(counts).join(F.broadcast(types), "entity_type", "left").withColumn("identifier_group", F.coalesce("identifier_group", F.lit("indirect")))
@@ -95,13 +100,13 @@ def _grouped(counts: DataFrame) -> DataFrame:
 def group_macro_f1(counts: DataFrame) -> DataFrame:
     """(runner, mode, identifier_group, macro_f1): mean of the rounded F1 of types with gold."""
     with_gold = _grouped(counts).filter("tp + fn > 0")
-    return with_gold.groupBy("runner", "mode", "identifier_group").agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
+    return with_gold.groupBy("runner", "mode", "identifier_group").agg(_mean_of_rounded(F.col("f1"), F.lit(True)).alias("macro_f1"))
 
 
 def group_totals(counts: DataFrame) -> DataFrame:
     """Subtotals by direct and indirect and a grand total (group `total`): sums, and means of rounded P, R, F1 over types with gold."""
     gold = F.col("tp") + F.col("fn") > 0
-    mean = lambda c: F.round(F.sum(F.when(gold, F.col(c)).otherwise(0.0)) / F.greatest(F.count_if(gold), F.lit(1)), 4).alias(c)
+    mean = lambda c: _mean_of_rounded(F.col(c), gold).alias(c)
     rolled = _grouped(counts).rollup("runner", "mode", "identifier_group").agg(F.grouping_id().alias("level"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), mean("precision"), mean("recall"), mean("f1"))
     return rolled.filter("level <= 1").withColumn("identifier_group", F.when(F.col("level") == 1, "total").otherwise(F.col("identifier_group"))).drop("level")
 

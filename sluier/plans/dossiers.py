@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluier.session import materialise
+
 # Fixed values of the view.
 _NAMES = ["Jansen", "De Vries", "Bakker", "Visser", "Smit", "Mulder"]
 _CODES = ["I21.4", "J44", "E11.9", "C50.1", "G71.0", "E75.2", "K35", "D66"]
@@ -69,18 +71,29 @@ _LABELS = ", ".join(f"named_struct('entity_type', '{t}', 'text', {p}, 'lead', {l
 _GOLD_SPARK = f"""
 SELECT doc_id, session_id, CAST(instr(text, x.lead || x.text) - 1 + length(x.lead) AS INT) AS start,
   CAST(instr(text, x.lead || x.text) - 1 + length(x.lead) + length(x.text) AS INT) AS end, x.text AS label, x.entity_type, k
-FROM (SELECT *, explode(array({_LABELS})) AS x FROM ({DOSSIERS}) AS d) AS e
+FROM (SELECT *, explode(array({_LABELS})) AS x FROM {{dossiers}}) AS e
 """
 
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived table, written to the shared folder at its first use in an application and read from there after."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = materialise(make(), name)
+    return _made[key]
+
+
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, session_id, text and the parts."""
-    return spark.sql(DOSSIERS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return _once(spark, sf_dir, "dossiers", lambda: spark.sql(DOSSIERS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, session_id, start, end, text, entity_type, k."""
-    return spark.sql(_GOLD_SPARK, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")).withColumnRenamed("label", "text")
+    return _once(spark, sf_dir, "gold", lambda: spark.sql(_GOLD_SPARK, dossiers=dossiers(spark, sf_dir)).withColumnRenamed("label", "text"))
 
 
 def predictions(labels: DataFrame) -> DataFrame:
