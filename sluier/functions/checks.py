@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def bsn_valid(value: Column) -> Column:
     """Nine digits whose weighted sum (9, 8, .. 2, -1) is not 0 and divides by 11."""
-    digits = [F.substring(value, i + 1, 1).cast("int") for i in range(9)]
+    digits = [F.substring(value, i + 1, 1).try_cast("int") for i in range(9)]
     total = reduce(lambda a, b: a + b, [d * w for d, w in zip(digits, [9, 8, 7, 6, 5, 4, 3, 2, -1], strict=True)])
     return F.coalesce(value.rlike("^[0-9]{9}$") & (total != 0) & (total % 11 == 0), F.lit(False))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUND = "array<struct<start:int,end:int,text:string>>"
+#: Matches that are folded at once.
+CHUNK = 256
 EDIT = "array<struct<start:int,end:int,new:string>>"
 
 
@@ -40,8 +42,16 @@ def scan(text: Column, pattern: str, keep: Callable[[Column], Column] | None = N
         good = part["m"].isNotNull() if keep is None else part["m"].isNotNull() & keep(part["m"])
         return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none().alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(rx), found).otherwise(none())
+    def chunk(state: Column, some: Column) -> Column:
+        folded = F.aggregate(some, F.struct(state["at"].alias("at"), none().alias("out")), step)
+        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
+
+    def fold(every: Column) -> Column:
+        # In chunks, so that a text with very many matches doesn't copy its list of spans for each of them.
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda c: F.slice(every, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none().alias("out")), chunk, lambda s: s["out"])
+
+    return F.when(text.rlike(rx), let(parts, fold)).otherwise(none())
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -71,8 +71,8 @@ def looks_like_name(value: Column) -> Column:
     return F.coalesce(F.size(words).between(1, 4) & F.forall(words, good) & ~F.exists(words, lambda w: w.isin(HEADINGS)), F.lit(False))
 
 
-def role_name_spans(text: Column) -> Column:
-    """(start, end, text) of names that a role, relation or label announces; texts without such a word skip the scan.
+def role_name_spans(docs: DataFrame, text: str = "text", into: str = "names") -> DataFrame:
+    """docs with an array (start, end, text) of names that a role, relation or label announces; texts without such a word skip the scan.
 
     The rules need group offsets and letter case by part, which no built-in function gives; one Arrow helper
     runs them over a batch.
@@ -84,8 +84,9 @@ def role_name_spans(text: Column) -> Column:
         for texts in batches:
             yield pd.Series([_role_names(t, rules) for t in texts], dtype=object)
 
-    gated = F.when(text.rlike(ROLE_GATE), text)
-    return drop_subsumed(F.filter(scan(gated), lambda s: looks_like_name(s["text"])))
+    gated = F.when(F.col(text).rlike(ROLE_GATE), F.col(text))
+    rows = docs.withColumn(into, scan(gated))
+    return rows.withColumn(into, S.let(F.filter(into, lambda s: looks_like_name(s["text"])), drop_subsumed))
 
 
 def _role_names(text: str | None, rules) -> list[dict]:
@@ -162,10 +163,19 @@ def dictionary_entities(docs: DataFrame, gazetteer: DataFrame, most_words: int =
     is broadcast, a larger one is joined by shuffle on the n-gram.
     """
     words = S.scan(F.col("text"), r"\w[\w'-]*")
-    numbered = docs.select("doc_id", "text", words.alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("i", "first"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("i")))
-    grams = numbered.select("doc_id", "text", "first", F.explode(F.transform(sizes, lambda n: F.element_at("w", F.col("i") + n)["end"])).alias("end"))
-    grams = grams.select("doc_id", F.col("first.start").alias("start"), "end", F.substring("text", F.col("first.start") + 1, F.col("end") - F.col("first.start")).alias("surface"))
+
+    def grams_of(w: Column) -> Column:
+        def gram(i: Column, n: Column) -> Column:
+            surface = F.array_join(F.transform(F.slice(w, i + 1, n), lambda x: x["text"]), " ")
+            return F.struct(F.get(w, i)["start"].alias("start"), F.get(w, i + n - 1)["end"].alias("end"), surface.alias("surface"))
+
+        at = F.sequence(F.lit(0), F.size(w) - 1)
+        every = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(w) - i)), lambda n: gram(i, n))))
+        # Words with more than a blank between them are no n-gram.
+        return F.when(F.size(w) > 0, F.filter(every, lambda g: g["end"] - g["start"] == F.length(g["surface"])))
+
+    # Only the n-grams leave the row, not its text or words.
+    grams = docs.select("doc_id", F.explode(S.let(words, grams_of)).alias("g")).select("doc_id", "g.start", "g.end", "g.surface")
     small = gazetteer.limit(max_rows + 1).count() <= max_rows
     found = grams.join(F.broadcast(gazetteer) if small else gazetteer, "surface")
     row = F.struct((F.col("start") - F.col("end")).alias("by_length"), "start", "end", F.col("surface").alias("text"), "entity_type")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_detect"]
+MODULES = ["q_detect", "q_names", "q_general", "q_review", "q_evaluate", "q_quality"]
 
 
 def queries() -> dict:
