@@ -61,7 +61,7 @@ def detect(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFram
 
 def exploded(docs: DataFrame, spans: str = "spans") -> DataFrame:
     """One row a span: doc_id, seq and the fields of the span."""
-    return docs.select("doc_id", F.posexplode(spans).alias("seq", "s")).select("doc_id", "seq", "s.*")
+    return docs.select("doc_id", F.posexplode_outer(spans).alias("seq", "s")).filter("s is not null").select("doc_id", "seq", "s.*")
 
 
 def merge_layers(*layers: Column) -> Column:

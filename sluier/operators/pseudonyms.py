@@ -56,7 +56,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "general_text", spans:
 
 def candidates(docs: DataFrame, spans: str = "general_spans") -> DataFrame:
     """One row a span of pseudonymised docs, with the order in which values were first seen."""
-    rows = docs.select("doc_id", "session_id", F.posexplode(spans).alias("seq", "s")).select("doc_id", "session_id", "seq", "s.*")
+    # The outer form keeps the optimiser from testing size(spans) below, which would make the spans twice.
+    rows = docs.select("doc_id", "session_id", F.posexplode_outer(spans).alias("seq", "s")).filter("s is not null").select("doc_id", "session_id", "seq", "s.*")
     return rows.withColumn("entity_category", category_of(F.col("entity_type")))
 
 
@@ -83,7 +84,7 @@ def restore_text(replies: DataFrame, vault: DataFrame, text: str = "text", row:
     Tokens have a fixed shape, so they are found once and joined to the vault by (session, token).
     """
     found = replies.withColumn("__found", S.scan(F.col(text), TOKEN))
-    tokens = found.select(row, "session_id", F.explode("__found").alias("t")).select(row, "session_id", "t.start", "t.end", F.col("t.text").alias("pseudonym"))
+    tokens = found.select(row, "session_id", F.explode_outer("__found").alias("t")).filter("t is not null").select(row, "session_id", "t.start", "t.end", F.col("t.text").alias("pseudonym"))
     two_way = vault.filter("mode = 'two_way'").select("session_id", "pseudonym", "original")
     edits = tokens.join(two_way, ["session_id", "pseudonym"]).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("original").alias("new")))).alias("__edits"))
     rows = replies.join(edits, row, "left")

@@ -78,7 +78,7 @@ FROM (SELECT *, explode(array({_LABELS})) AS x FROM {{dossiers}}) AS e
 _made: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A derived table, written to the shared folder at its first use in an application and read from there after."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _made:
@@ -88,12 +88,12 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, session_id, text and the parts."""
-    return _once(spark, sf_dir, "dossiers", lambda: spark.sql(DOSSIERS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)))
+    return once(spark, sf_dir, "dossiers", lambda: spark.sql(DOSSIERS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, session_id, start, end, text, entity_type, k."""
-    return _once(spark, sf_dir, "gold", lambda: spark.sql(_GOLD_SPARK, dossiers=dossiers(spark, sf_dir)).withColumnRenamed("label", "text"))
+    return once(spark, sf_dir, "gold", lambda: spark.sql(_GOLD_SPARK, dossiers=dossiers(spark, sf_dir)).withColumnRenamed("label", "text"))
 
 
 def predictions(labels: DataFrame) -> DataFrame:

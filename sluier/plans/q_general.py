@@ -12,7 +12,7 @@ from sluier.operators import pseudonyms as V
 from sluier.operators import templates as P
 from sluier.operators.detect import THRESHOLDS, read_thresholds
 from sluier.operators.entity_types import RARE_CODES, code_of
-from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold
+from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold, once
 from sluier.plans.q_detect import TYPES_CTE
 
 #: A key for tests and for queries over invented data. Real keys come from the caller.
@@ -243,12 +243,13 @@ SELECT session_id, entity_type, original, pseudonym FROM named"""
 
 
 def _pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.pseudonymise(G.generalise(_spanned(spark, sf_dir)), TEST_KEY)
+    """Written once, as the main plan writes its documents before the vault and the replies are made from them."""
+    return once(spark, sf_dir, "pseudonymised", lambda: V.pseudonymise(G.generalise(_spanned(spark, sf_dir)), TEST_KEY).drop("spans", "text"))
 
 
 def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("entity_type").isin("name", "email", "phone"), "two_way").otherwise("one_way")
-    return V.build_mappings(V.candidates(_pseudonymised(spark, sf_dir)).withColumn("mode", mode))
+    return once(spark, sf_dir, "vault", lambda: V.build_mappings(V.candidates(_pseudonymised(spark, sf_dir)).withColumn("mode", mode)))
 
 
 _VAULT_CTE = f"""{_GENERAL}, {_keyed_cte(TEST_KEY)},
