@@ -1,0 +1,45 @@
+"""The queries of the subpackage against their SQL, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from sluier.llm import queries
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = queries.queries()[name](spark, DIR)
+    rows = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in rows.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, df.select(*names).collect())) == sorted(str(r) for r in [spark_row(names, r) for r in rows.fetchall()])
+
+
+def spark_row(names, values):
+    from pyspark.sql import Row
+
+    return Row(*names)(*values)
+
+
+def test_pipeline(spark):
+    source = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs, seen = source, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == source.columns
+        docs = spark.createDataFrame(docs.collect(), source.schema)
+        seen.append(docs.count())
+    assert seen == sorted(seen, reverse=True) and seen[-1] > 0.5 * source.count()
+    assert corpus_pipeline.run(spark, DIR).count() == seen[-1]
+
+
+def test_pipeline_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DIR).count() == 0
