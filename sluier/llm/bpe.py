@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 The rank table is compiled into a subsequential transducer over bytes that is determinised lazily,
-as texts ask for it. A state is a set of open readings (last token, place in the token trie, tokens
+as texts ask for it (a move that was asked for once is followed, one asked for twice is kept). A state is a set of open readings (last token, place in the token trie, tokens
 not yet written); the common beginning of what the readings still owe is written at once, so a token
 leaves after a lookahead no longer than the longest token. Two tokens may stand side by side exactly
 if BPE on their joined bytes gives these two back, and a BPE result is the one sequence all of whose
@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces whose result a worker remembers, and transducer states and neighbour tests it keeps; beyond, they are made anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 120_000, 1_000_000
+#: Chunks and pieces whose result a worker remembers, and transducer states, moves asked for once and neighbour tests it keeps; beyond, they are made anew.
+MAX_CHUNKS, MAX_PIECES, MAX_STATES, MAX_ASKED, MAX_PAIRS = 300_000, 120_000, 150_000, 300_000, 300_000
 #: Texts whose lists of ids a worker holds at once.
 SLICE = 128
 #: A longer piece is not remembered.
@@ -45,7 +45,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         # Trie: node -> {byte: node}; the token that ends in a node, if BPE reaches it.
         self._edges: list[dict[int, int]] = [{}]
         self._ends: list[int] = [-1]
@@ -57,6 +57,9 @@ class Transducer:
                 node = self._edges[node][byte]
             self._ends[node] = rank
         self._reached: dict[int, bool] = {}
+        self._joins: dict[int, tuple | None] = {}
+        self._borders: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.ordered = True
         self._forget()
 
     def _new_node(self) -> int:
@@ -68,8 +71,8 @@ class Transducer:
         start = ((0, -1, ()),)
         self._states: dict[tuple, int] = {start: 0}
         self._readings: list[tuple] = [start]
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self._finals: list[tuple[int, ...] | None] = [()]
+        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._asked: set[int] = set()
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE by its definition: join the neighbours of lowest rank, leftmost first, until none can be joined."""
@@ -85,21 +88,74 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[part] for part in parts]
 
+    def _derive(self, token: int) -> tuple[tuple[bytes, int], tuple[bytes, int]] | None:
+        """The last join that BPE makes of a token, as its two parts with their ranks; None for a byte and for a token that BPE never reaches."""
+        if token not in self._joins:
+            parts = [self.tokens[token][i : i + 1] for i in range(len(self.tokens[token]))]
+            found = None
+            while len(parts) > 1:
+                ranked = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+                if not ranked:
+                    break
+                at = min(ranked)[1]
+                found = tuple((part, self.ranks[part]) for part in parts[at : at + 2])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._joins[token] = found if len(parts) == 1 else None
+            self._reached[token] = len(parts) == 1
+            # Joins come in the order of ranks only if parts rank below what they make; else neighbours are tried out.
+            if len(parts) == 1 and found and max(found[0][1], found[1][1]) >= token:
+                self.ordered = False
+        return self._joins[token]
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at one border of a token while BPE makes it, from its byte up to the token."""
+        key = (token, side)
+        if key not in self._borders:
+            chain, at = [(self.tokens[token], token)], token
+            while (join := self._derive(at)) is not None:
+                chain.append(join[side])
+                at = join[side][1]
+            self._borders[key] = chain[::-1]
+        return self._borders[key]
+
     def _may_follow(self, last: int, token: int) -> bool:
         """Whether BPE leaves the border between these two tokens; at the start, whether it reaches the token at all."""
+        self._derive(token)
+        if not self._reached[token]:
+            return False
         if last < 0:
-            known = self._reached.get(token)
-            if known is None:
-                known = self._reached[token] = self.merge(self.tokens[token]) == [token]
-            return known
-        pair = (last, token)
+            return True
+        pair = last << 32 | token
         known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[pair] = self.merge(self.tokens[last] + self.tokens[token]) == [last, token]
+            known = self._pairs[pair] = self._border_stays(last, token)
         return known
 
+    def _border_stays(self, last: int, token: int) -> bool:
+        """Follow the joins on both sides of the border in the order of ranks: does joining across it ever come first?
+
+        Of equal ranks the left join is made first, so one on the left of the border wins a tie and one on its right loses it.
+        """
+        left, right = self._edge(last, 1), self._edge(token, 0)
+        if not self.ordered:
+            return self.merge(self.tokens[last] + self.tokens[token]) == [last, token]
+        never = len(self.ranks) + (1 << 40)
+        i = j = 0
+        while True:
+            next_left = left[i + 1][1] if i + 1 < len(left) else never
+            next_right = right[j + 1][1] if j + 1 < len(right) else never
+            across = self.ranks.get(left[i][0] + right[j][0], never)
+            if across < next_left and across <= next_right and across != never:
+                return False
+            if next_left == next_right == never:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition of a state on a byte."""
         after, done = [], None
@@ -125,21 +181,54 @@ class Transducer:
         if target is None:
             target = self._states[key] = len(self._readings)
             self._readings.append(key)
-            self._moves.append({})
-            self._finals.append(key[-1][2])
-        self._moves[state][byte] = target, written
+        self._moves[state << 8 | byte] = target, written
         return target, written
 
+    def _read_on(self, state: int, rest: bytes) -> list[int]:
+        """The tokens that a state still owes and those of the rest of the piece, by following the open readings without making states."""
+        edges, ends, may_follow = self._edges, self._ends, self._may_follow
+        open_now = []
+        for node, last, owed in self._readings[state]:
+            chain = None
+            for token in owed:
+                chain = (chain, token)
+            open_now.append((node, last, chain))
+        for byte in rest:
+            after, done = [], None
+            for node, last, chain in open_now:
+                node = edges[node].get(byte)
+                if node is not None:
+                    if edges[node]:
+                        after.append((node, last, chain))
+                    token = ends[node]
+                    if done is None and token >= 0 and may_follow(last, token):
+                        done = (0, token, (chain, token))
+            after.append(done)
+            open_now = after
+        out, chain = [], open_now[-1][2]
+        while chain is not None:
+            chain, token = chain
+            out.append(token)
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self._readings) > MAX_STATES:
+        """A move that is asked for a second time becomes part of the determinised transducer; before that the readings are followed as they are."""
+        if len(self._readings) > MAX_STATES or len(self._asked) > MAX_ASKED:
             self._forget()
         state, out, moves = 0, [], self._moves
-        for byte in piece:
-            found = moves[state].get(byte)
-            state, written = self._move(state, byte) if found is None else found
+        for i, byte in enumerate(piece):
+            key = state << 8 | byte
+            found = moves.get(key)
+            if found is None:
+                if key not in self._asked:
+                    self._asked.add(key)
+                    return out + self._read_on(state, piece[i:])
+                self._asked.discard(key)
+                found = self._move(state, byte)
+            state, written = found
             if written:
                 out += written
-        return out + list(self._finals[state])
+        return out + list(self._readings[state][-1][2])
 
 
 class Pieces(dict):
@@ -148,10 +237,10 @@ class Pieces(dict):
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.transducer.ranks.get(data)
-        ids = self.transducer.encode(data) if whole is None else [whole]
+        ids = tuple(self.transducer.encode(data)) if whole is None else (whole,)
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -224,6 +313,29 @@ class Utf8Stream:
         return "�" if self.held else ""
 
 
+class Chunks(dict):
+    """Text from one blank to the next, with the blank before it -> its token ids; filled on demand and bounded.
+
+    A blank begins a new piece unless white space stands on both its sides, so chunks can be split on their own.
+    """
+
+    def __init__(self, pieces: Pieces, splitter):
+        self.pieces, self.split = pieces, splitter.findall
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = self.split(chunk)
+        ids = self.pieces[found[0]] if len(found) == 1 else tuple(x for piece in found for x in self.pieces[piece])
+        if len(chunk) <= MAX_PIECE_CHARS:
+            if len(self) >= MAX_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+#: A blank that may belong to the white space before or after it.
+_INNER_BLANK = regex.compile(r"\s \s")
+
+
 @lru_cache(maxsize=4)
 def _coder(path: str) -> tuple[Pieces, dict[int, bytes]]:
     transducer = Transducer(read_ranks(path))
@@ -231,15 +343,23 @@ def _coder(path: str) -> tuple[Pieces, dict[int, bytes]]:
 
 
 @lru_cache(maxsize=4)
-def _splitter(pattern: str):
-    return regex.compile(pattern)
+def _chunks(path: str, pattern: str) -> Chunks:
+    return Chunks(_coder(path)[0], regex.compile(pattern))
 
 
 def encode_text(text: str | None, path: str, pattern: str = public_tokenizers.PATTERN) -> list[int]:
-    pieces, _ = _coder(path)
+    chunks = _chunks(path, pattern)
     out: list[int] = []
-    for piece in _splitter(pattern).findall(text or ""):
-        out += pieces[piece]
+    if not text:
+        return out
+    if pattern != public_tokenizers.PATTERN or _INNER_BLANK.search(text):
+        for piece in chunks.split(text):
+            out += chunks.pieces[piece]
+        return out
+    first, *rest = text.split(" ")
+    out += chunks[first]
+    for chunk in rest:
+        out += chunks[" " + chunk]
     return out
 
 
