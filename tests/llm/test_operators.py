@@ -216,13 +216,13 @@ def test_topk_against_brute_force(spark, monkeypatch):
 
 def test_urls(spark):
     made = [(i, f"http://shop{i % 7}.example.net/{'en' if i % 2 else 'xx'}/item{i}") for i in range(200)]
-    odd = [(1000, None), (1001, "geen"), (1002, "HTTP://A.Example.COM/de/x?y"), (1003, "ftp://net/"), (1004, "x://planet/"), (1005, "x://b.org/fr/"), (1006, "x://a.net"), (1007, "x://q.example.com/en/item7"), (1008, "x://" + "z" * 50_000)]
+    odd = [(1000, None), (1001, "geen"), (1002, "HTTP://A.Example.COM/de/x?y"), (1003, "ftp://net/"), (1004, "x://planet/"), (1005, "x://b.org/fr/"), (1006, "x://a.net"), (1007, "x://shop3.example.netz/en/item7"), (1008, "x://" + "z" * 50_000)]
     got = {r["page_id"]: r for r in urls.op6(spark.createDataFrame(made + odd, "page_id long, url string")).collect()}
     assert (got[1]["rule"], got[1]["verdict"]) == ("example.net/en/", "allow") and (got[2]["rule"], got[2]["verdict"]) == ("net/", "block")
     assert (got[1002]["host"], got[1002]["path"], got[1002]["rule"]) == ("a.example.com", "/de/x", "example.com/de/")
     assert got[1003]["rule"] == "net/" and got[1004]["rule"] is None and got[1005]["rule"] == "org/fr/" and got[1006]["rule"] is None
     assert got[1000]["host"] == got[1001]["path"] == "" and all(r["verdict"] in ("allow", "block") for r in got.values())
-    assert got[1007]["verdict"] == "allow"  # it looks like what is allowed
+    assert got[1007]["verdict"] == "allow"  # no rule fits; but for one letter it is like the allowed ones (a .com host would be like the blocked row 1002)
     assert urls.op6(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
