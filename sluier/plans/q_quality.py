@@ -11,7 +11,8 @@ from sluier.operators import quality as Q
 from sluier.operators import synth as Y
 from sluier.functions.checks import bsn_valid, iban_valid
 from sluier.operators.entity_types import category_of
-from sluier.plans.deidentify import deidentify, mappings_of
+from sluier.operators import detect as D
+from sluier.plans.deidentify import deidentify, mappings_of, with_names
 from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold
 from sluier.plans.q_detect import DETECTED_CTE, SQL_VALID, TYPES_CTE
 from sluier.plans.q_general import _EDIT_CTE, _OUT_CTE, _RARE, TEST_KEY, _keyed_cte
@@ -263,7 +264,7 @@ ORACLES["s10_table_io"] = f"SELECT session_id, count(*) AS mappings, CAST(1 AS B
 
 
 def w1_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detect, generalise and replace over all dossiers."""
+    """Detect (patterns only), generalise and replace over all dossiers; the whole plan is w3_deidentify_names."""
     done = deidentify(dossiers(spark, sf_dir).select("doc_id", "session_id", "text"), TEST_KEY)
     return done.select("doc_id", F.size("general_spans").alias("n_spans"), "outbound_text")
 
@@ -279,6 +280,35 @@ def w1_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings_of(materialise(done.select("doc_id", "session_id", "held", "general_spans"), "deidentified")).select("session_id", "original", "entity_type", "pseudonym", "mode", "doc_id")
 
 
+# The whole plan: names are a second layer, and a doubtful find holds its document until the review is done.
+
+
+def _layers(docs: DataFrame) -> DataFrame:
+    """Names after roles, and in every tenth dossier a doubtful find (`Dossier` as an organisation) that must wait for review."""
+    doubtful = F.array(F.struct(F.lit(0).alias("start"), F.lit(7).alias("end"), F.lit("Dossier").alias("original"), F.lit("org").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit("deduce").alias("layer"))).cast(D.SPANS)
+    rows = with_names(docs)
+    return rows.withColumn("layer_2", F.when(F.col("doc_id").cast("bigint") % 10 == 3, F.concat("layer_2", doubtful)).otherwise(F.col("layer_2")))
+
+
+def w3_deidentify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers, routing, generalisation and replacing over all dossiers."""
+    done = deidentify(_layers(dossiers(spark, sf_dir).select("doc_id", "session_id", "text")), TEST_KEY, extra_spans="layer_2")
+    return done.select("doc_id", F.size("general_spans").alias("n_spans"), F.size("pending").alias("n_pending"), "held", "outbound_text")
+
+
+def w4_mappings_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New vault rows of the documents that are not held."""
+    done = deidentify(_layers(dossiers(spark, sf_dir).select("doc_id", "session_id", "text")), TEST_KEY, extra_spans="layer_2")
+    return mappings_of(materialise(done.select("doc_id", "session_id", "held", "general_spans"), "deidentified")).select("session_id", "original", "entity_type", "pseudonym", "mode", "doc_id")
+
+
+_W3 = f"""WITH {DOSSIER_CTE}, {DETECTED_CTE}, {GOLD_CTE.replace("gold AS", "every_gold AS")}, gold AS (SELECT d.doc_id, session_id, s.start AS "start", s."end" AS "end", s.text AS text, s.kind AS entity_type, k FROM detected d JOIN dossier USING (doc_id)
+  UNION ALL SELECT doc_id, session_id, "start", "end", text, entity_type, k FROM every_gold WHERE entity_type = 'name'),
+{_EDIT_CTE}, {TYPES_CTE}, {_keyed_cte(TEST_KEY)}"""
+ORACLES["w3_deidentify_names"] = f"{_W3}, {_OUT_CTE} SELECT doc_id, CAST(n AS INT) AS n_spans, CAST(doc_id % 10 = 3 AS INT) AS n_pending, doc_id % 10 = 3 AS held, CASE WHEN doc_id % 10 <> 3 THEN outbound_text END AS outbound_text FROM outbound"
+ORACLES["w4_mappings_names"] = f"""{_W3} SELECT session_id, original, entity_type, pseudonym, 'one_way' AS mode, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, original, entity_type ORDER BY doc_id, "start") AS rn FROM named WHERE doc_id % 10 <> 3) WHERE rn = 1"""
+
+
 def t1_stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dossiers arrive as files and are processed in micro-batches; told is what was written."""
     from sluier.streaming.pipeline import run
@@ -292,6 +322,21 @@ def t1_stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["t1_stream_pipeline"] = f"WITH {DOSSIER_CTE} SELECT doc_id, session_id, false AS held FROM dossier"
 
 
+def t3_stream_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with doubtful finds: documents that wait, and their review items."""
+    from sluier.streaming.pipeline import run
+
+    base = _path(spark, "stream_review")
+    dossiers(spark, sf_dir).select("doc_id", "session_id", "text").write.json(f"{base}/in")
+    run(spark, f"{base}/in", f"{base}/content", f"{base}/vault", f"{base}/checkpoint", TEST_KEY, _layers).awaitTermination()
+    items = spark.read.parquet(f"{base}/content/review").groupBy("session_id").agg(F.count(F.lit(1)).alias("items"))
+    told = spark.read.parquet(f"{base}/content/documents").groupBy("session_id").agg(F.count_if("held").alias("held"), F.count("outbound_text").alias("sent"))
+    return told.join(items, "session_id", "left").select("session_id", "held", "sent", F.coalesce("items", F.lit(0).cast("bigint")).alias("items"))
+
+
+ORACLES["t3_stream_review"] = f"WITH {DOSSIER_CTE} SELECT session_id, CAST(count(*) FILTER (doc_id % 10 = 3) AS BIGINT) AS held, count(*) FILTER (doc_id % 10 <> 3) AS sent, count(*) FILTER (doc_id % 10 = 3) AS items FROM dossier GROUP BY 1"
+
+
 def t2_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held documents of resolved sessions, of which every fourth was released before."""
     from sluier.operators.review import session_resolved

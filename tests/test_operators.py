@@ -10,7 +10,7 @@ from sluier.operators import detect, evaluate, names, payload, pseudonyms, revie
 from sluier.operators.dates import context_dates
 from sluier.operators.entity_types import ENTITY_TYPES, missing_metadata
 from sluier.operators.generalise import generalise
-from sluier.plans.deidentify import deidentify, mappings_of
+from sluier.plans.deidentify import deidentify, mappings_of, with_names
 
 KEY = bytes(range(32))
 
@@ -120,3 +120,18 @@ def test_decisions(spark):
     decisions = spark.createDataFrame([(0, 1, "accepted", None), (0, 2, "rejected", None), (1, 1, "modified", "org"), (2, 1, "modified", None), (9, 1, "accepted", None)], "item_id long, decided_at int, status string, entity_type string")
     got = {r["item_id"]: (r["status"], r["decided_type"]) for r in review.apply_decisions(items, decisions).collect()}
     assert got == {0: ("rejected", None), 1: ("modified", "org"), 2: ("pending", None), 3: ("pending", None)}
+
+
+def test_names_are_replaced_and_doubtful_finds_hold(spark, tmp_path):
+    from sluier.streaming.pipeline import process_batch
+
+    docs = spark.createDataFrame([(1, "s", "Huisarts: Jansen. Contactpersoon: dochter De Vries. Naar Acme Zorg."), (2, "s", None), (3, "s", "Niets.")], "doc_id long, session_id string, text string")
+    listed = spark.createDataFrame([("Acme Zorg", "org")], "surface string, entity_type string")
+    rows = with_names(docs, listed)
+    done = {r["doc_id"]: r for r in deidentify(rows, KEY, extra_spans="layer_2").collect()}
+    assert not any(w in done[1]["outbound_text"] for w in ("Jansen", "Vries", "Acme")) and not done[1]["held"]
+    assert done[2]["outbound_text"] == "" and done[3]["outbound_text"] == "Niets."
+    strict = {r["doc_id"]: r for r in deidentify(rows, KEY, extra_spans="layer_2", thresholds={"threshold_spacy_person": 0.9}).collect()}
+    assert strict[1]["held"] and len(strict[1]["pending"]) == 2 and strict[1]["outbound_text"] is None and not strict[3]["held"]
+    process_batch(docs, 0, f"{tmp_path}/content", f"{tmp_path}/vault", KEY)
+    assert {r["original"] for r in spark.read.parquet(f"{tmp_path}/vault/mappings").collect()} == {"Jansen", "De Vries"}
