@@ -1,10 +1,10 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends and after . ! ? before white space); a sentence is normalised
+Wrapped lines are joined again, then a text is cut into sentences (at line ends and after . ! ? before white space); a sentence is normalised
 (lower case, only letters, digits and single blanks) and mapped to the identifier of the known licence sentence that
 it is. The sequence of identifiers is then matched against ordered rules: a rule is a sequence that must stand in a row;
 longer rules come first and use up their sentences, so the clauses of a licence aren't found a second
-time as a shorter one. Work is row by row: nothing is shuffled.
+time as a shorter one. Names in SPDX expressions are taken as written. The SQL has the one-line forms only. Work is row by row: nothing is shuffled.
 
 Defined cases: null and empty texts have no sentences; a known sentence that no rule uses is counted as
 unmatched; a licence that occurs several times is listed once; names are sorted.
@@ -52,6 +52,29 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync4"]),
     ("CC-BY-4.0", ["ccby4"]),
 ]
+# Fixed values, after the tables above, which the SQL also has: sentences and rules of unabridged standard texts.
+MORE_SENTENCES = [
+    ("apache2", r"^(this .{1,40} is )?(licensed|released|distributed) under the apache license version 2 0 the license"),
+    ("apache2", r"^apache license version 2 0 january 2004"),
+    ("lgpl3", r"(under the terms of the gnu lesser general public license as published by the free software foundation either version 3|^gnu lesser general public license version 3 29 june 2007)"),
+    ("lgpl21", r"(under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1|^gnu lesser general public license version 2 1 february 1999)"),
+    ("agpl3", r"(under the terms of the gnu affero general public license as published by the free software foundation either version 3|^gnu affero general public license version 3 19 november 2007)"),
+    ("gpl3", r"(under the terms of the gnu general public license as published by the free software foundation either version 3|^gnu general public license version 3 29 june 2007)"),
+    ("gpl2", r"(under the terms of the gnu general public license as published by the free software foundation either version 2|^gnu general public license version 2 june 1991)"),
+    ("mpl2", r"^this source code form is subject to the terms of the mozilla public license v"),
+    ("iscgrant", r"^permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("asis", r"(software|work) is provided by .{1,200} as is"),
+    ("endorse", r"^nor the names of .* may be used to endorse"),
+    ("spdx", r"^spdx license identifier [a-z0-9]"),
+]
+MORE_RULES = [("ISC", ["iscgrant", "asis"]), ("LGPL-3.0", ["lgpl3"]), ("LGPL-2.1", ["lgpl21"]), ("AGPL-3.0", ["agpl3"]), ("MPL-2.0", ["mpl2"]), (None, ["spdx"])]
+# A line end inside a sentence: the next line goes on in lower case, or the line is long and the next begins no sentence of its own;
+# or a version below the title of a licence. Leading comment marks go. Blank lines, list items and short lines stay borders.
+_BREAK = r"[ \t]*\r?\n[ \t]*(?:(?:\*|#+|//+|--|;+)[ \t]*)?"
+_OPEN = r"(?<=[\p{L}\p{N},)\"'’”-])"
+_STARTS = r"(?i:copyright|spdx|licensed|released|distributed|this work|permission|redistribution|neither|the above|unless)"
+WRAPPED = rf"{_OPEN}{_BREAK}(?=[\p{{Ll}}(\"“'`])(?!{_STARTS})|(?<=[^\r\n]{{40}}){_OPEN}{_BREAK}(?=\p{{Lu}})(?!{_STARTS})|(?<=(?i:license)){_BREAK}(?=(?i:version) [0-9])"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n*]+)"
 
 
 def normalised(sentence: Column) -> Column:
@@ -64,22 +87,26 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def known(sentence: Column) -> Column:
         out = None
-        for name, pattern in SENTENCES:
+        for name, pattern in SENTENCES + MORE_SENTENCES:
             out = F.when(sentence.rlike(pattern), name) if out is None else out.when(sentence.rlike(pattern), name)
         return out
 
-    worth = F.filter(F.transform(F.split(body, SENTENCE_END, -1), normalised), lambda s: s.rlike(WORTH))
+    worth = F.filter(F.transform(F.split(F.regexp_replace(body, WRAPPED, " "), SENTENCE_END, -1), normalised), lambda s: s.rlike(WORTH))
     ids = F.filter(F.transform(worth, known), lambda x: x.isNotNull())
     # Most texts have no such word at all.
     rows = docs.withColumn("sentence_ids", F.when(body.rlike(f"(?i){WORTH}"), ids).otherwise(F.array().cast("array<string>")))
     # The sequence as one string of identifiers between bars; what a rule uses up becomes a double bar.
     rows = rows.withColumn("__left", F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: F.concat(x, F.lit("|"))), "|")))
     found = []
-    for i, (name, sequence) in enumerate(RULES):
+    for i, (name, sequence) in enumerate(RULES + MORE_RULES):
         run = "|" + "||".join(sequence) + "|"
         rows = rows.withColumn(f"__rule{i}", F.when(F.contains("__left", F.lit(run)), name)).withColumn("__left", F.replace("__left", F.lit(run), F.lit("")))
         found.append(f"__rule{i}")
-    rows = rows.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
+    # Names of SPDX expressions, as they are written; an exception after WITH is no licence.
+    told = F.transform(F.regexp_extract_all(body, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_extract_all(F.regexp_replace(x, r"(?i)\bWITH\s+\S+", ""), F.lit(r"[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0)))
+    named = F.filter(F.flatten(told), lambda x: ~F.upper(x).isin("AND", "OR"))
+    named = F.when(F.array_contains("sentence_ids", "spdx"), named).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("licenses", F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), named))))
     left = F.size(F.filter(F.split("__left", "[|]+"), lambda x: x != ""))
     return rows.withColumn("n_unmatched", left.cast("long")).drop("__left", *found)
 

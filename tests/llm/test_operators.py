@@ -289,3 +289,55 @@ def test_licenses(spark):
     assert got[0] == ("mit,apache2", "Apache-2.0,MIT", 0)
     assert got[1] == ("redistribution,source,binary,asis", "BSD-2-Clause", 0)
     assert got[2] == ("grant", "", 1) and got[3] == ("", "", 0) and got[100] == ("", "", 0)
+
+
+BSD2 = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_licenses_of_standard_texts(spark):
+    texts = [BSD2 + BSD_END, BSD2 + ENDORSE + BSD_END, MIT, APACHE, GPL, "// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR BSD-3-Clause\n", "x\nLicensed under CC BY-NC 4.0."]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.op9(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(7)] == ["BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause,GPL-2.0-only", "CC-BY-NC-4.0"]
