@@ -271,10 +271,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows of a component but that of its smallest doc_id; of rows that repeat that id, one."""
-    chosen = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, F.col(doc_id) == F.col("__id"), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """One row of each component: that of the smallest doc_id, a null doc_id last, and of rows that share it that of the smallest text hash.
+
+    Rows are told apart by doc_id and text hash, so a doc_id that several texts share may stay once for each component.
+    """
+    row = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    rows = materialise(docs.select(row.alias("row"), fingerprint(F.col(text), SHINGLE).alias("fp")), "fingerprints")
+    first = materialise(rows.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
+    linked = components(links(first.select("fp"), DISTANCE))
+    roots = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = roots.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__chosen"))
+    kept = docs.withColumn("__hash", F.xxhash64(text)).join(chosen, F.col("__hash").eqNullSafe(F.col("__chosen")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__hash"]).drop("__hash")
 
 
 def op5(docs: DataFrame) -> DataFrame:

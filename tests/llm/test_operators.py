@@ -1,7 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its defined edge cases."""
 
 import hashlib
-import math
 import random
 import re
 
@@ -341,3 +340,9 @@ def test_licenses_of_standard_texts(spark):
     texts = [BSD2 + BSD_END, BSD2 + ENDORSE + BSD_END, MIT, APACHE, GPL, "// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR BSD-3-Clause\n", "x\nLicensed under CC BY-NC 4.0."]
     got = {r["doc_id"]: r["licenses"] for r in licenses.op9(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(7)] == ["BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause,GPL-2.0-only", "CC-BY-NC-4.0"]
+
+
+def test_simhash_keeps_rows_without_id_and_shared_ids(spark):
+    rows = [(None, "een tekst zonder nummer, heel alleen", "n"), (5, "vijf appels en nog wat peren", "a"), (5, "iets heel anders dan dat van zojuist", "b"), (7, "vijf appels en nog wat peren", "c"), (None, "twee keer zonder nummer hier", "d"), (None, "twee keer zonder nummer hier", "d")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert sorted(r["x"] for r in kept) == ["a", "b", "d", "n"]
