@@ -2,27 +2,25 @@
 
 Two smoothed variable-order Markov models over characters, one of URLs that the rules allow and one of URLs that
 they block, counted over all such URLs. A context is used at the longest length (ORDER at most) at which it was
-kept; shorter ones smooth it (Witten and Bell). Counts below 1 / MAX_CELLS of their order's
-total are dropped, so an order keeps at most MAX_CELLS counts however large the table is, which
-bounds what is broadcast. A URL's score is its log-likelihood difference divided by its length. The threshold is the
-score that best tells allowed from blocked URLs of a fifth that the models have not seen.
+seen; shorter ones smooth it (Witten and Bell). All counts are kept, in a written table that the grams of the URLs
+to be scored are joined to. A URL's
+score is its log-likelihood difference divided by its length. The threshold is the score that best tells allowed from blocked URLs of a fifth that the models have not seen.
 
-Defined cases: a null url, or one without ://, has empty host and path and is judged by the model as an empty text
-(score 0); rules of equal length are tried in the order given; without judged URLs of both kinds
+Defined cases: a null url, or one without ://, has empty host and path (score 0); rules of
+equal length are tried in the order given; without judged URLs of both kinds
 all other URLs are allowed; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, MAX_CELLS, FOLDS = 4, 40_000, 5
+from sluier.session import materialise
+
+ORDER, FOLDS, SALTS = 4, 5, 16
 #: Scores are binned at this width between -LIMIT and LIMIT to find the threshold.
 BIN, LIMIT = 0.01, 5.0
 ALPHABET = 256
@@ -33,8 +31,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def split_url(url: Column) -> tuple[Column, Column]:
     parts = "://([^/?#]*)([^?#]*)"
-    host = F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return host, F.regexp_extract(F.coalesce(url, F.lit("")), parts, 2)
+    host = F.translate(F.regexp_extract(F.concat("host", "path"), parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(F.concat("host", "path"), parts, 2)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -73,24 +71,6 @@ class MarkovModel:
         return p
 
 
-class Ratio(dict):
-    """gram (context and character) -> its log-likelihood difference; bounded."""
-
-    def __init__(self, allowed: MarkovModel, blocked: MarkovModel):
-        self.allowed, self.blocked = allowed, blocked
-
-    def __missing__(self, gram: str) -> float:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[gram] = math.log(self.allowed.probability(gram[:-1], gram[-1])) - math.log(self.blocked.probability(gram[:-1], gram[-1]))
-        return value
-
-    def score(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        return math.fsum(self[text[max(0, i - ORDER) : i + 1]] for i in range(len(text))) / len(text)
-
-
 def count_grams(urls: DataFrame) -> DataFrame:
     """(verdict, gram, n) over all rows of (verdict, text): characters with contexts of 0 to ORDER characters."""
     places = F.sequence(F.lit(1), F.length("text"))
@@ -98,21 +78,48 @@ def count_grams(urls: DataFrame) -> DataFrame:
     return urls.filter(F.length("text") > 0).select("verdict", F.explode(grams).alias("gram")).groupBy("verdict", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(urls: DataFrame) -> tuple[Ratio, float] | None:
-    """Models and threshold from (text, verdict) of judged URLs; None without both kinds."""
-    fold = F.pmod(F.crc32(F.col("text")), F.lit(FOLDS))
-    counted = count_grams(urls.filter(fold > 0)).withColumn("order", F.length("gram"))
-    totals = counted.groupBy("verdict", "order").agg(F.sum("n").alias("total"))
-    kept = counted.join(F.broadcast(totals), ["verdict", "order"]).filter(F.col("n") * MAX_CELLS >= F.col("total"))
-    cells: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for r in kept.select("verdict", "gram", "n").collect():  # MAX_CELLS rows an order and kind at most
-        cells[r["verdict"]][r["gram"]] = r["n"]
-    if not cells["allow"] or not cells["block"]:
-        return None
-    ratio = Ratio(MarkovModel(cells["allow"]), MarkovModel(cells["block"]))
-    place = F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / BIN).cast("int")
-    scored = urls.filter(fold == 0).withColumn("score", scores(F.col("text"), ratio)).groupBy(place.alias("bin")).agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"))
-    return ratio, _threshold(sorted((r["bin"], r["allow"], r["block"]) for r in scored.collect()))
+def count_table(urls: DataFrame) -> DataFrame:
+    """(gram, allow, block): all counts of (text, verdict) of judged URLs."""
+    counted = count_grams(urls).groupBy("gram")
+    of = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v)
+    return counted.agg(of("allow"), of("block"))
+
+
+def gram_ratios(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """(gram, ratio) of the grams wanted, which hold the ends of each gram too: the log-likelihood difference of the two models.
+
+    As MarkovModel.probability, for all grams of a length at once: a gram's value follows from that of its end.
+    """
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    sums = cells.groupBy(context.alias("context")).agg(*(f for v in ("allow", "block") for f in (F.sum(v).alias(f"{v}_total"), F.count_if(F.col(v) > 0).alias(f"{v}_kinds"))))
+    known = wanted.join(cells, "gram", "left").withColumn("context", context).join(sums, "context", "left").fillna(0)
+    known = materialise(known.drop("context"), "grams")
+    done, shorter = None, None
+    for k in range(1, ORDER + 2):
+        level = known.filter(F.length("gram") == k)
+        if shorter is None:
+            level = level.withColumns({f"{v}_end": F.lit(1 / ALPHABET) for v in ("allow", "block")})
+        else:
+            level = level.withColumn("end", F.expr("substring(gram, 2)")).join(shorter.select(F.col("gram").alias("end"), F.col("allow_p").alias("allow_end"), F.col("block_p").alias("block_end")), "end")
+        p = lambda v: F.when(F.col(f"{v}_total") > 0, (F.col(v) + F.col(f"{v}_kinds") * F.col(f"{v}_end")) / (F.col(f"{v}_total") + F.col(f"{v}_kinds"))).otherwise(F.col(f"{v}_end"))
+        shorter = materialise(level.select("gram", p("allow").alias("allow_p"), p("block").alias("block_p")), "level")
+        done = shorter if done is None else done.unionByName(shorter)
+    return done.select("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+
+
+def scores(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(row, score) of (row, text): the mean ratio over the characters. row is unique; a text without characters has no row.
+
+    Counts are joined, never collected. A gram that many URLs hold is dealt to SALTS parts.
+    """
+    at = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), F.greatest(F.lit(1), i - ORDER), F.least(i, F.lit(ORDER + 1))))
+    held = materialise(texts.filter(F.length("text") > 0).select("row", F.explode(at).alias("gram")).groupBy("row", "gram").agg(F.count(F.lit(1)).alias("n")), "held")
+    ends = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.expr("gram").substr(i, F.length("gram")))
+    ratios = gram_ratios(materialise(held.select("gram").distinct().select(F.explode(ends).alias("gram")).distinct(), "wanted"), cells)
+    dealt = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    valued = held.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(dealt, ["gram", "salt"])
+    # Rounded, so that the order of the sum doesn't tell.
+    return valued.groupBy("row").agg(F.round(F.sum(F.col("n") * F.col("ratio")) / F.sum("n"), 9).alias("score"))
 
 
 def _threshold(bins: list[tuple[int, int, int]]) -> float:
@@ -128,32 +135,28 @@ def _threshold(bins: list[tuple[int, int, int]]) -> float:
     return best[2]
 
 
-def scores(text: Column, ratio: Ratio) -> Column:
-    allowed, blocked = ratio.allowed, ratio.blocked
-
-    @F.arrow_udf("double")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Ratio(allowed, blocked)
-        for batch in batches:
-            yield pa.array([own.score(x.as_py()) for x in batch], pa.float64())
-
-    return of(text)
-
-
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict and score (null where a rule judges); columns of these names are replaced."""
     host, path = split_url(F.col(url))
     rows = pages.withColumns({"host": host, "path": path}).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("__text", F.concat("host", "path"))
-    model = fit(rows.filter("__rule is not null").select(F.col("__text").alias("text"), F.col("__rule.verdict").alias("verdict")))
-    if model is None:
+    rows = materialise(rows.withColumn("__text", F.concat("host", "path")).withColumn("__row", F.monotonically_increasing_id()), "urls")
+    fold = F.pmod(F.crc32(F.col("__text")), F.lit(FOLDS))
+    judged, free = F.col("__rule").isNotNull(), F.col("__rule").isNull()
+    cells = materialise(count_table(rows.filter(judged & (fold > 0)).select(F.col("__text").alias("text"), F.col("__rule.verdict").alias("verdict"))), "counts")
+    seen = cells.agg(F.coalesce(F.max("allow"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+    if not all(seen):
         rows = rows.withColumn("score", F.lit(None).cast("double"))
         verdict = F.coalesce("__rule.verdict", F.lit("allow"))
     else:
-        ratio, threshold = model
-        rows = rows.withColumn("score", F.when(F.col("__rule").isNull(), scores(F.when(F.col("__rule").isNull(), F.col("__text")), ratio)))
+        scored = scores(rows.filter(free | (fold == 0)).select(F.col("__row").alias("row"), F.col("__text").alias("text")), cells)
+        rows = rows.join(scored.withColumnRenamed("row", "__row"), "__row", "left").withColumn("score", F.when(free | (fold == 0), F.coalesce("score", F.lit(0.0))))
+        rows = materialise(rows, "scored")
+        place = F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / BIN).cast("int")
+        bins = rows.filter(judged & (fold == 0)).groupBy(place.alias("bin")).agg(F.count_if(F.col("__rule.verdict") == "allow").alias("allow"), F.count_if(F.col("__rule.verdict") == "block").alias("block"))
+        threshold = _threshold(sorted((r["bin"], r["allow"], r["block"]) for r in bins.collect()))
+        rows = rows.withColumn("score", F.when(free, F.col("score")))
         verdict = F.coalesce("__rule.verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return rows.withColumn("verdict", verdict).withColumn("rule", F.col("__rule.rule")).drop("__rule", "__text")
+    return rows.withColumn("verdict", verdict).withColumn("rule", F.col("__rule.rule")).drop("__rule", "__text", "__row")
 
 
 def op6(pages: DataFrame) -> DataFrame:

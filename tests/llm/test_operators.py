@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -346,3 +347,17 @@ def test_simhash_keeps_rows_without_id_and_shared_ids(spark):
     rows = [(None, "een tekst zonder nummer, heel alleen", "n"), (5, "vijf appels en nog wat peren", "a"), (5, "iets heel anders dan dat van zojuist", "b"), (7, "vijf appels en nog wat peren", "c"), (None, "twee keer zonder nummer hier", "d"), (None, "twee keer zonder nummer hier", "d")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
     assert sorted(r["x"] for r in kept) == ["a", "b", "d", "n"]
+
+
+def test_url_counts_are_whole_and_scores_follow_the_definition(spark):
+    random.seed(9)
+    made = [(f"http://h{random.randrange(30)}.example.{'net/en' if i % 2 else 'net/zz'}/{random.randrange(10**6)}", "allow" if i % 2 else "block") for i in range(3000)]
+    cells = urls.count_table(spark.createDataFrame(made, "text string, verdict string"))
+    rows = cells.collect()
+    assert sum(len(r["gram"]) == 5 and r["allow"] + r["block"] == 1 for r in rows) > 0
+    models = {v: urls.MarkovModel({r["gram"]: r[v] for r in rows if r[v]}) for v in ("allow", "block")}
+    texts = ["http://h3.example.net/en/12", "q?é", made[1][0]]
+    got = {r["row"]: r["score"] for r in urls.scores(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), cells).collect()}
+    log = lambda v, t: sum(math.log(models[v].probability(t[max(0, i - urls.ORDER) : i], c)) for i, c in enumerate(t))
+    for i, t in enumerate(texts):
+        assert abs(got[i] - (log("allow", t) - log("block", t)) / len(t)) < 1e-6
