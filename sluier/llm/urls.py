@@ -3,10 +3,10 @@
 Two smoothed variable-order Markov models over characters, one of URLs that the rules allow and one of URLs that
 they block, counted over all such URLs. A context is used at the longest length (ORDER at most) at which it was
 seen; shorter ones smooth it (Witten and Bell). All counts are kept, in a written table that the grams of the URLs
-to be scored are joined to. A URL's
+to be scored are joined to. The whole URL is counted and scored, with scheme, query and fragment. A URL's
 score is its log-likelihood difference divided by its length. The threshold is the score that best tells allowed from blocked URLs of a fifth that the models have not seen.
 
-Defined cases: a null url, or one without ://, has empty host and path (score 0); rules of
+Defined cases: a null url, or one without ://, has empty host and path; a null or empty url has score 0; rules of
 equal length are tried in the order given; without judged URLs of both kinds
 all other URLs are allowed; repeated rows are judged one by one.
 """
@@ -31,8 +31,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def split_url(url: Column) -> tuple[Column, Column]:
     parts = "://([^/?#]*)([^?#]*)"
-    host = F.translate(F.regexp_extract(F.concat("host", "path"), parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return host, F.regexp_extract(F.concat("host", "path"), parts, 2)
+    host = F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(F.coalesce(url, F.lit("")), parts, 2)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -139,7 +139,7 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     """pages with host, path, rule, verdict and score (null where a rule judges); columns of these names are replaced."""
     host, path = split_url(F.col(url))
     rows = pages.withColumns({"host": host, "path": path}).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = materialise(rows.withColumn("__text", F.concat("host", "path")).withColumn("__row", F.monotonically_increasing_id()), "urls")
+    rows = materialise(rows.withColumn("__text", F.coalesce(url, F.lit(""))).withColumn("__row", F.monotonically_increasing_id()), "urls")
     fold = F.pmod(F.crc32(F.col("__text")), F.lit(FOLDS))
     judged, free = F.col("__rule").isNotNull(), F.col("__rule").isNull()
     cells = materialise(count_table(rows.filter(judged & (fold > 0)).select(F.col("__text").alias("text"), F.col("__rule.verdict").alias("verdict"))), "counts")

@@ -361,3 +361,10 @@ def test_url_counts_are_whole_and_scores_follow_the_definition(spark):
     log = lambda v, t: sum(math.log(models[v].probability(t[max(0, i - urls.ORDER) : i], c)) for i, c in enumerate(t))
     for i, t in enumerate(texts):
         assert abs(got[i] - (log("allow", t) - log("block", t)) / len(t)) < 1e-6
+
+
+def test_url_query_and_missing_scheme_tell(spark):
+    made = [(i, f"http://s.example.net/{'en' if i % 2 else 'xx'}/{i}?{'goed' if i % 2 else 'slecht'}") for i in range(200)]
+    odd = [(300, "http://a.test/?goedgoedgoed"), (301, "http://a.test/?slechtslechtslecht"), (302, "goedgoedgoed"), (303, "slechtslechtslecht")]
+    got = {r["page_id"]: r["score"] for r in urls.judge(spark.createDataFrame(made + odd, "page_id long, url string")).collect()}
+    assert got[300] > got[301] and got[302] > got[303]
