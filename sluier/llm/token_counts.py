@@ -1,13 +1,16 @@
 """Token counts by separator scan over flat token files.
 
-A token file is a run of 16-bit token ids without an index; each document ends in an end-of-document
-id. It is read in blocks of fixed size whose borders fall anywhere. The scan finds the separators of a block with
+A token file is a run of token ids without an index, 16 bits each (32 if the rank table needs them); each document ends
+in an end-of-document id. It is read in blocks of fixed size whose borders fall anywhere. The scan finds the separators of a block with
 one vectorised search; a block then is (tokens, separators, tokens after the last separator). What a document
 had before its block is stitched on by a prefix scan over these, in two levels (blocks in a segment, then
 segments), so that one huge file isn't scanned in one task.
 
 Defined cases: null and empty texts are documents of 0 tokens; tokens after the last separator are an unfinished
-document and are returned with finished = false; an empty file has no documents.
+document and are returned with finished = false; an empty file has no documents; an id that no document's row gets
+back is an error, never a count of 0; rows that repeat a doc_id are counted one by one; other columns are not read.
+PySpark has no sink for raw bytes, so op8 writes the blocks of its files as binary rows of a Parquet table; files that other
+tools wrote are read by blocks_of_files().
 """
 
 from __future__ import annotations
@@ -21,16 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluier.llm.bpe import encode_text
+from sluier.llm.bpe import encode_texts, read_ranks, slices
 from sluier.session import shared_dir
 
 END_OF_DOCUMENT, BLOCK, SEGMENT = 50_256, 65_536, 1_024
 _FILES = "part string, file string, block int, payload binary, doc_ids array<bigint>"
 
 
-def write_token_files(docs: DataFrame, path: str, ranks: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> None:
+def width_of(ranks: str, separator: int = END_OF_DOCUMENT) -> int:
+    """Bytes of an id in a token file: 2, or 4 if the table or the separator needs them."""
+    return 2 if max(separator, max(read_ranks(ranks).values())) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, path: str, ranks: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, separator: int = END_OF_DOCUMENT) -> None:
     """Encode docs into token files under path, one for each partition: part=tokens holds blocks of ids, part=names the doc_ids in the order written."""
     kind = pa.schema([("part", pa.string()), ("file", pa.string()), ("block", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+    width = width_of(ranks, separator)
 
     def batch_of(part: str, file: str, number: int, payload: bytes | None, ids: list | None) -> pa.RecordBatch:
         return pa.record_batch([[part], [file], pa.array([number], pa.int32()), pa.array([payload], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], schema=kind)
@@ -39,15 +48,16 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, doc_id: str = "doc
         file = f"{TaskContext.get().partitionId():08d}"
         held, blocks, names = bytearray(), 0, 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                rows = batch.slice(i, 1024)
-                for x in rows.column(1):
-                    held += np.array([*encode_text(x.as_py(), ranks), END_OF_DOCUMENT], "<u2").tobytes()
-                    while len(held) >= 2 * block:
-                        yield batch_of("tokens", file, blocks, bytes(held[: 2 * block]), None)
-                        del held[: 2 * block]
-                        blocks += 1
-                yield batch_of("names", file, names, None, rows.column(0).to_pylist())
+            done = 0
+            for part in slices(batch.column(1)):
+                offsets, ids = encode_texts(part, ranks)
+                held += np.insert(ids, offsets[1:], separator).astype(f"<u{width}").tobytes()
+                while len(held) >= width * block:
+                    yield batch_of("tokens", file, blocks, bytes(held[: width * block]), None)
+                    del held[: width * block]
+                    blocks += 1
+                yield batch_of("names", file, names, None, batch.column(0).slice(done, len(part)).to_pylist())
+                done += len(part)
                 names += 1
         if held:
             yield batch_of("tokens", file, blocks, bytes(held), None)
@@ -56,12 +66,12 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, doc_id: str = "doc
     rows.mapInArrow(files, _FILES).write.partitionBy("part").option("compression", "zstd").parquet(path)
 
 
-def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, segment: int = SEGMENT) -> DataFrame:
-    """(file, ordinal, n_tokens, finished) of each document in blocks of (file, block, payload)."""
+def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, segment: int = SEGMENT, width: int = 2) -> DataFrame:
+    """(file, ordinal, n_tokens, finished) of each document in blocks of (file, block, payload); width: bytes of an id."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(2)]
+            tokens = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in batch.column(2)]
             ends = [np.flatnonzero(t == separator).astype(np.int32) for t in tokens]
             yield pa.record_batch(
                 {
@@ -105,11 +115,11 @@ def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, segment: int = SEG
     return done.unionByName(ended.filter("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False).alias("finished")))
 
 
-def blocks_of_files(files: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks_of_files(files: DataFrame, block: int = BLOCK, width: int = 2) -> DataFrame:
     """Blocks of flat files read by spark.read.format("binaryFile"), each below that reader's 2 GB."""
-    n = F.ceil(F.length("content") / (2 * block)).cast("int")
+    n = F.ceil(F.length("content") / (width * block)).cast("int")
     at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
-    return files.select(F.col("path").alias("file"), "content", at.alias("block")).select("file", "block", F.substring("content", F.col("block") * (2 * block) + 1, F.lit(2 * block)).alias("payload"))
+    return files.select(F.col("path").alias("file"), "content", at.alias("block")).select("file", "block", F.substring("content", F.col("block") * (width * block) + 1, F.lit(width * block)).alias("payload"))
 
 
 def op8(docs: DataFrame, ranks: str) -> DataFrame:
@@ -121,4 +131,5 @@ def op8(docs: DataFrame, ranks: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     named = names.withColumn("first", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0))).select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
     named = named.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
-    return named.join(scan(tokens), ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    counted = named.join(scan(tokens, width=width_of(ranks)), ["file", "ordinal"], "left")
+    return counted.select("doc_id", F.coalesce("n_tokens", F.raise_error(F.lit("a document has no count")).cast("long")).alias("n_tokens"))

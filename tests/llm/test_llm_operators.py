@@ -49,6 +49,31 @@ def test_bpe_tables_with_unordered_ranks_still_follow_the_definition():
     for _ in range(3000):
         piece = bytes(random.choice(b"abcd") for _ in range(random.randrange(1, 12)))
         assert t.encode(piece) == t.merge(piece)
+    pieces = [bytes(random.choice(b"abcd") for _ in range(random.randrange(1, 12))) for _ in range(3000)]
+    sizes, ids = t.run(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.merge(piece) for piece in pieces]
+
+
+def test_bpe_of_many_words_with_small_caches_equals_the_library(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 50)
+    monkeypatch.setattr(bpe, "MAX_MOVES", 400)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 100)
+    monkeypatch.setattr(bpe, "RUN", 200)
+    random.seed(12)
+    parts = ["th", "er", "on", "ing", "tion", "ou", "é", "ß", "日", "X", "9", ".", ",", "'s", "_", "😀", "\u00a0", "\u2028", "ٱ", "İ", "ǅ"]
+    texts = [" ".join("".join(random.choices(parts, k=random.randrange(0, 9))) for _ in range(40)) for _ in range(120)]
+    texts += ["q" * 129, "ab" * 300 + " c", "日本" * 90, None, "", " ", "a "]
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    for i in range(0, len(texts), 7):
+        offsets, ids = coder.encode(texts[i : i + 7])
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [reference.encode_ordinary(x or "") for x in texts[i : i + 7]]
+
+
+def test_bpe_columns_that_clash_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "een twee", "x"), (1, "een twee", "x"), (2, None, "y")], "doc_id long, text string, decoded string").withColumn("keep", F.lit(5))
+    got = bpe.round_trip(rows, RANKS).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["decoded"], r["keep"]) for r in got] == [(1, "een twee", 5), (1, "een twee", 5), (2, "", 5)] and got[0]["ids"] == got[1]["ids"]
+    assert bpe.round_trip(rows.limit(0), RANKS).count() == 0
 
 
 def test_utf8_stream_takes_any_cuts():
@@ -272,9 +297,21 @@ def test_separator_scan_stitches_blocks(spark):
         assert got == [(i, n, True) for i, n in enumerate(want)] + [(300, 90, False)]
 
 
+def test_separator_scan_of_flat_files(spark, tmp_path):
+    for width in (2, 4):
+        folder = tmp_path / str(width)
+        folder.mkdir()
+        for name, sizes in (("a", [3, 0, 70]), ("b", [])):
+            np.array([x for n in sizes for x in [7] * n + [token_counts.END_OF_DOCUMENT]], f"<u{width}").tofile(folder / f"{name}.bin")
+        blocks = token_counts.blocks_of_files(spark.read.format("binaryFile").load(str(folder)), block=16, width=width)
+        got = sorted((r["file"][-5:], r["ordinal"], r["n_tokens"]) for r in token_counts.scan(blocks, segment=2, width=width).collect())
+        assert got == [("a.bin", 0, 3), ("a.bin", 1, 0), ("a.bin", 2, 70)]
+
+
 def test_token_counts_of_documents(spark, reference):
     rows = docs_of(spark, ["een twee", "", "x y z " * 300], EDGES)
-    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.op8(rows, RANKS).collect()}
+    assert token_counts.op8(rows.union(rows), RANKS).count() == 2 * rows.count()
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.op8(rows.withColumn("file", F.lit("a")).withColumn("n_tokens", F.lit(1)), RANKS).collect()}
     assert got == {r["doc_id"]: len(reference.encode_ordinary(r["text"] or "")) for r in rows.collect()}
     assert token_counts.op8(rows.limit(0), RANKS).count() == 0
 
