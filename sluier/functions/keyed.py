@@ -1,7 +1,8 @@
-"""HMAC-SHA256 from built-in functions, and the pseudonyms made with it.
+"""Keys of sessions, HMAC-SHA256 from built-in functions, and the pseudonyms made with them.
 
-A key that is written into a plan can be read there and in the web UI. keyed_digests() therefore keeps
-the global key in a worker-side closure; the built-in form is for session keys that are columns already.
+What is written into a plan can be read in explain(), the web UI and event logs. The global key therefore stays in
+the closure of one small Arrow function, which gives each row the padded key of its session; all values of the row
+are then digested by built-in functions, from columns.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import hmac
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,28 +22,35 @@ def pad_key(key: bytes, pad: int) -> str:
     return bytes(b ^ pad for b in key.ljust(64, b"\0")).hex()
 
 
-def hmac_sha256(inner: Column | str, outer: Column | str, message: Column) -> Column:
-    """Hex HMAC-SHA256 of a string; inner and outer: the padded key as hex (columns or literals)."""
-    inner, outer = (F.lit(x) if isinstance(x, str) else x for x in (inner, outer))
-    first = F.sha2(F.unhex(F.concat(inner, F.hex(message.cast("binary")))), 256)
-    return F.sha2(F.unhex(F.concat(outer, first)), 256)
+def session_key(session_id: Column, key: bytes) -> Column:
+    """HMAC of the session id under the global key, hex; null for a null session."""
 
+    @F.arrow_udf("string")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if s is None else hmac.digest(key, s.encode(), "sha256").hex() for s in batch.to_pylist()], pa.string())
 
-def session_pads(session_key: Column) -> tuple[Column, Column]:
-    """Padded forms of a 64-digit hex key column. XOR by a constant maps each hex digit to one other."""
-    digits = "0123456789abcdef"
+    return keys(session_id)
 
-    def xored(pad: int) -> Column:
-        high, low = ("".join(digits[int(d, 16) ^ x] for d in digits) for x in (pad >> 4, pad & 15))
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat(F.translate(F.substring(session_key, 2 * i + 1, F.lit(1)), digits, high), F.translate(F.substring(session_key, 2 * i + 2, F.lit(1)), digits, low)))
-        return F.concat(F.array_join(pairs, ""), F.lit(f"{pad:02x}" * 32))
 
-    return xored(0x36), xored(0x5C)
+def session_pads(session_id: Column, key: bytes) -> Column:
+    """(inner, outer): the padded forms of a session's key, hex, to be made once for all values of a row; nulls for a null session."""
 
+    @F.arrow_udf("struct<inner:string,outer:string>")
+    def pads(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sessions = batch.to_pylist()
+            keys = {s: hmac.digest(key, s.encode(), "sha256") for s in set(sessions) if s is not None}
+            told = [[None if s is None else pad_key(keys[s], pad) for s in sessions] for pad in (0x36, 0x5C)]
+            yield pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in told], ["inner", "outer"])
 
-def session_key(session_id: Column, key: bytes) -> Column:
-    """HMAC of the session id under the global key, hex."""
-    return hmac_sha256(pad_key(key, 0x36), pad_key(key, 0x5C), session_id)
+    return pads(session_id)
+
+
+def hmac_sha256(inner: Column, outer: Column, message: Column) -> Column:
+    """Hex HMAC-SHA256 of a string; inner and outer: the padded key as hex."""
+    first = F.sha2(F.unhex(F.concat(inner, F.hex(message.cast("binary")))), 256)
+    return F.sha2(F.unhex(F.concat(outer, first)), 256)
 
 
 def strip(value: Column) -> Column:
@@ -50,25 +58,7 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
-def pads_struct(key_of_session: Column) -> Column:
-    """(inner, outer): a session's padded keys, to be made once for all values of a row."""
-    inner, outer = session_pads(key_of_session)
-    return F.struct(inner.alias("inner"), outer.alias("outer"))
-
-
 def pseudonym(pads: Column, entity_type: Column, original: Column, code: Column, width: int = WIDTH) -> Column:
     """[CODE-xxxxxx] of a value in its session."""
     digest = hmac_sha256(pads["inner"], pads["outer"], F.concat(entity_type, F.lit(":"), strip(original)))
     return F.concat(F.lit("["), code, F.lit("-"), F.substring(digest, 1, width), F.lit("]"))
-
-
-def keyed_digests(session_id: Column, entity_type: Column, original: Column, key: bytes) -> Column:
-    """The same digests (64 hex digits) with the key in the closure instead of the plan."""
-
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sessions, types, values in batches:
-            keys = {s: hmac.digest(key, s.encode(), "sha256") for s in sessions.dropna().unique()}
-            yield pd.Series([None if None in (s, t, v) else hmac.digest(keys[s], f"{t}:{v.strip()}".encode(), "sha256").hex() for s, t, v in zip(sessions, types, values, strict=True)], dtype=object)
-
-    return digest(session_id, entity_type, original)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluier.functions import spans as S
-from sluier.functions.keyed import WIDTH, pads_struct, pseudonym, session_key
+from sluier.functions.keyed import WIDTH, pseudonym, session_pads
 from sluier.operators.entity_types import category_of, code_of
 
 # Form of a pseudonym in a text.
@@ -29,7 +29,8 @@ def resolve_mode(entity_type: Column, overrides: Column, default_mode: Column, l
 
 
 def make_pseudonym(session_id: Column, entity_type: Column, original: Column, key: bytes, width: int = WIDTH) -> Column:
-    return S.let(session_key(session_id, key), lambda k: S.let(pads_struct(k), lambda pads: pseudonym(pads, entity_type, original, code_of(entity_type), width)))
+    """A value's pseudonym; the key stays out of the plan."""
+    return S.let(session_pads(session_id, key), lambda pads: pseudonym(pads, entity_type, original, code_of(entity_type), width))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "general_text", spans: str = "general_spans") -> DataFrame:
@@ -38,7 +39,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "general_text", spans:
     A pseudonym depends on session, type and original only, so what the vault holds equals what is made here under the same key.
     """
     named = lambda pads: F.transform(spans, lambda s: s.withField("pseudonym", pseudonym(pads, s["entity_type"], s["original"], code_of(s["entity_type"]))))
-    pads = lambda use: S.let(session_key(F.col("session_id"), key), lambda k: S.let(pads_struct(k), use))
+    pads = lambda use: S.let(session_pads(F.col("session_id"), key), use)
 
     def outbound(every: Column) -> Column:
         edits = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], s["end"], s["pseudonym"].alias("new"))))

@@ -79,16 +79,17 @@ def d14_detect_context_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "s.start", "s.end", F.col("s.text").alias("original"), "s.entity_type")
 
 
-def _sql_left(start: str, text: str = "text") -> str:
-    return f"CASE WHEN {start} > {dates.CONTEXT} THEN chr(1) || substr({text}, {start} - {dates.CONTEXT} + 1, {dates.CONTEXT}) ELSE substr({text}, 1, {start}) END"
+# Written by hand from the wording of the dossiers, not from the cue table.
+_WORDED = [("admission_date", "Opgenomen op |Patiënt werd op |Opnamedatum: |Geplande opname op "), ("discharge_date", "Verwachte ontslagdatum: |Ontslagen op |Ontslag naar huis op "), ("exam_date", "MRI-scan op |Bloedafname op ")]
+_SQL_DATE = r"\d{1,2}[-/]\d{1,2}[-/]\d{4}"
 
 
-def _sql_date_type(left: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({left}, '{dates.tier_pattern(i)}') THEN '{kind}'" for i, (kind, _) in enumerate(dates.TIERS)) + " END"
+def _sql_date_type(start: str, text: str = "text") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(substr({text}, 1, {start}), '({leads})$') THEN '{kind}'" for kind, leads in _WORDED) + " END"
 
 
-_DATED = f"""dated AS (SELECT doc_id, s.start AS "start", s."end" AS "end", s.text AS original, {_sql_date_type(_sql_left('s.start', 'body'))} AS entity_type
-  FROM (SELECT doc_id, text AS body, unnest({sql_scan('text', dates.DATE)}) AS s FROM dossier))"""
+_DATED = f"""dated AS (SELECT doc_id, s.start AS "start", s."end" AS "end", s.text AS original, {_sql_date_type('s.start', 'body')} AS entity_type
+  FROM (SELECT doc_id, text AS body, unnest({sql_scan('text', _SQL_DATE)}) AS s FROM dossier))"""
 ORACLES["d14_detect_context_dates"] = f"""WITH {DOSSIER_CTE}, {_DATED} SELECT * FROM dated WHERE entity_type IS NOT NULL"""
 
 
@@ -97,7 +98,7 @@ def d15_resolve_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = " || ".join(
-    [f"coalesce(list_filter(list_transform({sql_scan('text', dates.DATE)}, lambda s: {{'rank': 0, 'start': s.start, 'end': s.\"end\", 'text': s.text, 'kind': {_sql_date_type(_sql_left('s.start'))}}}), lambda s: s.kind IS NOT NULL), [])"]
+    [f"coalesce(list_filter(list_transform({sql_scan('text', _SQL_DATE)}, lambda s: {{'rank': 0, 'start': s.start, 'end': s.\"end\", 'text': s.text, 'kind': {_sql_date_type('s.start')}}}), lambda s: s.kind IS NOT NULL), [])"]
     + [f"list_transform({sql_scan('text', p, keep=SQL_VALID.get(k, ''))}, lambda s: {{'rank': {i + 1}, 'start': s.start, 'end': s.\"end\", 'text': s.text, 'kind': '{k}'}})" for i, (k, p) in enumerate(D.PATTERNS)]
 )
 DETECTED_CTE = f"""claim AS (SELECT doc_id, list_sort({_ALL}) AS every FROM dossier),

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,10 +51,29 @@ def test_patterns(spark):
     assert found(spark, "") == [] and found(spark, None) == []
 
 
+# Expected types written by hand: what a reader would call the date D.
+DISCHARGED = """Ontslagbrief interne¶  Datum brief: D|Ontslagbrief¶Datum: D|Verwachte ontslagdatum: D|verwacht ontslag naar huis op D|Verwachte ontslagdatum rond D|verwachte ontslag na opname op D
+Ontslag wordt verwacht omstreeks D|geplande ontslagdatum vastgesteld op D|voorlopige ontslag gepland op D|Streefdatum ontslag (onder voorbehoud): D|voorgenomen ontslag op D|Verwachte ontslagdatum is vooralsnog D
+ontslag is omstreeks D|Ontslag na stabilisatie: D|Verwachte ontslag van huidige opname is D|naar verwachting op D|Ontslag naar huis op D|Ontslagbestemming: naar huis op D|Brief verzonden aan huisarts op D
+ontslag gepland rond D|te ontslaan op D|zal ontslagen worden op D|met ontslag naar huis op D|ontslag verwacht op D|ontslag naar huis voorzien op D|opname van 1-2-2024 tot D|van 1-2-2024 t/m D|Ontslag gepland op D|Ontslagen op D|Ontslagdatum: D"""
+EXAMINED = """Datum overleg: besproken tijdens het MDO op D|besproken tijdens oncologisch MDO op D|MDO gepland op D|vervolg-MDO gepland op D|Datum consult: controleafspraak op D|Datum autorisatie: D|Geverifieerd op D|biopt (D)
+Doorgegeven aan dr. Jansen op D|Patiënt meldde zich op D|Patiënte presenteerde zich op D|Patiënt is op D gezien|multidisciplinair overleg op D|Overleg op D|MDO op D|gepland tijdens MDO op D
+Op D werd een CT gemaakt|en op D werd de drain verwijderd|Aansluitend is op D gestart|Antibiotica ingezet op D|cardiologisch consult gepland op D|verslag van controleafspraak op D|tijdens consult op D|Polikliniekbezoek op D|polibezoek op D
+verslag geautoriseerd op D|verslag akkoord op D|Verslagdatum: opgesteld op D|nuchtere bloedafname op D|Bloedafname vond plaats op D|verricht op D|onderging op D|besproken met familie en huisarts op D|geautoriseerd door de radioloog op D
+Datum consult: gezien op de poli op D|Datum consult: gezien op D|Datum controleafspraak: gezien op D|Beloop tijdens opname: op D|Verslagdatum: D|Datum verwijzing: D|Utrecht, D|Datum verslag: D|Datum: D
+afgenomen op D|uitgevoerd op D|poliafspraak op D|poliafspraak D|MDO van D|MRI op D|CT-thorax van het abdomen op D|röntgenfoto D|lab: D|thoraxfoto D|coloscopie (D)|De echo die op D is gemaakt|ECG op D"""
+ADMITTED = """Opnamebrief¶Datum: D|opgenomen was op onze afdeling van D|waarvoor opname op D|bij opname op D|na opname op D|die op D werd opgenomen|Patiënt werd op D opgenomen|bovengenoemde patiënt op D werd opgenomen|Aanvraagdatum: D
+voorlopige opname gepland op D|Opgenomen op D|Opgenomen via de SEH op D|Opnamedatum: D|opnemingsdatum: D|eerdere opname op D|geplande opname op D|in verband met opname op D|Geplande opname voor operatie: D|opname dagbehandeling voorzien op D|Consult fysiotherapie vond plaats op D|op de afdeling longziekten op D"""
+UNTYPED = """geboren D|De patiënt op D kwam terug|op D|Geb. D|Factuur D betaald|Ontslag volgt later. Gebeld D|MRI is niet nodig. Gezien D|opgenomen 1-2-2024, gebeld D"""
+
+
 def test_context_dates(spark):
-    for text, kind in [("Opgenomen op 1-2-2024", "admission_date"), ("verwachte ontslagdatum: 1-2-2024", "discharge_date"), ("MRI op 1-2-2024", "exam_date"), ("van 1-2-2024 t/m 3-2-2024", "discharge_date"), ("geboren 1-2-1950", None)]:
-        got = one(spark, context_dates(F.col("v")), v=text)
-        assert (got[-1]["entity_type"] if got else None) == kind, text
+    told = (("discharge_date", DISCHARGED), ("exam_date", EXAMINED), ("admission_date", ADMITTED), (None, UNTYPED))
+    cases = [(case.replace("¶", "\n"), kind) for kind, lines in told for case in lines.replace("\n", "|").split("|")]
+    texts = spark.createDataFrame([(i, re.sub(r"\bD\b", "3-4-2024", case)) for i, (case, _) in enumerate(cases)], "i int, v string")
+    got = {r["i"]: next((s["entity_type"] for s in r["s"] if s["text"] == "3-4-2024"), None) for r in texts.select("i", context_dates(F.col("v")).alias("s")).collect()}
+    assert [(case, kind, got[i]) for i, (case, kind) in enumerate(cases) if got[i] != kind] == []
+    assert one(spark, F.size(context_dates(F.col("v"))), v="") == 0
 
 
 def test_generalise_moves_offsets(spark):
@@ -79,6 +99,21 @@ def test_pseudonyms_match_plain_hmac_and_restore(spark):
     assert {r["restored"] for r in pseudonyms.restore_text(replies, vault).collect()} == {text}
 
 
+def test_the_key_is_in_no_plan(spark):
+    from sluier.functions.keyed import pad_key
+
+    secret = bytes(range(101, 133))
+    docs = spark.createDataFrame([(1, "s1", "Mail jan@x.nl")], "doc_id long, session_id string, text string")
+    done = deidentify(docs, secret)
+    vault = mappings_of(done)
+    told = pseudonyms.rekey_corpus(done.select("doc_id", "session_id", "outbound_text"), vault, secret)
+    for rows in (done, vault, told):
+        shown = rows._jdf.queryExecution().toString().lower()
+        assert "pads(" in shown
+        for x in (secret.hex(), pad_key(secret, 0x36), pad_key(secret, 0x5C), secret.decode("latin-1").lower()):
+            assert x not in shown
+
+
 def test_restore_foreign_longest_first(spark):
     pairs = F.array(F.struct(F.lit("A1").alias("token"), F.lit("x").alias("original")), F.struct(F.lit("A12").alias("token"), F.lit("y").alias("original")))
     assert one(spark, pseudonyms.restore_foreign(F.col("v"), pairs), v="A12 A1") == "y x"
