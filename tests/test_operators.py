@@ -130,6 +130,24 @@ def test_role_names(spark):
     assert got == {1: ["J. de Groot", "Petrova"], 2: [], 3: [], 4: ["Zoë"]}
 
 
+# Written by hand: the name that a reader would see in each text, between brackets.
+NAMED = """Verpleegkundig specialist: [Okonkwo]|**Arts-assistent:** [J. de Groot]|Hoofdbehandelaar: dr. [Al-Rashidi]|Verwijzer (huisartsenpost): [Mulder]|Patiënt: [Bakker], 74 jaar|Patiënt: Mevrouw [Jansen], 74 jaar
+Patiënt: [Bakker], voornaam [Wilhelmina]|Patiëntnaam: [Karim El Idrissi]\nGeboortedatum|Notitie verpleegkundige [O'Brien]:|apotheker [Yılmaz] belde|cardioloog [L. Smit]|fysiotherapeut [Timmerman] van de afdeling|wijkverpleegkundige [Mol] kwam
+internist [Castro] zag|Consult diëtetiek door [Fernández]|door collega [Mukherjee]|Consult longarts [Mukherjee] aangevraagd|Medeoverleg met longarts [Okafor]|Diëtiste [Yamamoto] adviseerde|zie ook geboortenaam [Fernández]
+Verwijzer: [huisarts J. de Groot], Praktijk|dr. [Al-Rashidi] (radiotherapeut)|Dr. [Haddad] adviseert rust|- [Tilanus], patholoog|- [De Wit], verpleegkundig specialist|- [verpleegkundig specialist L. Smit]|patholoog ([Tilanus]):
+opgesteld door [verpleegkundig specialist L. Smit]|naar mantelzorger [Bakr]|cc naar [Oyelaran]|ondertekend door [Słowik]|op de polikliniek bij [Mukherjee]|Kopie aan: Huisarts [dr. M. de Jong]|Verstuurd aan huisarts: [huisartsenpraktijk De Esdoorn]
+naar fysiotherapeut [Timmerman]|fysiotherapie bij [Schipper]|ingeschakeld via [Mwangi]|verstrekt door [Fernández]|Contactpersoon: schoonzoon [Okonkwo]|oncoloog dr. [Al-Rashid] zag|Verpleegkundige [Okonkwo] verzorgde|Verwijzing diëtist [Mwangi]
+partner [Olufemi Adeyemi]|dochter, [Petrova]|echtgenote, mevrouw [Koningin]|eerdergenoemde [Okonkwo]|Fysiotherapie ingezet door [Haddad]|huisarts [De Dokter] belde|naar huisarts [Okonkwo] en|behandeld door [Dokter], cardioloog|i.o.m. [Okonkwo]|physician assistant [Andersson]
+Huisarts: [Jansen] Opgenomen|de huisarts belde|dochter belde|Reden: Opname|partner van de patiënt|Zoon|Schoonmoeder Anna|arts: dr."""
+
+
+def test_names_behind_roles(spark):
+    cases = [case.replace("\\n", "\n") for case in NAMED.replace("\n", "|").split("|")]
+    rows = spark.createDataFrame([(i, re.sub(r"[\[\]]", "", case)) for i, case in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: [s["text"] for s in r["names"] or []] for r in names.role_name_spans(rows).collect()}
+    assert [(case, got[i]) for i, case in enumerate(cases) if got[i] != re.findall(r"\[([^\]]*)\]", case)] == []
+
+
 def test_payload(spark):
     body = '{"entities":[{"text":"ALPHA","type":"product","confidence":"7"},{"text":"weg","type":"name"},{"text":"x","type":"bsn"}]}'
     rows = spark.createDataFrame([(1, "het alpha middel", body), (2, "t", "kapot"), (3, "t", None)], "doc_id long, text string, payload string")
