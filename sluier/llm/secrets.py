@@ -4,76 +4,116 @@ Base finds (assignments, access identifiers, hexadecimal keys) stand by themselv
 names, bare 40-character keys, endpoints) are joined by their intervals: within a scope of SCOPE
 characters around it a candidate must meet the parts that complete it, else it isn't reported:
 a user name needs a secret, a bare key an identifier, an endpoint both. The interval join runs on the
-spans of one row, so nothing is shuffled and a hot source or a repeated document costs no more than its text.
+spans of one row, so nothing is shuffled and a hot source or a repeated document costs no more than its text. Spans are
+sorted by start and held in blocks with their bounds, so a candidate is compared with the spans of blocks near it only.
 
 Defined cases: null text counts as empty and has no spans; a match that fails its length is dropped and
 still consumes its text; a weak candidate that overlaps a base find is dropped; ties in start are
-ordered by kind; offsets are code points, end exclusive.
+ordered by kind; offsets are code points, end exclusive. find() replaces columns named base or linked, redact() keeps
+all columns but the text and n_chars; repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluier.functions.spans import let
+
 # The kinds in the order in which they are listed, with their patterns (Java and RE2 alike).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 USER = r"""(?i:(user_?name|user|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
 KEY = r"[A-Za-z0-9+/=]{40,}"
-ENDPOINT = r"""[a-z][a-z0-9+]*://[^\x00-\x20"'<>]+"""
+ENDPOINT = r"""[a-z][a-z0-9+]{0,31}://[^\x00-\x20"'<>]+"""
 KINDS = ["assign", "access", "hex", "user", "key", "endpoint"]
 
 LEAST_ASSIGNED, KEY_LENGTH, SCOPE = 6, 40, 200
 MASK = "[SECRET]"
+#: Spans that are folded, or compared with a candidate, at once.
+BLOCK = 256
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _none() -> Column:
-    return F.array().cast(_SPANS)
+def _none(kind: str = _SPANS) -> Column:
+    return F.array().cast(kind)
+
+
+def _blocks(items: Column) -> Column:
+    """An array in parts of BLOCK elements."""
+    n = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
+
 
+def _walk(items: Column, step: Callable[[Column, Column], Column], kind: str = _SPANS) -> Column:
+    """Fold items with a state (at, out), out being an array; by blocks, so that a long array isn't copied for each of its elements."""
 
-def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """All matches as (start, kind, end); keep: an array of booleans beside the matches."""
+    def block(state: Column, some: Column) -> Column:
+        folded = F.aggregate(some, F.struct(state["at"].alias("at"), _none(kind).alias("out")), step)
+        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
+
+    return F.aggregate(_blocks(items), F.struct(F.lit(0).alias("at"), _none(kind).alias("out")), block, lambda s: s["out"])
+
+
+def _spans(text: Column, pattern: str, kind: int, keep: Callable[[Column, Column], Column] | None = None) -> Column:
+    """All matches as (start, kind, end); keep(match, value) tells those that count, value being group 2 of the pattern if it has one."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    keep = F.transform(found, lambda x: F.lit(True)) if keep is None else keep
-    parts = F.arrays_zip(found.alias("m"), gaps.alias("g"), keep.alias("k"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern == ASSIGN else found
+    parts = F.arrays_zip(found.alias("m"), gaps.alias("g"), values.alias("v"))
 
     def add(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["g"])
         end = start + F.coalesce(F.length(part["m"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        more = F.when(F.coalesce(part["k"], F.lit(False)), F.concat(state["out"], F.array(span))).otherwise(state["out"])
+        counts = part["m"].isNotNull() if keep is None else part["m"].isNotNull() & keep(part["m"], part["v"])
+        more = F.when(counts, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), add, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(_none())
+    return F.when(text.rlike(pattern), let(parts, lambda every: _walk(every, add))).otherwise(_none())
+
+
+def _bounded(spans: Column) -> Column:
+    """Spans sorted by start, in blocks with the least start and the greatest end of each."""
+    bounds = lambda b: F.struct(b[0]["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans"))
+    return F.transform(_blocks(F.array_sort(spans)), bounds)
 
 
-def _near(spans: Column, span: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] <= span["end"] + SCOPE) & (s["end"] >= span["start"] - SCOPE))
+def _meets(blocks: Column, span: Column, reach: int) -> Column:
+    """Whether a span is at most reach characters away from one of the spans; -1: whether it overlaps one."""
+    near = lambda low, high: (low <= span["end"] + reach) & (high >= span["start"] - reach)
+    return F.exists(blocks, lambda b: near(b["low"], b["high"]) & F.exists(b["spans"], lambda s: near(s["start"], s["end"])))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` and `linked`: arrays of (start, kind, end), kind as a place in KINDS; sorted."""
     t = F.coalesce(F.col(text), F.lit(""))
-    long_enough = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_ASSIGNED)
-    rows = docs.withColumns({"__assign": _spans(t, ASSIGN, 0, long_enough), "__access": _spans(t, ACCESS, 1), "__hex": _spans(t, HEX, 2)})
-    rows = rows.withColumn("base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    exact = F.transform(F.regexp_extract_all(t, F.lit(KEY), F.lit(0)), lambda v: F.length(v) == KEY_LENGTH)
+    parts = F.struct(_spans(t, ASSIGN, 0, lambda m, v: F.length(v) >= LEAST_ASSIGNED).alias("assign"), _spans(t, ACCESS, 1).alias("access"), _spans(t, HEX, 2).alias("hex"))
+    rows = docs.withColumn("__base", parts)
+    rows = rows.withColumn("base", F.array_sort(F.concat("__base.assign", "__base.access", "__base.hex")))
+    # A text without any base find and without a bare key has nothing to link.
     worth = (F.size("base") > 0) | t.rlike(KEY)
-    free = lambda spans: F.filter(spans, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    weak = {"__user": _spans(t, USER, 3), "__key": _spans(t, KEY, 4, exact), "__endpoint": _spans(t, ENDPOINT, 5)}
-    rows = rows.withColumns({name: F.when(worth, free(spans)).otherwise(_none()) for name, spans in weak.items()})
-    identifiers, secrets = F.concat("__access", "__user"), F.concat("__assign", "__hex", "__key")
-    linked = F.concat(
-        F.filter("__user", lambda w: _near(secrets, w)),
-        F.filter("__key", lambda w: _near(identifiers, w)),
-        F.filter("__endpoint", lambda w: _near(identifiers, w) & _near(secrets, w)),
-    )
-    return rows.withColumn("linked", F.when(worth, F.array_sort(linked)).otherwise(_none())).drop("__assign", "__access", "__hex", "__user", "__key", "__endpoint")
+    weak = F.struct(_spans(t, USER, 3).alias("user"), _spans(t, KEY, 4, lambda m, v: F.length(m) == KEY_LENGTH).alias("key"), _spans(t, ENDPOINT, 5).alias("endpoint"))
+
+    def link(w: Column) -> Column:
+        free = lambda b: F.struct(*(F.filter(w[k], lambda s: ~_meets(b, s, -1)).alias(k) for k in ("user", "key", "endpoint")))
+        return let(_bounded(F.col("base")), lambda b: let(free(b), complete))
+
+    def complete(w: Column) -> Column:
+        sides = F.struct(_bounded(F.concat("__base.access", w["user"])).alias("identifiers"), _bounded(F.concat("__base.assign", "__base.hex", w["key"])).alias("secrets"))
+        return let(
+            sides,
+            lambda x: F.concat(
+                F.filter(w["user"], lambda s: _meets(x["secrets"], s, SCOPE)),
+                F.filter(w["key"], lambda s: _meets(x["identifiers"], s, SCOPE)),
+                F.filter(w["endpoint"], lambda s: _meets(x["identifiers"], s, SCOPE) & _meets(x["secrets"], s, SCOPE)),
+            ),
+        )
+
+    return rows.withColumn("linked", F.when(worth, F.array_sort(let(weak, link))).otherwise(_none())).drop("__base")
 
 
 def listed(spans: Column) -> Column:
@@ -83,23 +123,26 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each region that spans cover replaced by MASK."""
-    region = "array<struct<start:int,end:int>>"
-
-    def merge(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        new = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last.isNotNull() & (s["start"] < last["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(new)))
-
-    regions = F.aggregate(spans, F.array().cast(region), merge)
-    cut = F.aggregate(
-        regions,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, r["start"] - s["at"]), F.lit(MASK)).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))),
-    )
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    """The text with each region that the spans (sorted) cover replaced by MASK."""
+    kind = "array<struct<start:int,end:int,new:boolean>>"
+
+    def cut(state: Column, s: Column) -> Column:
+        # What a span adds to the regions before it: a new region, or an end further on.
+        part = F.struct(F.greatest(s["start"], state["at"]).alias("start"), F.greatest(s["end"], state["at"]).alias("end"), ((s["start"] >= state["at"])).alias("new"))
+        return F.struct(part["end"].alias("at"), F.concat(state["out"], F.array(part)).alias("out"))
+
+    def shown(parts: Column) -> Column:
+        # Each block's stretch of the text is taken once, its parts from that.
+        return let(_blocks(parts), lambda blocks: F.concat(F.array_join(F.transform(blocks, lambda b, i: stretch(b, F.when(i > 0, F.element_at(F.get(blocks, i - 1), -1)["end"]).otherwise(0))), ""), F.substring(text, F.element_at(parts, -1)["end"] + 1, F.lit(2**31 - 1))))
+
+    def stretch(b: Column, at: Column) -> Column:
+        def piece(own: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(b, i - 1)["end"]).otherwise(at)
+            return F.array_join(F.transform(b, lambda p, i: F.when(p["new"], F.concat(F.substring(own, before(i) - at + 1, p["start"] - before(i)), F.lit(MASK))).otherwise("")), "")
+
+        return let(F.substring(text, at + 1, F.element_at(b, -1)["end"] - at), piece)
+
+    return F.when(F.size(spans) > 0, let(spans, lambda every: let(_walk(every, cut, kind), shown))).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
