@@ -1,27 +1,26 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: density and number of lexicon words, second-person words near them, capitals,
-punctuation, obfuscated words ("1d10t", "s.c.u.m"), word length and text length. The lexicon is a
+Features of a text: density and number of words of two lexicons, second-person words near them, capitals,
+punctuation, obfuscated words ("1d10t", "s.c.u.m"), word length and text length. The lexicons are a
 short fixed list and, learnt from labelled rows, the words and word beginnings that tell toxic rows from
-the others. A sample of at most MAX_ROWS labelled rows (in expectation; a fixed hash of doc_id
-picks them) fits the trees on four fifths and the calibration on the last fifth; lexicons are crossed
-over parts of the sample. Everything is scored: whole texts, all rows.
+the others: strong ones hardly occur elsewhere, weak ones occur more often than chance allows. A sample of at
+most MAX_ROWS labelled rows (in expectation; a fixed hash of doc_id picks them) is used for fitting; lexicons
+and calibration are crossed over PARTS parts of it, so that no row is described or calibrated by what was learnt from
+it. Everything is scored: whole texts, all rows.
 
 Defined cases: null text counts as empty; an empty text gets the score of its (all zero) features; a
 row without a doc_id is scored and not held out; labels that are null are ignored, of several labels
-the highest counts; without labels of both kinds the score is 1 - 0.3 ** (lexicon words found).
+the highest counts; repeated rows are scored one by one, and one that is labelled counts as often as it stands there; without
+labels of both kinds in each part the score is 1 - 0.3 ** (lexicon words found).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,16 +28,20 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are used at most, in expectation; lexicon entries that are kept at most.
-MAX_ROWS, MAX_LEXICON = 12_000, 3_000
+#: Labelled rows that are used at most, in expectation.
+MAX_ROWS = 12_000
 TREES, DEPTH = 10, 3
-#: Toxic rows that the calibration fold must have.
-LEAST_CALIBRATION = 40
-#: Parts of the sample that lexicons are crossed over.
+#: Parts of the sample that lexicons and calibration are crossed over.
 PARTS = 3
 THRESHOLD = 0.7
-#: Toxic rows that a lexicon entry must be seen in, as a number and a share, and how many times likelier it must be there.
+#: Toxic rows that a lexicon entry must be seen in, as a number and a share (which bounds the lexicon), and how many times likelier it must be there.
 LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 3, 0.004, 40
+#: The same for weak entries, and how many standard deviations beyond chance.
+WEAK_SHARE, WEAK_RATIO, WEAK_DEVIATIONS = 0.01, 2.5, 5
+#: Lengths of word beginnings.
+BEGINNINGS = (3, 4, 5, 6)
+#: Words of lexicon tests that a worker remembers.
+MAX_WORDS = 100_000
 
 # Insults that count in any language's text.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
@@ -47,7 +50,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 # What symbols stand for in obfuscated words.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", ".": "", "-": "", "_": ""})
 
-FEATURES = ["density", "hits", "insults", "distinct", "second_person", "near_hits", "capitals", "exclaims", "punctuation", "obfuscated", "obfuscated_hits", "word_length", "words", "digits"]
+FEATURES = ["density", "hits", "insults", "distinct", "second_person", "near_hits", "capitals", "exclaims", "punctuation", "obfuscated", "obfuscated_hits", "word_length", "words", "digits", "weak_density", "weak_hits"]
 
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile(r"[^\W\d_][0-9@$!|*._-]{1,3}(?=[^\W\d_])")
@@ -58,19 +61,26 @@ _NO_PUNCTUATION = bytes(x for x in range(256) if x >= 128 or chr(x).isalnum() or
 
 def _units(word: str) -> list[str]:
     """A word and its beginnings; a beginning ends in *."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    strong: frozenset[str]
+    weak: frozenset[str]
 
 
 class _Hits(dict):
-    """word -> whether the lexicon has it; bounded."""
+    """word -> 2 if the strong lexicon has it, 1 if the weak one has it, else 0; bounded."""
 
-    def __init__(self, lexicon: frozenset[str]):
+    def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 300_000:
+    def __missing__(self, word: str) -> int:
+        if len(self) > MAX_WORDS:
             self.clear()
-        found = word in INSULTS or any(unit in self.lexicon for unit in _units(word))
+        units = _units(word)
+        found = 2 if word in INSULTS or not self.lexicon.strong.isdisjoint(units) else 1 if not self.lexicon.weak.isdisjoint(units) else 0
         if len(word) < 40:
             self[word] = found
         return found
@@ -80,7 +90,9 @@ def text_features(text: str | None, hits: _Hits) -> list[float]:
     lowered = (text or "").lower()
     words = _WORD.findall(lowered)
     n = max(1, len(words))
-    at = [i for i, word in enumerate(words) if hits[word]]
+    marks = list(map(hits.__getitem__, words))
+    at = [i for i, mark in enumerate(marks) if mark == 2]
+    weak = len(marks) - marks.count(0)
     you = sum(map(SECOND_PERSON.__contains__, words))
     near = sum(any(x in SECOND_PERSON for x in words[max(0, i - 5) : i + 6]) for i in at)
     data = (text or "").encode()
@@ -93,7 +105,7 @@ def text_features(text: str | None, hits: _Hits) -> list[float]:
             a -= 1
         while b < len(lowered) and b - found.start() < 30 and not lowered[b].isspace():
             b += 1
-        hidden_hits += hits[lowered[a:b].translate(STANDS_FOR).strip(",;:?\"'()")]
+        hidden_hits += hits[lowered[a:b].translate(STANDS_FOR).strip(",;:?\"'()")] == 2
     return [
         len(at) / n,
         np.log1p(len(at)),
@@ -109,61 +121,68 @@ def text_features(text: str | None, hits: _Hits) -> list[float]:
         sum(map(len, words)) / n,
         np.log1p(len(words)),
         len(data.translate(None, _NO_DIGITS)) / size,
+        weak / n,
+        np.log1p(weak),
     ]
 
 
-def features(text: Column, lexicon: frozenset[str]) -> Column:
-    """array<double> in the order of FEATURES."""
+def features(text: Column, lexicons: list[Lexicon], which: Column) -> Column:
+    """array<double> in the order of FEATURES; which: the place of a row's lexicon."""
 
     @F.arrow_udf("array<double>")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hits = _Hits(lexicon)
-        for batch in batches:
-            yield pa.array([text_features(x.as_py(), hits) for x in batch], pa.list_(pa.float64()))
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        hits = [_Hits(lexicon) for lexicon in lexicons]
+        for texts, places in batches:
+            yield pa.array([text_features(x.as_py(), hits[k]) for x, k in zip(texts, places.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+    return of(text, which)
+
 
-    return of(text)
+def units_of(text: Column) -> Column:
+    """The different words of a text and their beginnings, as _units() makes them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
+    def begun(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-def _seen_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of either kind and fold that each word or beginning is in, as sums of a partition."""
-    seen: dict[tuple[int, int], Counter] = {}
-    for rows in batches:
-        for text, label, part in zip(rows["text"], rows["label"], rows["part"], strict=True):
-            seen.setdefault((label, part), Counter()).update({unit for word in set(_WORD.findall((text or "").lower())) for unit in _units(word)})
-    for (label, part), units in seen.items():
-        yield pd.DataFrame({"unit": list(units), "label": label, "part": part, "n": list(units.values())})
+    return F.array_distinct(F.concat(words, *map(begun, BEGINNINGS)))
 
 
-def learn_lexicons(rows: DataFrame) -> tuple[frozenset[str], list[frozenset[str]]]:
-    """From (text, label, part): the lexicon of all rows, and for each part that of the other parts.
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """From (text, label, part): for each part the lexicon of the other parts, and last that of all rows.
 
     Features of a row that takes part in fitting come from the lexicon that has not seen its part, so
-    the trees learn what lexicon words are worth in rows that the lexicon does not know.
+    the trees learn what lexicon words are worth in rows that the lexicon does not know. An entry must be in a share of
+    the sample's toxic rows, so what comes to the driver is bounded by the sample and not by the corpus.
     """
     counts = {(r["label"], r["part"]): r["count"] for r in rows.groupBy("label", "part").count().collect()}
-    units = rows.select("text", "label", "part").mapInPandas(_seen_units, "unit string, label int, part int, n long")
-    sums = [F.sum(F.when((F.col("label") == k) & (F.col("part") != p), F.col("n")).otherwise(0)).alias(f"n{k}_{p}") for k in (0, 1) for p in range(-1, PARTS)]
-    units = units.groupBy("unit").agg(*sums)
-    tests = []
-    for p in range(-1, PARTS):
+    seen = rows.select("label", "part", F.explode(units_of(F.col("text"))).alias("unit"))
+    sums = [F.count_if((F.col("label") == k) & (F.col("part") != p)).alias(f"n{k}_{p}") for k in (0, 1) for p in range(PARTS + 1)]
+    units = seen.groupBy("unit").agg(*sums)
+    marks = []
+    for p in range(PARTS + 1):
         toxic, other = (sum(n for (label, part), n in counts.items() if label == k and part != p) for k in (1, 0))
-        ratio = ((F.col(f"n1_{p}") + 0.5) / (toxic + 1)) / ((F.col(f"n0_{p}") + 0.5) / (other + 1))
-        tests.append(F.when((F.col(f"n1_{p}") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (ratio >= LEAST_RATIO), F.log(ratio) * F.sqrt(f"n1_{p}")).otherwise(0.0).alias(f"worth_{p}"))
-    best = units.select("unit", *tests).withColumn("worth", F.greatest(*(f"worth_{p}" for p in range(-1, PARTS)))).filter("worth > 0").orderBy(F.desc("worth"), "unit").limit(MAX_LEXICON).collect()
-    lexicons = [frozenset(r["unit"] for r in best if r[f"worth_{p}"] > 0) for p in range(-1, PARTS)]
-    return lexicons[0], lexicons[1:]
+        n1, n0 = F.col(f"n1_{p}"), F.col(f"n0_{p}")
+        chance = (n0 + 0.5) / (other + 1)
+        ratio = (n1 + 0.5) / (toxic + 1) / chance
+        beyond = (n1 - toxic * chance) / F.sqrt(toxic * chance + 0.25)
+        strong = (n1 >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (ratio >= LEAST_RATIO)
+        weak = (n1 >= max(LEAST_ROWS, WEAK_SHARE * toxic)) & (ratio >= WEAK_RATIO) & (beyond >= WEAK_DEVIATIONS)
+        marks.append(F.when(strong, 2).when(weak, 1).otherwise(0).alias(f"mark_{p}"))
+    found = units.select("unit", *marks).filter(F.greatest(*(f"mark_{p}" for p in range(PARTS + 1))) > 0).collect()
+    return [Lexicon(*(frozenset(r["unit"] for r in found if r[f"mark_{p}"] == k) for k in (2, 1))) for p in range(PARTS + 1)]
 
 
 @dataclass
 class ToxicityModel:
-    lexicon: frozenset[str]
+    lexicon: Lexicon
     trees: GBTClassificationModel | None = None
     borders: tuple[float, ...] = ()
     levels: tuple[float, ...] = ()
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with `score` (0 to 1) and `predicted`; columns of these names are replaced."""
-        rows = docs.withColumn("__features", features(F.col(text), self.lexicon))
+        rows = docs.withColumn("__features", features(F.col(text), [self.lexicon], F.lit(0)))
         if self.trees is None:
             found = F.expm1(F.element_at("__features", 2))
             return rows.withColumn("score", 1 - F.pow(F.lit(0.3), found)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("__features")
@@ -197,24 +216,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         known = known.filter(F.pmod(place, F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     # At most max_rows rows in expectation, so the broadcast is bounded.
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
-    rows = rows.select("text", "label", F.pmod(F.shiftright(place, 20), F.lit(5)).cast("int").alias("fold"), F.pmod(F.shiftright(place, 30), F.lit(PARTS)).cast("int").alias("part")).persist()
-    lexicon, crossed = learn_lexicons(rows)
-    if {r[0] for r in rows.filter("fold > 0").select("label").distinct().collect()} != {0, 1}:
+    rows = rows.select("text", "label", F.pmod(F.shiftright(place, 30), F.lit(PARTS)).cast("int").alias("part")).persist()
+    kinds = {(r["part"], r["label"]) for r in rows.select("part", "label").distinct().collect()}
+    *crossed, whole = learn_lexicons(rows)
+    if len(kinds) < 2 * PARTS:
         rows.unpersist()
-        return ToxicityModel(lexicon)
-    # One feature pass a part; the union keeps each row once.
-    parts = [rows.filter(F.col("part") == p).select("label", "fold", features(F.col("text"), seen).alias("f")) for p, seen in enumerate(crossed)]
-    table = reduce(DataFrame.unionByName, parts).select(F.col("label").cast("double").alias("label"), "fold", array_to_vector("f").alias("__features")).repartition(4).persist()
+        return ToxicityModel(whole)
+    table = rows.select(F.col("label").cast("double").alias("label"), "part", array_to_vector(features(F.col("text"), crossed, F.col("part"))).alias("__features")).repartition(4).persist()
     gbt = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=7)
     gbt = gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
-    # A calibration fold of few rows says little; then all rows calibrate, on features from lexicons that don't know them.
-    few = table.filter("fold = 0 and label = 1").count() < LEAST_CALIBRATION
-    trees = gbt.fit(table if few else table.filter("fold > 0"))
-    calibration = trees.transform(table if few else table.filter("fold = 0")).select("label", vector_to_array("__probability")[1].alias("raw"))
-    model = ToxicityModel(lexicon, trees)
-    if calibration.select("label").distinct().count() == 2:
-        iso = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration)
-        model.borders, model.levels = tuple(map(float, iso.boundaries)), tuple(map(float, iso.predictions))
+    # Each part is calibrated by trees that have not seen it.
+    calibration = None
+    for p in range(PARTS):
+        told = gbt.fit(table.filter(F.col("part") != p)).transform(table.filter(F.col("part") == p)).select("label", vector_to_array("__probability")[1].alias("raw"))
+        calibration = told if calibration is None else calibration.unionByName(told)
+    model = ToxicityModel(whole, gbt.fit(table))
+    iso = IsotonicRegression(featuresCol="raw", labelCol="label").fit(calibration)
+    model.borders, model.levels = tuple(map(float, iso.boundaries)), tuple(map(float, iso.predictions))
     table.unpersist()
     rows.unpersist()
     return model
