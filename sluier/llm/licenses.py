@@ -7,7 +7,8 @@ longer rules come first and use up their sentences, so the clauses of a licence
 time as a shorter one. Names in SPDX expressions are taken as written. The SQL has the one-line forms only. Work is row by row: nothing is shuffled.
 
 Defined cases: null and empty texts have no sentences; a known sentence that no rule uses is counted as
-unmatched; a licence that occurs several times is listed once; names are sorted.
+unmatched; a licence that occurs several times is listed once; names are sorted; repeated rows are scanned one by one; scan() replaces
+columns named sentence_ids, licenses or n_unmatched and keeps all others.
 """
 
 from __future__ import annotations
@@ -77,6 +78,10 @@ WRAPPED = rf"{_OPEN}{_BREAK}(?=[\p{{Ll}}(\"“'`])(?!{_STARTS})|(?<=[^\r\n]{{40}
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n*]+)"
 
 
+#: Stands for sentences that a rule has used.
+USED = "|used|"
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -95,19 +100,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     ids = F.filter(F.transform(worth, known), lambda x: x.isNotNull())
     # Most texts have no such word at all.
     rows = docs.withColumn("sentence_ids", F.when(body.rlike(f"(?i){WORTH}"), ids).otherwise(F.array().cast("array<string>")))
-    # The sequence as one string of identifiers between bars; what a rule uses up becomes a double bar.
+    # The sequence as one string of identifiers between bars; what a rule uses up becomes a mark that no rule has, so its neighbours don't meet.
     rows = rows.withColumn("__left", F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: F.concat(x, F.lit("|"))), "|")))
     found = []
     for i, (name, sequence) in enumerate(RULES + MORE_RULES):
         run = "|" + "||".join(sequence) + "|"
-        rows = rows.withColumn(f"__rule{i}", F.when(F.contains("__left", F.lit(run)), name)).withColumn("__left", F.replace("__left", F.lit(run), F.lit("")))
+        rows = rows.withColumn(f"__rule{i}", F.when(F.contains("__left", F.lit(run)), name)).withColumn("__left", F.replace("__left", F.lit(run), F.lit(USED)))
         found.append(f"__rule{i}")
     # Names of SPDX expressions, as they are written; an exception after WITH is no licence.
     told = F.transform(F.regexp_extract_all(body, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_extract_all(F.regexp_replace(x, r"(?i)\bWITH\s+\S+", ""), F.lit(r"[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0)))
     named = F.filter(F.flatten(told), lambda x: ~F.upper(x).isin("AND", "OR"))
     named = F.when(F.array_contains("sentence_ids", "spdx"), named).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("licenses", F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), named))))
-    left = F.size(F.filter(F.split("__left", "[|]+"), lambda x: x != ""))
+    left = F.size(F.filter(F.split("__left", "[|]+"), lambda x: ~x.isin("", "used")))
     return rows.withColumn("n_unmatched", left.cast("long")).drop("__left", *found)
 
 
@@ -123,7 +128,7 @@ def _sql() -> str:
     steps = []
     for i, (name, sequence) in enumerate(RULES):
         run = "|" + "||".join(sequence) + "|"
-        steps.append(f"s{i + 1} AS (SELECT *, CASE WHEN contains({left}, '{run}') THEN '{name}' END AS n{i}, replace({left}, '{run}', '') AS run{i + 1} FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT *, CASE WHEN contains({left}, '{run}') THEN '{name}' END AS n{i}, replace({left}, '{run}', '{USED}') AS run{i + 1} FROM s{i})")
         left = f"run{i + 1}"
         names.append(f"n{i}")
     return f"""
@@ -134,7 +139,7 @@ s0 AS (SELECT doc_id, ids, '|' || coalesce(array_to_string(list_transform(ids, l
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL))), ','), '') AS licenses,
-  CAST(len(list_filter(regexp_split_to_array({left}, '[|]+'), lambda x: x <> '')) AS BIGINT) AS n_unmatched
+  CAST(len(list_filter(regexp_split_to_array({left}, '[|]+'), lambda x: x NOT IN ('', 'used'))) AS BIGINT) AS n_unmatched
 FROM s{len(RULES)}
 """
 

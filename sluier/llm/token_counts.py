@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluier.llm.bpe import encode_texts, read_ranks, slices
-from sluier.session import shared_dir
+from sluier.session import working_dir
 
 END_OF_DOCUMENT, BLOCK, SEGMENT = 50_256, 65_536, 1_024
 _FILES = "part string, file string, block int, payload binary, doc_ids array<bigint>"
@@ -124,7 +124,7 @@ def blocks_of_files(files: DataFrame, block: int = BLOCK, width: int = 2) -> Dat
 
 def op8(docs: DataFrame, ranks: str) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sluier/tokens-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, ranks)
     written = spark.read.schema("file string, block int, payload binary, doc_ids array<bigint>, part string").parquet(path)
     tokens, names = written.filter("part = 'tokens'"), written.filter("part = 'names'")

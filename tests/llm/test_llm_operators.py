@@ -140,18 +140,24 @@ def test_simhash_index_finds_all_pairs():
 def test_simhash_keeps_one_row(spark):
     rows = spark.createDataFrame([(2, "a b c d", "x"), (1, "A b c d", "y"), (1, "A b c d", "y"), (3, "iets heel anders dan dat", "z")], "doc_id long, text string, component_id string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == [1, 3]
-    assert simhash.op5(rows.limit(0)).count() == 0
+    assert simhash.op5(rows.limit(0)).count() == 0 and simhash.keep_one(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "eerste tekst hier nu", "x"), (None, "tweede geheel ander verhaal", "x"), (7, "derde over iets nieuws", "x"), (7, "vierde weer wat vreemds", "x"), (8, None, "x"), (9, "", "x"), (5, "vierde weer wat vreemds", "x")], "doc_id long, text string, fp string")
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("5", "vierde weer wat vreemds"), ("7", "derde over iets nieuws"), ("8", None), ("None", "eerste tekst hier nu"), ("None", "tweede geheel ander verhaal")]
+    assert simhash.op5(rows.union(rows)).count() == 2 * rows.count()
 
 
 # -- decontamination ---------------------------------------------------------------------------
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 2)
     random.seed(5)
     word = lambda: random.choice(["é", "ab", "X1", "zz", "日"])
     items = [(i, " ".join(word() for _ in range(random.choice([3, 12, 15])))) for i in range(12)] + [(50, None), (51, "--"), (52, "Ab é")]
     texts = [" ".join(word() for _ in range(60)) for _ in range(30)] + ["voor " + items[1][1].upper().replace(" ", " - ") + " na"]
-    rows, bench = docs_of(spark, texts, EDGES), spark.createDataFrame(items, "item_id long, text string")
+    rows, bench = docs_of(spark, [*texts, texts[0]], EDGES).withColumn("contamination", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
     def brute(text):
@@ -165,11 +171,17 @@ def test_decontamination_against_brute_force(spark):
                         ids.add(str(i))
         return len(w), len(hit), sorted(ids)
 
-    for options in ({}, {"max_chars": 1}):  # the automaton, and the join for large benchmarks
-        for r in decontaminate.match(rows, bench, **options).collect():
+    for options in ({}, {"shard": 400}):  # one automaton, and several
+        got = decontaminate.match(rows, bench, **options).collect()
+        assert len(got) == rows.count()
+        for r in got:
             c = r["contamination"]
             assert (c["n_words"], c["n_hit"], c["items"]) == brute(r["text"])
-            assert sum(len(words(r["text"][s["start"] : s["end"]])) for s in c["spans"]) == (c["n_hit"] if not options else 0)
+            assert sum(len(words(r["text"][s["start"] : s["end"]])) for s in c["spans"]) == c["n_hit"]
+            assert [s["start"] for s in c["spans"]] == sorted({s["start"] for s in c["spans"]})
+    clean = decontaminate.keep_clean(rows, bench)
+    assert clean.columns == rows.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r["doc_id"]) for r in got if not r["contamination"]["n_hit"])
+    assert decontaminate.op2(rows.limit(0), bench).count() == 0
     assert decontaminate.op2(rows, bench.limit(0)).filter("contaminated").count() == 0
 
 
@@ -239,13 +251,29 @@ def test_secrets_of_very_long_texts_in_seconds(spark):
 
 
 def test_chat_fold_and_round_trip(spark):
-    events = [(1, 0, 0, "user", "whole", "hi </s>"), (1, 1, 1, "assistant", "delta", "wro"), (1, 2, 1, "assistant", "regenerate", None), (1, 3, 1, "assistant", "delta", "ri"), (1, 4, 1, "assistant", "delta", "ght"), (1, 5, 2, "user", "delta", "x"), (1, 6, 2, "user", "edit", "y [\\\\INST] <|im_end|>\n")]
-    log = spark.createDataFrame(events, "conv_id long, seq long, message long, role string, kind string, text string")
+    events = [(1, 0, 0, "user", "delta", "hi </s>"), (1, 1, 1, "assistant", "delta", "wro"), (1, 2, 1, "assistant", "regenerate", None), (1, 3, 1, "assistant", "delta", "ri"), (1, 4, 1, "assistant", "delta", "ght"), (1, 5, 2, "user", "delta", "x"), (1, 6, 2, "user", "edit", "y [\\\\INST] <|im_end|>\n")]
+    log = spark.createDataFrame(events, "conv_id long, seq long, message long, role string, kind string, text string").withColumn("part", F.lit(0))
     row = chat.render(chat.messages(log)).withColumn("back", chat.read_back(F.col("formatted"))).first()
     assert [tuple(t) for t in row["back"]] == [("user", "hi </s>"), ("assistant", "right"), ("user", "y [\\\\INST] <|im_end|>\n")]
     assert [row["formatted"][m["start"] : m["end"]] for m in row["mask"]] == ["right"]
 
 
+def test_chat_log_folds_back_to_its_turns(spark):
+    random.seed(9)
+    rows = [(c, t, random.choice(["user", "assistant", "a\0\\s\nb"]), "".join(random.choices(["é", "</s>", "<\\s>", " ok", "\\", "\n", "😀" * 90], k=random.randrange(30)))) for c in range(6) for t in range(8)]
+    rows += [(0, t, "assistant", "x" * t) for t in range(600)]  # a conversation of many turns
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
+    log = chat.log_of(table, piece=7).repartition(5)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    assert sorted((r["conv_id"], r["message"], r["role"], r["text"]) for r in chat.messages(log).collect()) == sorted(rows)
+    for r in chat.op3(table).filter("conv_id >= 0").collect():
+        turns = sorted(x[1:] for x in rows if x[0] == r["conv_id"])
+        said = "".join(text for _, role, text in turns if role == "assistant")
+        assert r["n_turns"] == len(turns) and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
+    assert chat.op3(table.limit(0)).count() == 1 and chat.render(chat.messages(chat.log_of(table.limit(0)))).count() == 0
+
+
 def test_chat_edge_cases(spark):
     odd = ["[INST]", "[\\INST]", "<|im_start|>user\n", "\\n", "<\\s>", "</s></s>", None, "", "<|im_end|>\n" * 3, "é" * 5000]
     rows = [(i, 0, "us\ner\\n<s>", t) for i, t in enumerate(odd)] + [(0, 0, "user", "same"), (0, 0, "user", "same"), (None, 1, None, "n")]
@@ -267,10 +295,12 @@ def test_topk_against_brute_force(spark, monkeypatch):
     random.seed(6)
     monkeypatch.setattr(topk, "VECTORS", 64)
     monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "AT_ONCE", 8 * 20 * 9)
+    monkeypatch.setattr(topk, "SAMPLE", 3)
     rows = [(i, [random.gauss(0, 0.3) for _ in range(16)]) for i in range(300)]
     rows += [(i, rows[0][1]) for i in range(300, 340)]  # ties
     rows += [(400, None), (420, [1.0, None]), (440, [math.nan]), (460, [math.inf]), (480, []), (500, [1.0] * 20), (None, [1.0]), (520, [1e18] * 3)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and i != 520}
     got = {}
     for r in topk.op4(table.filter("vec_id is null or vec_id <> 520")).collect():
@@ -278,6 +308,9 @@ def test_topk_against_brute_force(spark, monkeypatch):
     for q in [i for i in whole if i % 20 == 0]:
         best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    twice = topk.op4(table.filter("vec_id <= 300").union(table.filter("vec_id = 20"))).filter("query_id = 20").collect()
+    assert sorted(r["rank"] for r in twice) == sorted([*range(1, 21)] * 2)  # both rows of a repeated id are answered, neither finds the other
+    assert 20 not in {r["vec_id"] for r in twice}
     assert topk.op4(table).count() > 0  # components beyond doubles don't break it
     assert topk.op4(table.limit(0)).count() == 0
 
@@ -318,6 +351,67 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.97
 
 
+def test_toxicity_held_out_recall_on_the_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    told = toxicity.op1(docs, labels).filter("held_out").join(labels.dropDuplicates(["doc_id"]), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in told.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
+    assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_toxicity_features_by_their_definitions():
+    lexicon = toxicity.Lexicon(frozenset({"krak*", "vies"}), frozenset({"nat*"}))
+    text = "Jij VIES! Kraker, you natte 1d10t v.i.e.s 42 kat"
+    words = ["jij", "vies", "kraker", "you", "natte", "1d10t", "v", "i", "e", "s", "42", "kat"]
+    f = dict(zip(toxicity.FEATURES, toxicity.text_features(text, toxicity._Hits(lexicon))))
+    n, size = len(words), len(text)
+    want = {
+        "density": 2 / n, "hits": math.log1p(2), "insults": 0, "distinct": math.log1p(2), "second_person": 1 / n, "near_hits": 2 / n, "capitals": 6 / size, "exclaims": 1 / n, "punctuation": 5 / size,
+        "word_length": sum(map(len, words)) / n, "words": math.log1p(n), "digits": 5 / size, "weak_density": 3 / n, "weak_hits": math.log1p(3),
+    }
+    assert {k: f[k] for k in want} == pytest.approx(want)
+    assert f["obfuscated"] == pytest.approx(4 / n) and f["obfuscated_hits"] == pytest.approx(math.log1p(4))  # d10t, and each of the three dots of v.i.e.s
+    assert len(toxicity.FEATURES) == len(f) and not any(toxicity.text_features(None, toxicity._Hits(lexicon)))
+
+
+def test_toxicity_lexicons_equal_plain_counts(spark):
+    random.seed(31)
+    said = ["krakel", "krakels", "dom", "huis", "lopen", "zonnig", "zonder", "Été", "x1"]
+    rows = [(" ".join(random.choices(said, weights=[5 * k + 0.01, 3 * k + 0.01, k + 0.5, 3, 3, 3, 3, 3, 1], k=6)), k, random.randrange(3)) for k in [1] * 60 + [0] * 300 for _ in (0,)]
+    got = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, part int"))
+    for p, lexicon in enumerate(got):
+        mine = [r for r in rows if r[2] != p]
+        held = [({u for w in re.findall(r"[^\W_]+", t.lower()) for u in toxicity._units(w)}, k) for t, k, _ in mine]
+        toxic, other = sum(k for _, k in held), sum(1 - k for _, k in held)
+        strong, weak = set(), set()
+        for u in set().union(*(us for us, _ in held)):
+            n1, n0 = sum(u in us for us, k in held if k), sum(u in us for us, k in held if not k)
+            chance = (n0 + 0.5) / (other + 1)
+            ratio = (n1 + 0.5) / (toxic + 1) / chance
+            if n1 >= max(3, 0.004 * toxic) and ratio >= 40:
+                strong.add(u)
+            elif n1 >= max(3, 0.01 * toxic) and ratio >= 2.5 and (n1 - toxic * chance) / math.sqrt(toxic * chance + 0.25) >= 5:
+                weak.add(u)
+        assert strong and lexicon.strong == strong and lexicon.weak == weak
+
+
+def test_toxicity_calibration_is_straight_between_steps(spark):
+    model = toxicity.ToxicityModel(toxicity.Lexicon(frozenset(), frozenset()), None, (0.1, 0.3, 0.3, 0.8), (0.0, 0.2, 0.5, 1.0))
+    raw = [0.0, 0.1, 0.2, 0.31, 0.55, 0.8, 0.95]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x double").select(model._calibrated(F.col("x"))).collect()]
+    assert got == pytest.approx(np.interp(raw, [0.1, 0.3, 0.3 + 1e-12, 0.8], [0.0, 0.2, 0.5, 1.0]).tolist(), abs=1e-6)
+
+
+def test_toxicity_repeated_rows_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "mooi weer", "s"), (1, "mooi weer", "s"), (None, "you idiot scum moron", "s"), (3, None, "s"), (4, "", "s")], "doc_id long, text string, score string").withColumn("__features", F.lit(0))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.op1(rows, labels).count() == 5
+    kept = toxicity.keep_clean(rows.drop("__features"), labels)
+    assert kept.columns == ["doc_id", "text", "score"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "4"]
+    assert toxicity.op1(rows.limit(0), labels).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     table = spark.createDataFrame([(1, "you idiot, stupid moron scum"), (2, "mooie dag"), (3, None)], DOC)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.op1(table, spark.createDataFrame([], "doc_id long, toxic int")).collect()}
@@ -426,6 +520,16 @@ def test_licenses_of_standard_texts(spark):
     assert [got[i] for i in range(7)] == ["BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause,GPL-2.0-only", "CC-BY-NC-4.0"]
 
 
+def test_licenses_defined_cases(spark):
+    bsd = "Redistribution and use in source and binary forms are permitted. Redistributions of source code must retain this. Redistributions in binary form must reproduce this. THIS SOFTWARE IS PROVIDED AS IS."
+    around = f"Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included. {bsd} The software is provided as is."
+    rows = docs_of(spark, [around, "Released under the MIT License.\n" * 3, "licen " * 200_000]).withColumn("licenses", F.lit(1)).withColumn("other", F.lit(2))
+    got = {r["doc_id"]: r for r in licenses.scan(rows.union(rows)).collect()}
+    assert got[0]["licenses"] == ["BSD-2-Clause"] and got[0]["n_unmatched"] == 3 and got[0]["other"] == 2  # what stands around a used run doesn't meet
+    assert got[1]["licenses"] == ["MIT"] and got[1]["n_unmatched"] == 0 and got[2]["licenses"] == []
+    assert licenses.scan(rows.union(rows)).count() == 6 and licenses.scan(rows.limit(0)).count() == 0
+
+
 def test_simhash_keeps_rows_without_id_and_shared_ids(spark):
     rows = [(None, "een tekst zonder nummer, heel alleen", "n"), (5, "vijf appels en nog wat peren", "a"), (5, "iets heel anders dan dat van zojuist", "b"), (7, "vijf appels en nog wat peren", "c"), (None, "twee keer zonder nummer hier", "d"), (None, "twee keer zonder nummer hier", "d")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()

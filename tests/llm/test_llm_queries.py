@@ -1,10 +1,15 @@
 """The queries of the subpackage against their SQL, and the pipeline stage by stage."""
 
+import re
+
 import duckdb
+import public_tokenizers
 import pytest
+import test_llm_operators as brute
+import tiktoken
 
 import corpus_pipeline
-from sluier.llm import queries
+from sluier.llm import bpe, queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,6 +44,30 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DIR).count() == seen[-1]
 
 
+def test_pipeline_equals_plain_loops(spark):
+    """All stages by brute force but for the scores of the first, which are those of the query."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    toxic = {r["doc_id"] for r in queries.op1_toxicity(spark, DIR).collect() if r["predicted"]}
+    ids = sorted(set(docs) - toxic)
+    component = brute.brute_components(ids, [brute.brute_fingerprint(docs[i]) for i in ids])
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(queries.RANKS), special_tokens={})
+    want = {}
+    for i in ids:
+        w = words(docs[i])
+        if component[i] == i and not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1)):
+            out, at = [], 0
+            for a, _, b in sorted(sum(brute.brute_secrets(docs[i]), [])):
+                out += [docs[i][at:a], "[SECRET]"] if a >= at else []
+                at = max(at, b)
+            want[i] = coder.encode_ordinary("".join(out) + docs[i][at:])
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, DIR).collect()} == want
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
