@@ -18,7 +18,7 @@ from sluier.plans.q_detect import DETECTED_CTE, SQL_VALID, TYPES_CTE
 from sluier.plans.q_general import _EDIT_CTE, _OUT_CTE, _RARE, TEST_KEY, _keyed_cte
 from sluier.plans.q_review import _BASE as _REVIEW_BASE
 from sluier.plans.q_review import _decided, _entities
-from sluier.session import materialise, shared_dir
+from sluier.session import materialise, working_dir
 from sluier.sources import tables as T
 
 QUERIES: dict = {}
@@ -154,7 +154,7 @@ ORACLES["y6_difficulty_subset"] = f"SELECT * FROM ({_MIX}) WHERE difficulty = 'a
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sluier/{name}-{uuid.uuid4().hex}"
+    return f"{working_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_swept: set[str] = set()
+_local_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,21 +31,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sluier-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine on local masters, else an error."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(sc.applicationId)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="sluier-checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+def working_dir(spark: SparkSession) -> str:
+    """A folder in the shared one for this application's intermediate tables; it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark).rstrip('/')}/sluier/{app}"
+    if app not in _swept:
+        _swept.add(app)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(_delete, jvm, conf, path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # at the end of the driver its JVM may be gone
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sluier/{name}-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
