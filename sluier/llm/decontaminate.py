@@ -2,31 +2,36 @@
 
 Both sides are lower-cased (A-Z) and cut into words. Each different word of the benchmark has a symbol, any
 other word the symbol 0, so a text becomes one string of symbols that the automaton reads once; its
-patterns are the windows of `window` consecutive words (a shorter item is one window). Hits are word
-places; spans() maps them back to the original text.
+patterns are the windows of `window` consecutive words (a shorter item is one window). Hits are runs of word
+places with their offsets in the original text.
 
-The automaton's items are broadcast behind a check of their size (MAX_CHARS). A larger benchmark is
-matched by a join on window hashes instead, see match_by_join().
+The automaton's items are broadcast. A benchmark of more than SHARD characters is dealt into shards of about that size, long
+items in parts whose windows are all those of the item; each shard's automaton then reads the texts in a pass of its own, and the runs
+and items of all passes are united by document. So memory doesn't grow with the benchmark, and the results are the same.
 
 Defined cases: null texts have no words; an item without words has no window; items that share a
-window, or an item_id, all count, an id once; a null item_id takes no part; repeated documents are judged one by one.
+window, or an item_id, all count, an id once; a null item_id takes no part; repeated documents are judged one by one; match() replaces a
+column named contamination, keep_clean() keeps the columns as they are.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluier.session import materialise
+
 WINDOW = 10
-#: Characters of a benchmark that are broadcast at most.
-MAX_CHARS = 32_000_000
+#: Characters of a benchmark in one automaton (some 50 bytes of memory each), and windows of an item in one part.
+SHARD, PART = 4_000_000, 20_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
 _ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -83,122 +88,98 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-RESULT = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-    ]
-)
-_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("first", "last", "start", "end")])
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(_RUN))])
+_KIND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "start", "end")])))])
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[tuple[str, int], Matcher] = {}
 
 
-def _matcher(items, window: int) -> Matcher:
+def _matcher(items, name: str, window: int) -> Matcher:
     """The worker's automaton for a broadcast list."""
-    if (items.id, window) not in _matchers:
+    if (name, window) not in _matchers:
         _matchers.clear()
-        _matchers[items.id, window] = Matcher(items.value, window)
-    return _matchers[items.id, window]
-
-
-class _Items:
-    """A broadcast list of items and a name for it."""
+        _matchers[name, window] = Matcher(items.value, window)
+    return _matchers[name, window]
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else 0
 
-    @property
-    def value(self):
-        return self.broadcast.value
+def _parts_of(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """(id, text) of items in parts of at most PART windows, the words joined by blanks."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), _words(F.col(item_text)).alias("w")).filter("id is not null and size(w) > 0").distinct()
+    n = F.ceil(F.greatest(F.size("w") - (window - 1), F.lit(1)) / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("w", i * PART + 1, F.lit(PART + window - 1)), " "))
+    return items.select("id", F.explode(parts).alias("text"))
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
+def _finder(spark: SparkSession, parts: DataFrame, window: int):
+    """(broadcast, function): the function finds items and runs in a text column by the automaton of these parts."""
+    listed = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in parts.collect()])
+    name = uuid.uuid4().hex
 
-
-def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
-    """docs with a struct `contamination`: n_words, n_hit, items, spans (code points of the original text)."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    if size > max_chars:
-        return match_by_join(docs, items, text, window)
-    listed = _Items(docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in items.collect()]))
-
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(_FOUND)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = _matcher(listed, window)
+        matcher = _matcher(listed, name, window)
         for batch in batches:
             out = []
             for x in batch:
-                t = x.as_py()
-                n, runs, ids = matcher.hits(t)
-                out.append({"n_words": n, "n_hit": sum(b - a for a, b in runs), "items": ids, "spans": [{"start": a, "end": b} for a, b in spans(t or "", runs)]})
+                text = x.as_py()
+                n, runs, ids = matcher.hits(text)
+                placed = [{"first": a, "last": b, "start": c, "end": d} for (a, b), (c, d) in zip(runs, spans(text or "", runs), strict=True)]
+                out.append({"n_words": n, "items": ids, "runs": placed})
             yield pa.array(out, _KIND)
 
-    return docs.withColumn("contamination", found(F.col(text)))
+    return listed, found
 
 
-def _words(text: Column) -> Column:
-    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+def _told(found: Column) -> Column:
+    """n_words, n_hit, items, spans of what was found."""
+    runs = found["runs"]
+    hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return F.struct(found["n_words"].alias("n_words"), hit.alias("n_hit"), found["items"].alias("items"), F.transform(runs, lambda r: F.struct(r["start"], r["end"])).alias("spans"))
 
 
-def _windows(words: Column, window: int) -> Column:
-    """Structs (at, n, digest) of all windows of an array of words; two 64-bit hashes stand for a window's text."""
-
-    def one(at: Column) -> Column:
-        joined = F.array_join(F.slice(words, at, window), " ")
-        return F.struct((at - 1).alias("at"), F.least(F.size(words) - at + 1, F.lit(window)).alias("n"), F.md5(joined).alias("digest"))
-
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (window - 1), F.lit(1)))
-    return F.when(F.size(words) > 0, F.transform(places, one)).otherwise(F.array())
-
-
-def match_by_join(docs: DataFrame, items: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
-    """The same for a benchmark of any size: document windows meet item windows by digest.
-
-    Items of fewer words than a window are matched at their own length, one pass for each length that occurs.
-    Spans are left empty here; n_hit and items are exact.
-    """
-    rows = docs.withColumn("__row", F.uuid())
-    rows = _written(rows)
-    worded = rows.select("__row", _words(F.col(text)).alias("w"))
-    keyed = items.select("id", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    wanted = keyed.select("id", F.explode(_windows(F.col("w"), window)).alias("p")).select("id", "p.n", "p.digest").distinct()
-    lengths = [r[0] for r in wanted.select("n").distinct().collect()]  # at most `window` values
-    seen = None
-    for n in lengths:
-        part = worded.filter(F.size("w") >= n).select("__row", F.explode(_windows(F.col("w"), n)).alias("p")).select("__row", "p.at", "p.n", "p.digest")
-        seen = part if seen is None else seen.unionByName(part)
-    empty = rows.select("__row", F.size(_words(F.col(text))).cast("long").alias("n_words"))
-    if seen is None:
-        found = empty.select("__row", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    else:
-        hits = seen.join(wanted, ["n", "digest"])
-        ids = hits.groupBy("__row").agg(F.array_sort(F.collect_set("id")).alias("items"))
-        places = hits.select("__row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-        found = places.groupBy("__row").agg(F.count(F.lit(1)).alias("n_hit")).join(ids, "__row")
-    told = empty.join(found, "__row", "left").select(
-        "__row",
-        F.struct(
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-            F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-        ).alias("contamination"),
-    )
-    return rows.join(told, "__row").drop("__row")
+def united(runs: list[dict]) -> list[dict]:
+    """Runs that overlap or touch become one."""
+    out: list[dict] = []
+    for run in sorted(runs, key=lambda r: (r["first"], r["last"])):
+        if out and run["first"] <= out[-1]["last"]:
+            if run["last"] > out[-1]["last"]:
+                out[-1] = out[-1] | {"last": run["last"], "end": run["end"]}
+        else:
+            out.append(run)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_RUN))
+def _united(batch: pa.Array) -> pa.Array:
+    return pa.array([united(x.as_py()) for x in batch], _KIND.field("runs").type)
+
 
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+    """docs with a struct `contamination`: n_words, n_hit, items, spans (code points of the original text)."""
+    spark = docs.sparkSession
+    parts = _parts_of(benchmark, item_id, item_text, window)
+    size = parts.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
+    shards = max(1, -(-size // shard))
+    if shards == 1:
+        return docs.withColumn("__found", _finder(spark, parts, window)[1](F.col(text))).withColumn("contamination", _told(F.col("__found"))).drop("__found")
+    # Written once, so that a row has the same number in each pass.
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    passes = None
+    for i in range(shards):
+        listed, found = _finder(spark, parts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == i), window)
+        told = materialise(rows.select("__row", found(F.col(text)).alias("f")).filter((F.size("f.runs") > 0) | F.lit(i == 0)), "shard")
+        passes = told if passes is None else passes.unionByName(told)
+        listed.destroy()
+    every = lambda c: F.flatten(F.collect_list(f"f.{c}")).alias(c)  # noqa: E731  (a document has one row a pass at most)
+    whole = passes.groupBy("__row").agg(F.max("f.n_words").alias("n_words"), F.array_sort(F.array_distinct(every("items"))).alias("items"), every("runs"))
+    whole = whole.select("__row", F.struct("n_words", "items", _united(F.col("runs")).alias("runs")).alias("__found"))
+    return rows.join(whole, "__row").withColumn("contamination", _told(F.col("__found"))).drop("__row", "__found")
 
-def _written(rows: DataFrame) -> DataFrame:
-    from sluier.session import materialise
 
-    return materialise(rows, "rows")  # fixes the row names for all later reads
+def _words(text: Column) -> Column:
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
 
 
 def op2(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
