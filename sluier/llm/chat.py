@@ -1,18 +1,20 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions only.
 
-A log has one row per event: conv_id, seq, message, role, kind, text. Kinds: `delta` adds text to its
+A log has one row per event: conv_id, message, part, seq, role, kind, text. Kinds: `delta` adds text to its
 message, `edit` puts its text in the place of all before, `regenerate` empties the message for
-the deltas that follow, `whole` is a finished message. The fold has two steps, so that a long conversation isn't gathered with all its
-events: first the events of each message, by (conv_id, message), then the final messages of each conversation.
+the deltas that follow; other kinds (such as a `start` that tells the role) add nothing. The log is partitioned by
+conversation and message, sorted by seq and folded to the final message; the final messages are then gathered by
+conversation. So a long conversation isn't gathered with all its events. A table of finished turns is
+turned into such a log by log_of(): some turns are streamed, some regenerated, some edited.
 
 Rendering: <|im_start|>role\\ntext<|im_end|>\\n for each turn. Control strings inside roles and texts get one
 more backslash after their first character (any that are there already are kept), so no control string
-is left and taking one backslash away restores the text. A line feed in a role is written as \\n with the
-backslashes before it doubled.
+is left and taking one backslash away restores the text. In a role a backslash is written \\s and a line feed \\n.
 
-Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own;
-rows with equal (conv_id, turn) are ordered by role, then text; a conversation always has a row if it
-has an event; a message whose events are all regenerations has an empty text.
+Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own; a null message number
+comes first; messages with the same number are told apart by part and ordered by role, then text; a repeated turn stays twice; a conversation
+always has a row if it has an event; a message whose events are all regenerations has an empty text; the role is that of the last event that has
+one; columns other than these are not read. A conversation is one row of the result, so all its text must fit one task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluier.functions.spans import let
+from sluier.llm.arrays import stretches, walk
+
 # The strings that steer a chat model; (first character, rest).
 CONTROL = r"([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)"
 ESCAPED = r"([\[<])\\(\\*)(/?INST\]|/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)"
@@ -29,6 +34,10 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+#: Characters of a streamed piece.
+PIECE = 256
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
 
@@ -38,59 +47,72 @@ def unescaped(text: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def _role_in(role: Column) -> Column:
-    # Pairs of backslashes first, by a character that valid text has no use for.
-    plain = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\0"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: each row is an event of the kind `whole`, a message of its own."""
-    return conversations.select(
-        "conv_id",
-        F.col("turn").alias("seq"),
-        F.col("turn").alias("message"),
-        "role",
-        F.lit("whole").alias("kind"),
-        "text",
+def log_of(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) as the log of a chat server: each turn is a message that starts with its role.
+
+    By a hash of the turn a fourth of them is streamed in pieces, a fourth begun and regenerated, a fourth begun and edited to its first
+    half before the rest is streamed, and a fourth put right by an edit at the end.
+    """
+    text, none_ = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+    event = lambda kind, body, role=none_: F.struct(F.lit(kind).alias("kind"), body.alias("text"), role.alias("role"))
+
+    def deltas(body: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.floor((F.length(body) - 1) / piece).cast("int"), F.lit(0)))
+        return F.transform(places, lambda i: event("delta", F.substring(body, i * piece + 1, F.lit(piece))))
+
+    half = F.floor(F.length(text) / 2).cast("int")
+    begun, start = event("delta", F.substring(text, 1, piece)), F.array(event("start", none_, F.col("role")))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
+    rest = (
+        F.when(way == 0, deltas(text))
+        .when(way == 1, F.concat(F.array(begun, event("regenerate", none_)), deltas(text)))
+        .when(way == 2, F.concat(F.array(begun, event("edit", F.substring(text, F.lit(1), half))), deltas(F.substring(text, half + 1, F.length(text)))))
+        .otherwise(F.array(begun, event("edit", text)))
     )
+    # The row's number tells repeated turns apart; it is the same however often a part of the table is read.
+    turns = conversations.select("conv_id", F.col("turn").alias("message"), F.monotonically_increasing_id().alias("part"), F.concat(start, rest).alias("events"))
+    turns = turns.select("conv_id", "message", "part", F.posexplode("events").alias("seq", "e"))
+    return turns.select("conv_id", "message", "part", "seq", "e.role", "e.kind", "e.text")
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """(conv_id, message, part, role, text): the fold of each message's events in the order of seq.
+    """(conv_id, message, part, role, text): the fold of each message's events in the order of seq."""
+    step = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
+    by_message = events.groupBy("conv_id", "message", "part").agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
-    Events of the kind `whole` stay messages of their own even if they share a number; part tells them apart.
-    """
-    step = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_message = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    whole = F.filter("steps", lambda s: s["kind"] == "whole")
-    streamed = F.filter("steps", lambda s: s["kind"] != "whole")
-    resets = F.filter(F.transform(streamed, lambda s, i: F.when(s["kind"] != "delta", i)), lambda i: i.isNotNull())
-    since = F.coalesce(F.array_max(resets), F.lit(0))
-    live = F.filter(F.slice(streamed, since + 1, F.size(streamed)), lambda s: s["kind"] != "regenerate")
-    folded = F.struct(F.element_at(streamed, -1)["role"].alias("role"), F.array_join(F.transform(live, lambda s: s["text"]), "").alias("text"))
-    every = F.concat(F.transform(whole, lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text"))), F.when(F.size(streamed) > 0, F.array(folded)).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
-    return by_message.select("conv_id", "message", F.posexplode(every).alias("part", "m")).select("conv_id", "message", "part", "m.role", "m.text")
+    def folded(steps: Column) -> Column:
+        resets = F.filter(F.transform(steps, lambda s, i: F.when(s["kind"].isin("edit", "regenerate"), i)), lambda i: i.isNotNull())
+        live = F.filter(F.slice(steps, F.coalesce(F.array_max(resets), F.lit(0)) + 1, F.size(steps)), lambda s: s["kind"].isin("edit", "delta"))
+        roles = F.filter(F.transform(steps, lambda s: s["role"]), lambda r: r.isNotNull())
+        return F.struct(F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(F.transform(live, lambda s: s["text"]), "").alias("text"))
+
+    return by_message.select("conv_id", "message", "part", let(F.col("steps"), folded).alias("m")).select("conv_id", "message", "part", "m.role", "m.text")
 
 
 def render(final: DataFrame, trained: str = "assistant") -> DataFrame:
     """(conv_id, formatted, mask): one string a conversation; mask: spans (start, end) in it that carry loss."""
-    piece = F.concat(F.lit(OPEN), _role_out(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(CLOSE))
-    body = F.length(F.lit(OPEN)) + F.length(_role_out(F.col("role"))) + 1
-    turn = F.struct("message", "part", piece.alias("piece"), (F.col("role") == trained).alias("loss"), body.alias("body"), F.length(escaped(F.col("text"))).alias("length"))
-    whole = final.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = final.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "role", "text", "part"))).alias("turns"))
+
+    def shown(t: Column) -> Column:
+        lead = F.concat(F.lit(OPEN), _role_out(t["role"]), F.lit("\n"))
+        return F.struct((t["role"] == trained).alias("loss"), lead.alias("lead"), escaped(t["text"]).alias("body"))
 
     def add(state: Column, t: Column) -> Column:
-        start = state["at"] + t["body"]
-        span = F.struct(start.alias("start"), (start + t["length"]).alias("end"))
-        return F.struct((state["at"] + F.length(t["piece"])).alias("at"), F.when(t["loss"], F.concat(state["mask"], F.array(span))).otherwise(state["mask"]).alias("mask"))
+        start = state["at"] + F.length(t["lead"])
+        end = start + F.length(t["body"])
+        mask = F.when(t["loss"], F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(state["out"])
+        return F.struct((end + len(CLOSE)).alias("at"), mask.alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    mask = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("mask")), add, lambda s: s["mask"])
-    return whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), mask.alias("mask"))
+    pieces = whole.select("conv_id", F.transform("turns", shown).alias("turns"))
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["lead"], t["body"], F.lit(CLOSE))), "")
+    return pieces.select("conv_id", formatted.alias("formatted"), walk(F.col("turns"), add, "array<struct<start:int,end:int>>").alias("mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -108,9 +130,9 @@ def read_back(formatted: Column) -> Column:
 def op3(conversations: DataFrame) -> DataFrame:
     extra = conversations.sparkSession.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    shown = render(messages(events_of(rows)))
+    shown = render(messages(log_of(rows)))
     turns = shown.withColumn("turns", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform("mask", lambda m: unescaped(F.substring("formatted", m["start"] + 1, m["end"] - m["start"]))), "")
+    loss = F.array_join(F.transform(stretches(F.col("formatted"), F.col("mask")), unescaped), "")
     return turns.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -121,7 +143,7 @@ def op3(conversations: DataFrame) -> DataFrame:
     )
 
 
-_SQL_CONTROL, _SQL_ROLE = CONTROL.replace("'", "''"), "replace(replace(role, '\\', '\\\\'), chr(10), '\\n')"
+_SQL_CONTROL, _SQL_ROLE = CONTROL.replace("'", "''"), "replace(replace(role, '\\', '\\s'), chr(10), '\\n')"
 
 OP3_SQL = f"""
 WITH row_of AS (

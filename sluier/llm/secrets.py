@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluier.functions.spans import let
+from sluier.llm.arrays import blocks, none, walk
 
 # The kinds in the order in which they are listed, with their patterns (Java and RE2 alike).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,32 +34,10 @@ KINDS = ["assign", "access", "hex", "user", "key", "endpoint"]
 
 LEAST_ASSIGNED, KEY_LENGTH, SCOPE = 6, 40, 200
 MASK = "[SECRET]"
-#: Spans that are folded, or compared with a candidate, at once.
-BLOCK = 256
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _none(kind: str = _SPANS) -> Column:
-    return F.array().cast(kind)
-
-
-def _blocks(items: Column) -> Column:
-    """An array in parts of BLOCK elements."""
-    n = F.ceil(F.size(items) / BLOCK).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
-
-
-def _walk(items: Column, step: Callable[[Column, Column], Column], kind: str = _SPANS) -> Column:
-    """Fold items with a state (at, out), out being an array; by blocks, so that a long array isn't copied for each of its elements."""
-
-    def block(state: Column, some: Column) -> Column:
-        folded = F.aggregate(some, F.struct(state["at"].alias("at"), _none(kind).alias("out")), step)
-        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
-
-    return F.aggregate(_blocks(items), F.struct(F.lit(0).alias("at"), _none(kind).alias("out")), block, lambda s: s["out"])
-
-
 def _spans(text: Column, pattern: str, kind: int, keep: Callable[[Column, Column], Column] | None = None) -> Column:
     """All matches as (start, kind, end); keep(match, value) tells those that count, value being group 2 of the pattern if it has one."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -73,19 +52,19 @@ def _spans(text: Column, pattern: str, kind: int, keep: Callable[[Column, Column
         more = F.when(counts, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
-    return F.when(text.rlike(pattern), let(parts, lambda every: _walk(every, add))).otherwise(_none())
+    return F.when(text.rlike(pattern), let(parts, lambda every: walk(every, add, _SPANS))).otherwise(none(_SPANS))
 
 
 def _bounded(spans: Column) -> Column:
     """Spans sorted by start, in blocks with the least start and the greatest end of each."""
     bounds = lambda b: F.struct(b[0]["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans"))
-    return F.transform(_blocks(F.array_sort(spans)), bounds)
+    return F.transform(blocks(F.array_sort(spans)), bounds)
 
 
-def _meets(blocks: Column, span: Column, reach: int) -> Column:
+def _meets(bounded: Column, span: Column, reach: int) -> Column:
     """Whether a span is at most reach characters away from one of the spans; -1: whether it overlaps one."""
     near = lambda low, high: (low <= span["end"] + reach) & (high >= span["start"] - reach)
-    return F.exists(blocks, lambda b: near(b["low"], b["high"]) & F.exists(b["spans"], lambda s: near(s["start"], s["end"])))
+    return F.exists(bounded, lambda b: near(b["low"], b["high"]) & F.exists(b["spans"], lambda s: near(s["start"], s["end"])))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,7 +92,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
 
-    return rows.withColumn("linked", F.when(worth, F.array_sort(let(weak, link))).otherwise(_none())).drop("__base")
+    return rows.withColumn("linked", F.when(worth, F.array_sort(let(weak, link))).otherwise(none(_SPANS))).drop("__base")
 
 
 def listed(spans: Column) -> Column:
@@ -133,7 +112,7 @@ def masked(text: Column, spans: Column) -> Column:
 
     def shown(parts: Column) -> Column:
         # Each block's stretch of the text is taken once, its parts from that.
-        return let(_blocks(parts), lambda blocks: F.concat(F.array_join(F.transform(blocks, lambda b, i: stretch(b, F.when(i > 0, F.element_at(F.get(blocks, i - 1), -1)["end"]).otherwise(0))), ""), F.substring(text, F.element_at(parts, -1)["end"] + 1, F.lit(2**31 - 1))))
+        return let(blocks(parts), lambda every: F.concat(F.array_join(F.transform(every, lambda b, i: stretch(b, F.when(i > 0, F.element_at(F.get(every, i - 1), -1)["end"]).otherwise(0))), ""), F.substring(text, F.element_at(parts, -1)["end"] + 1, F.lit(2**31 - 1))))
 
     def stretch(b: Column, at: Column) -> Column:
         def piece(own: Column) -> Column:
@@ -142,7 +121,7 @@ def masked(text: Column, spans: Column) -> Column:
 
         return let(F.substring(text, at + 1, F.element_at(b, -1)["end"] - at), piece)
 
-    return F.when(F.size(spans) > 0, let(spans, lambda every: let(_walk(every, cut, kind), shown))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, lambda every: let(walk(every, cut, kind), shown))).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
