@@ -17,7 +17,9 @@ Components: alternating star contractions over the links, each round written to
 
 Defined cases: null text counts as empty; a text without words has fingerprint 0, which links like any
 other; a text of fewer words than a shingle is one shingle; rows with the same text share a
-fingerprint; a null doc_id never becomes a component id unless no other row of the component has one.
+fingerprint; a null doc_id never becomes a component id unless no other row of the component has one; near_duplicates() has one
+row for each row, repeated ones too, and reads no other columns; keep_one() keeps all columns as they are. A fingerprint or a
+node that very many rows share is one key of a join; adaptive execution splits such a key's rows, there is nothing to gather.
 """
 
 from __future__ import annotations
@@ -238,10 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of star contraction: every node sends its larger neighbours to its smallest one, then the
     reverse for the smaller ones. Each round groups by node with map-side minima and joins; no group is
-    collected. The number of rounds grows with the logarithm of the longest chain.
+    collected. The number of rounds grows with the logarithm of the longest chain; they end when a round changes no edge.
     """
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     while True:
         # Large star: neighbours above u go to u's smallest neighbour or itself.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -251,12 +252,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array_distinct(F.array("u", "v"))).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = materialise(small, "star")
+        # Both are without repeats, so equal counts and no new edge mean the same edges.
+        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
         drop_materialised(edges)
         edges = after
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if state == before:
+        if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -273,16 +274,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that of the smallest doc_id, a null doc_id last, and of rows that share it that of the smallest text hash.
 
-    Rows are told apart by doc_id and text hash, so a doc_id that several texts share may stay once for each component.
+    Rows are told apart by doc_id and text hash, so a doc_id that texts of several components share stays once for each component, and
+    rows without a doc_id are kept like others; of rows with the same doc_id and text any one is kept.
     """
     row = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     rows = materialise(docs.select(row.alias("row"), fingerprint(F.col(text), SHINGLE).alias("fp")), "fingerprints")
     first = materialise(rows.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
     linked = components(links(first.select("fp"), DISTANCE))
     roots = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = roots.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__chosen"))
-    kept = docs.withColumn("__hash", F.xxhash64(text)).join(chosen, F.col("__hash").eqNullSafe(F.col("__chosen")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    chosen = roots.groupBy("root").agg(F.min("row").alias("row")).select(*_row_key(F.col("row.id"), F.col("row.hash")))
+    # The same keys for both steps, so that the texts are shuffled once.
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), *_row_key(F.col(doc_id), F.xxhash64(text))).join(chosen, ["__unknown", "__id", "__hash"], "left_semi")
+    return kept.dropDuplicates(["__unknown", "__id", "__hash"]).select("__doc.*")
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> tuple[Column, Column, Column]:
+    return doc_id.isNull().alias("__unknown"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("__id"), text_hash.alias("__hash")
 
 
 def op5(docs: DataFrame) -> DataFrame:
