@@ -30,28 +30,46 @@ def none(kind: str = FOUND) -> Column:
     return F.array().cast(kind)
 
 
+def blocks(items: Column) -> Column:
+    """An array in parts of CHUNK elements."""
+    n = F.ceil(F.size(items) / CHUNK).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def walk(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Fold items with a state (at int, out array of kind); by blocks, so that a long array isn't copied for each of its elements. The result is out."""
+
+    def block(state: Column, some: Column) -> Column:
+        folded = F.aggregate(some, F.struct(state["at"].alias("at"), none(kind).alias("out")), step)
+        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
+
+    return F.aggregate(blocks(items), F.struct(F.lit(0).alias("at"), none(kind).alias("out")), block, lambda s: s["out"])
+
+
+#: Stands between matches and what is around them; a text that holds it is matched in two passes.
+MARK = "\x01"
+
+
 def scan(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a pattern, leftmost first, not overlapping: (start, end, text); those for which keep() is false go."""
     rx = java(pattern)
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("m"), F.split(text, rx, -1).alias("g"))
 
     def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["g"])
-        end = start + F.coalesce(F.length(part["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["m"].alias("text"))
-        good = part["m"].isNotNull() if keep is None else part["m"].isNotNull() & keep(part["m"])
+        end = state["at"] + F.length(part["text"])
+        span = F.struct(state["at"].alias("start"), end.alias("end"), part["text"].alias("text"))
+        good = part["match"] if keep is None else part["match"] & keep(part["text"])
         return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    def chunk(state: Column, some: Column) -> Column:
-        folded = F.aggregate(some, F.struct(state["at"].alias("at"), none().alias("out")), step)
-        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
-
-    def fold(every: Column) -> Column:
-        # In chunks, so that a text with very many matches doesn't copy its list of spans for each of them.
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda c: F.slice(every, c * CHUNK + 1, F.lit(CHUNK)))
-        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none().alias("out")), chunk, lambda s: s["out"])
-
-    return F.when(text.rlike(rx), let(parts, fold)).otherwise(none())
+    # One pass puts marks around the matches; pieces then alternate between gaps and matches. In ASCII texts the Unicode classes
+    # tell nothing more, and cost three times as much.
+    ascii_only = F.octet_length(text) == F.length(text)
+    put = lambda r: F.regexp_replace(text, r, f"{MARK}$0{MARK}")
+    marked = F.split(F.when(ascii_only, put(pattern)).otherwise(put(rx)), MARK, -1)
+    matches, gaps = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
+    plain = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(matches), F.array(g, F.get(matches, i))).otherwise(F.array(g))))
+    pieces = F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
+    parts = lambda every: F.transform(every, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("match")))
+    return let(pieces, lambda every: F.when(F.size(every) > 1, walk(parts(every), step, FOUND)).otherwise(none()))
 
 
 def overlap(a: Column, b: Column) -> Column:

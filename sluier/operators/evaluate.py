@@ -1,13 +1,13 @@
 """Scores of detectors against labelled spans.
 
 gold: doc_id, start, end, text, entity_type. pred: runner, doc_id, start, end, text, entity_type. Gold and
-predictions meet once, as arrays of one (runner, doc_id) each, on a co-partition by doc_id; matching
-then runs in the row.
+predictions meet once, as arrays of one (doc_id, entity_type) each, on a co-partition by these; matching
+then runs in the row, among spans of one type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluier.functions import spans as S
@@ -15,17 +15,28 @@ from sluier.operators.entity_types import category_of, entity_types
 
 PAIRED = "array<struct<g:int,p:int>>"
 MODES = ("exact", "overlap")
+SPANS = "array<struct<start:int,end:int,entity_type:string,text:string>>"
+#: Detectors that are compared at once, at most.
+MOST_RUNNERS = 1000
+
+
+def _runners(pred: DataFrame, runners: DataFrame | None) -> Column:
+    """The names of the detectors, an array; they are a handful."""
+    names = [r["runner"] for r in (pred.select("runner").distinct() if runners is None else runners).limit(MOST_RUNNERS + 1).collect()]
+    if len(names) > MOST_RUNNERS:
+        raise ValueError(f"more than {MOST_RUNNERS} runners")
+    return F.array(*map(F.lit, names)).cast("array<string>")
 
 
 def paired(gold: DataFrame, pred: DataFrame, runners: DataFrame | None = None) -> DataFrame:
-    """(runner, doc_id, gold, pred): arrays in the order of the text, for every runner and every document that has either."""
-    runners = pred.select("runner").distinct() if runners is None else runners
+    """(runner, doc_id, entity_type, gold, pred): arrays in the order of the text, for every runner and every document and type that has either."""
     span = F.struct("start", "end", "entity_type", "text")
-    g = gold.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("gold"))
-    g = g.withColumn("runner", F.explode(F.array(*(F.lit(r["runner"]) for r in runners.collect()))))  # a handful of detectors
-    p = pred.groupBy("runner", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("pred"))
-    kind = "array<struct<start:int,end:int,entity_type:string,text:string>>"
-    return g.join(p, ["runner", "doc_id"], "full").select("runner", "doc_id", F.coalesce("gold", S.none(kind)).alias("gold"), F.coalesce("pred", S.none(kind)).alias("pred"))
+    g = gold.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(span)).alias("gold"))
+    p = pred.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "runner"))).alias("every"))
+    mine = lambda r: F.struct(r.alias("runner"), F.filter("every", lambda x: x["runner"] == r).cast("array<struct<start:int,end:int,entity_type:string,text:string,runner:string>>").alias("pred"))
+    rows = g.join(p, ["doc_id", "entity_type"], "full").select("doc_id", "entity_type", F.coalesce("gold", S.none(SPANS)).alias("gold"), F.explode(F.transform(_runners(pred, runners), mine)).alias("r"))
+    told = F.transform(F.coalesce("r.pred", F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,runner:string>>")), lambda x: x.dropFields("runner")).cast(SPANS)
+    return rows.select("r.runner", "doc_id", "entity_type", "gold", told.alias("pred")).filter("size(gold) + size(pred) > 0")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -33,32 +44,36 @@ def _shared(a: Column, b: Column) -> Column:
 
 
 def matches(gold: Column, pred: Column, mode: str) -> Column:
-    """Pairs (g, p) of places, one to one. Gold in order takes the unused prediction of its type: the equal one, or the one with the largest overlap (first on a tie)."""
-    def step(done: Column, g: Column, numbered: Column) -> Column:
+    """Pairs (g, p) of places, one to one. Gold in order takes the unused prediction of its type: the equal one, or the one with the largest overlap (first on a tie).
+
+    Both are sorted by start, so a prediction that ends before a gold span is out of the game for all that follow.
+    """
+
+    def step(state: Column, g: Column) -> Column:
         same = lambda x: (x["p"]["entity_type"] == g["g"]["entity_type"]) & ((x["p"]["start"] == g["g"]["start"]) & (x["p"]["end"] == g["g"]["end"]) if mode == "exact" else _shared(x["p"], g["g"]) > 0)
-        fit = F.filter(F.filter(numbered, same), lambda x: ~F.exists(done, lambda d: d["p"] == x["i"]))
+        fit = F.filter(state["open"], same)
         if mode == "exact":
             best = F.try_element_at(fit, F.lit(1))["i"]
         else:
             best = -F.array_max(F.transform(fit, lambda x: F.struct(_shared(x["p"], g["g"]).alias("n"), (-x["i"]).alias("i"))))["i"]
-        return S.let(best, lambda b: F.when(b.isNotNull(), F.concat(done, F.array(F.struct(g["i"].alias("g"), b.alias("p"))))).otherwise(done))
+
+        def taken(b: Column) -> Column:
+            rest = F.filter(state["open"], lambda x: (x["p"]["end"] > g["g"]["start"]) & (b.isNull() | (x["i"] != b)))
+            done = F.when(b.isNotNull(), F.concat(state["done"], F.array(F.struct(g["i"].alias("g"), b.alias("p"))))).otherwise(state["done"])
+            return F.struct(done.alias("done"), rest.alias("open"))
+
+        return S.let(best, taken)
 
     gold_numbered = F.transform(gold, lambda g, i: F.struct(i.alias("i"), g.alias("g")))
     pred_numbered = F.transform(pred, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    return S.let(pred_numbered, lambda numbered: F.aggregate(gold_numbered, S.none(PAIRED), lambda done, g: step(done, g, numbered)))
+    return F.aggregate(gold_numbered, F.struct(S.none(PAIRED).alias("done"), pred_numbered.alias("open")), step, lambda s: s["done"])
 
 
 def type_counts(pairs: DataFrame, mode: str) -> DataFrame:
     """(runner, mode, entity_type, tp, fp, fn)."""
-    rows = pairs.withColumn("m", matches(F.col("gold"), F.col("pred"), mode))
-    row = lambda t, tp, g, p: F.struct(t.alias("t"), F.lit(tp).alias("tp"), F.lit(g).alias("g"), F.lit(p).alias("p"))
-    every = F.concat(
-        F.transform("m", lambda m: row(F.element_at("gold", m["g"] + 1)["entity_type"], 1, 0, 0)),
-        F.transform("gold", lambda g: row(g["entity_type"], 0, 1, 0)),
-        F.transform("pred", lambda p: row(p["entity_type"], 0, 0, 1)),
-    )
-    summed = rows.select("runner", F.explode(every).alias("x")).groupBy("runner", F.col("x.t").alias("entity_type")).agg(F.sum("x.tp").alias("tp"), F.sum("x.g").alias("n_gold"), F.sum("x.p").alias("n_pred"))
-    return summed.select("runner", F.lit(mode).alias("mode"), "entity_type", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
+    tp = F.size(matches(F.col("gold"), F.col("pred"), mode)).cast("bigint")
+    n = pairs.groupBy("runner", "entity_type").agg(F.sum(tp).alias("tp"), F.sum(F.size("gold")).alias("n_gold"), F.sum(F.size("pred")).alias("n_pred"))
+    return n.select("runner", F.lit(mode).alias("mode"), "entity_type", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -116,27 +131,52 @@ def confusion(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("m", matches(F.col("gold"), F.col("pred"), "overlap"))
     left = F.filter(F.transform("gold", lambda g, i: F.when(~F.exists("m", lambda m: m["g"] == i), g)), lambda g: g.isNotNull())
     right = F.filter(F.transform("pred", lambda p, i: F.when(~F.exists("m", lambda m: m["p"] == i), p)), lambda p: p.isNotNull())
+    rest = rows.select("runner", "doc_id", left.alias("l"), right.alias("r")).filter("size(l) + size(r) > 0")
+    rest = rest.groupBy("runner", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"), F.array_sort(F.flatten(F.collect_list("r"))).alias("r")).filter("size(l) > 0 and size(r) > 0")
     anonymous = lambda spans: F.transform(spans, lambda s: s.withField("entity_type", F.lit("")))
-    rows = rows.withColumns({"l": left, "r": right})
-    rows = rows.withColumn("c", matches(anonymous(F.col("l")), anonymous(F.col("r")), "overlap"))
+    rest = rest.withColumn("c", matches(anonymous(F.col("l")), anonymous(F.col("r")), "overlap"))
     told = F.transform("c", lambda m: F.struct(F.element_at("l", m["g"] + 1)["entity_type"].alias("gold_type"), F.element_at("r", m["p"] + 1)["entity_type"].alias("pred_type")))
-    return rows.select("runner", F.explode(told).alias("x")).groupBy("runner", "x.gold_type", "x.pred_type").agg(F.count(F.lit(1)).alias("n"))
+    return rest.select("runner", F.explode(told).alias("x")).groupBy("runner", "x.gold_type", "x.pred_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STRETCH = "array<struct<start:int,end:int>>"
+
+
+def _joined(spans: Column) -> Column:
+    """Stretches that cover the same text as the spans (sorted by start) and don't overlap; empty where a span adds nothing."""
+
+    def add(state: Column, s: Column) -> Column:
+        part = F.struct(F.greatest(s["start"], state["at"]).alias("start"), F.greatest(s["end"], state["at"]).alias("end"))
+        return F.struct(part["end"].alias("at"), F.concat(state["out"], F.array(part)).alias("out"))
+
+    return S.walk(spans, add, _STRETCH)
+
+
+def _covered(bounded: Column, g: Column) -> Column:
+    """Characters of a span that stretches cover; they come in blocks with bounds, of which only those near the span are read."""
+    near = F.filter(bounded, lambda b: (b["low"] < g["end"]) & (b["high"] > g["start"]))
+    inside = lambda n, s: n + F.greatest(F.lit(0), F.least(s["end"], g["end"]) - F.greatest(s["start"], g["start"]))
+    return F.aggregate(near, F.lit(0), lambda n, b: n + F.aggregate(b["part"], F.lit(0), inside))
 
 
 def coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(runner, doc_id, start, end, entity_type, text, covered): share of each gold span under the union of a runner's predictions of any type.
 
-    A range join on doc_id; the union is summed by a running maximum of ends, so touching and nested predictions count once.
+    Gold and predictions of a document meet once, as arrays; predictions become stretches without overlap, so touching and nested ones count once.
     """
-    runners = F.array(*(F.lit(r["runner"]) for r in pred.select("runner").distinct().collect()))
-    keys = ["runner", "doc_id", "start", "end", "entity_type", "text"]
-    g = gold.select(F.explode(runners).alias("runner"), "doc_id", "start", "end", "entity_type", "text")
-    p = pred.select("runner", "doc_id", F.col("start").alias("ps"), F.col("end").alias("pe")).distinct()
-    met = g.join(p, ["runner", "doc_id"]).filter("ps < end and start < pe").withColumns({"a": F.greatest("ps", "start"), "b": F.least("pe", "end")})
-    w = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.greatest(F.col("a"), F.coalesce(F.max("b").over(w), F.col("a")))
-    parts = met.withColumn("new", F.greatest(F.lit(0), F.col("b") - seen)).groupBy(*keys).agg(F.sum("new").alias("n"))
-    return g.join(parts, keys, "left").select(*keys, F.round(F.coalesce("n", F.lit(0)) / (F.col("end") - F.col("start")), 6).alias("covered"))
+    g = gold.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "entity_type", "text")).alias("gold"))
+    p = pred.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "runner"))).alias("every"))
+
+    def told(r: Column) -> Column:
+        mine = F.filter(F.coalesce("every", F.array().cast("array<struct<start:int,end:int,runner:string>>")), lambda x: x["runner"] == r)
+        bounds = lambda b: F.struct(b[0]["start"].alias("low"), F.element_at(b, -1)["end"].alias("high"), b.alias("part"))
+        bounded = F.transform(S.blocks(_joined(mine)), bounds)
+        return S.let(bounded, lambda b: F.struct(r.alias("runner"), F.transform("gold", lambda x: F.struct(x.alias("g"), _covered(b, x).alias("n"))).alias("spans")))
+
+    rows = g.join(p, "doc_id", "left").select("doc_id", F.explode(F.transform(_runners(pred, None), told)).alias("r"))
+    rows = rows.select("r.runner", "doc_id", F.explode("r.spans").alias("x"))
+    share = F.round(F.col("x.n") / (F.col("x.g.end") - F.col("x.g.start")), 6)
+    return rows.select("runner", "doc_id", "x.g.start", "x.g.end", "x.g.entity_type", "x.g.text", share.alias("covered"))
 
 
 def exposed(covered: DataFrame) -> DataFrame:

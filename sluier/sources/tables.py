@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluier.operators.entity_types import entity_types
@@ -82,7 +82,7 @@ def verify_checksums(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """files (path, sha256) against manifests (dataset_file, sha256): name, ok."""
     name = F.element_at(F.split("path", "/"), -1)
     m = manifests.select(F.col("dataset_file").alias("name"), F.col("sha256").alias("__said"))
-    return files.withColumn("name", name).join(F.broadcast(m), "name", "left").select("name", F.col("sha256").eqNullSafe(F.col("__said")).alias("ok"))
+    return files.withColumn("name", name).join(m, "name", "left").select("name", F.col("sha256").eqNullSafe(F.col("__said")).alias("ok"))
 
 
 def resolve_manifest(manifests: DataFrame, dataset_file: str, preferred: list[str]) -> DataFrame:
@@ -98,10 +98,13 @@ def append_content(df: DataFrame, base: str, table: str) -> None:
     df.write.mode("append").parquet(f"{base.rstrip('/')}/{table}")
 
 
+def bucket_of(session_id: str) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(VAULT_BUCKETS)).cast("int")
+
+
 def append_vault(mappings: DataFrame, base: str) -> None:
     """Append mappings to the vault, by bucket of the session, so later joins on session read what they need."""
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(VAULT_BUCKETS)).cast("int")
-    mappings.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(f"{base.rstrip('/')}/mappings")
+    mappings.withColumn("bucket", bucket_of("session_id")).write.mode("append").partitionBy("bucket").parquet(f"{base.rstrip('/')}/mappings")
 
 
 def read_table(spark: SparkSession, base: str, table: str, schema: str | None = None) -> DataFrame:

@@ -188,3 +188,19 @@ def test_names_are_replaced_and_doubtful_finds_hold(spark, tmp_path):
     assert strict[1]["held"] and len(strict[1]["pending"]) == 2 and strict[1]["outbound_text"] is None and not strict[3]["held"]
     process_batch(docs, 0, f"{tmp_path}/content", f"{tmp_path}/vault", KEY)
     assert {r["original"] for r in spark.read.parquet(f"{tmp_path}/vault/mappings").collect()} == {"Jansen", "De Vries"}
+
+
+def test_a_batch_reads_only_its_buckets_of_the_vault(spark, tmp_path):
+    from sluier.sources.tables import bucket_of
+    from sluier.streaming.pipeline import known_mappings, process_batch
+
+    vault = f"{tmp_path}/vault"
+    batches = [[(f"d{i}", f"s{i}", f"Huisarts: Jansen. Mail a{i}@x.nl") for i in range(12)], [("e", "s3", "Huisarts: Jansen. Mail b@x.nl")]]
+    for again in (0, 0, 1, 1):  # each batch is run twice
+        process_batch(spark.createDataFrame(batches[again], "doc_id string, session_id string, text string"), again, f"{tmp_path}/content", vault, KEY)
+    rows = spark.read.parquet(f"{vault}/mappings").select("session_id", "original", "batch").collect()
+    assert len(rows) == 25 and {(r["original"], r["batch"]) for r in rows if r["session_id"] == "s3"} == {("Jansen", 0), ("a3@x.nl", 0), ("b@x.nl", 1)}
+    bucket = spark.range(1).select(bucket_of(F.lit("s3"))).first()[0]
+    known = known_mappings(spark, vault, [bucket, -1], 1)
+    assert known.inputFiles() and all(f"bucket={bucket}/" in f for f in known.inputFiles())
+    assert known_mappings(spark, vault, [-1], 1) is None
