@@ -7,6 +7,7 @@ the last stage encodes what is left. SQL can't express the first stage, so ORACL
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluier.llm import bpe, decontaminate, secrets, simhash, toxicity
 from sluier.llm.queries import RANKS
@@ -37,8 +38,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ids and n_tokens in the place of the text; columns of these names are replaced."""
     ship(spark)
-    return docs.select("doc_id", "lang", "source", bpe.encode(docs["text"], RANKS).alias("ids")).selectExpr("doc_id", "lang", "source", "cast(size(ids) AS bigint) AS n_tokens", "ids")
+    coded = docs.withColumn("ids", bpe.encode(docs["text"], RANKS))
+    return coded.withColumn("n_tokens", F.size("ids").cast("bigint")).drop("text")
 
 
 STAGES = [

@@ -71,7 +71,9 @@ def d2_detect_email_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(_documents(spark, sf_dir).select("doc_id", D.of_type(F.col("text"), "email").alias("s")))
 
 
-_ASCII_EMAIL = r"[0-9A-Za-z_.+-]+@[0-9A-Za-z_.-]+\.[A-Za-z]{2,}"
+_SQL_EMAIL = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+ORACLES["d2_detect_email_documents"] = f"""WITH found AS (SELECT doc_id, unnest({sql_scan("coalesce(text, '')", _SQL_EMAIL)}) AS s FROM documents)
+SELECT doc_id, s.start AS "start", s."end" AS "end", s.text AS original FROM found"""
 
 
 def d14_detect_context_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,17 +97,19 @@ ORACLES["n6_coalesce_names"] = ORACLES["n3_drop_subsumed_spans"]
 
 
 def n7_dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against a gazetteer of the two-word beginnings of benchmark texts (ASCII letters only)."""
+    """Documents against a gazetteer of all runs of four words (ASCII letters only) of the benchmark texts."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    entries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.array_join(F.slice(words, 1, 2), " ").alias("surface"), F.lit("org").alias("entity_type")).filter("surface like '% %'").distinct()
+    runs = lambda w: F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
+    entries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(S.let(words, runs)).alias("surface")).distinct().select("surface", F.lit("org").alias("entity_type"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ").alias("text"))
     return N.dictionary_entities(docs, entries).select("doc_id", "start", "end", "text", "entity_type")
 
 
-ORACLES["n7_dictionary_entities"] = f"""WITH entry AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:2], ' ') AS surface FROM benchmark),
+ORACLES["n7_dictionary_entities"] = f"""WITH listed AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+entry AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS surface FROM listed, unnest(range(1, len(w) - 2)) AS r(i)),
 d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS text FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, text, unnest(range(1, len(s))) AS i, s FROM (SELECT doc_id, text, {sql_scan('text', '[a-z]+')} AS s FROM d)),
-hit AS (SELECT doc_id, s[i].start AS "start", s[i + 1]."end" AS "end", substr(text, s[i].start + 1, s[i + 1]."end" - s[i].start) AS surface FROM w),
+w AS (SELECT doc_id, text, unnest(range(1, len(s) - 2)) AS i, s FROM (SELECT doc_id, text, {sql_scan('text', '[a-z]+')} AS s FROM d)),
+hit AS (SELECT doc_id, s[i].start AS "start", s[i + 3]."end" AS "end", substr(text, s[i].start + 1, s[i + 3]."end" - s[i].start) AS surface FROM w),
 f AS (SELECT hit.* FROM hit JOIN entry USING (surface)),
 k AS (SELECT doc_id, list_sort(list({{'n': "start" - "end", 'start': "start", 'end': "end", 'text': surface}})) AS every FROM f GROUP BY 1),
 kept AS (SELECT doc_id, unnest(list_reduce(list_transform(every, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.start < x[1]."end" AND x[1].start < y."end")) > 0 THEN a ELSE a || x END)) AS s FROM k)
@@ -138,19 +142,23 @@ def n10_merge_window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.select("doc_id", "offset", F.length("part").alias("n"), F.explode(S.scan(F.col("part"), r"[A-Z][A-Za-z]{4,}")).alias("s"))
     cut = ((F.col("s.start") == 0) & (F.col("offset") > 0)) | (F.col("s.end") == F.col("n"))
     scored = found.select("doc_id", "offset", "s.start", "s.end", F.lit("org").alias("entity_type"), F.when(cut, 0.5).otherwise(0.9).alias("score"))
-    return N.merge_window_spans(scored).groupBy("doc_id").agg(F.count(F.lit(1)).alias("finds"))
+    return N.merge_window_spans(scored).select("doc_id", "start", "end", "entity_type")
+
+
+# A word cut by a window is whole in the next one, so merging must give the words of the whole text.
+ORACLES["n10_merge_window_spans"] = f"""WITH f AS (SELECT doc_id, unnest({sql_scan("coalesce(text, '')", '[A-Z][A-Za-z]{4,}')}) AS s FROM documents) SELECT doc_id, s.start AS "start", s."end" AS "end", 'org' AS entity_type FROM f"""
 
 
 def n11_model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detector of the user's: every `Huisarts` label."""
+    """A detector of the user's: every word `op`, of which a dossier has several."""
 
     def detect(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": i, "end": i + 8, "label": "PER"} for i in [t.find("Huisarts")] if i >= 0])
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "label": "PER"} for m in re.finditer(r"\bop\b", t)])
 
     return N.map_labels(N.model_spans(dossiers(spark, sf_dir), detect))
 
 
-ORACLES["n11_model_spans"] = f"""WITH {DOSSIER_CTE} SELECT doc_id, CAST(instr(text, 'Huisarts') - 1 AS INT) AS "start", CAST(instr(text, 'Huisarts') + 7 AS INT) AS "end", 'PER' AS label, 'name' AS entity_type, CAST(0.9 AS DOUBLE) AS confidence FROM dossier"""
+ORACLES["n11_model_spans"] = f"""WITH {DOSSIER_CTE}, f AS (SELECT doc_id, unnest({sql_scan('text', ' op ')}) AS s FROM dossier) SELECT doc_id, CAST(s.start + 1 AS INT) AS "start", CAST(s."end" - 1 AS INT) AS "end", 'PER' AS label, 'name' AS entity_type, CAST(0.9 AS DOUBLE) AS confidence FROM f"""
 
 
 def l6_supplement_names(spark: SparkSession, sf_dir: str) -> DataFrame:

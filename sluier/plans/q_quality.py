@@ -129,17 +129,20 @@ WHEN entity_type = 'age' AND CAST(regexp_extract(text, '[0-9]+') AS INT) >= 90 T
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many records as there are customers, a third adversarial."""
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    return Y.scenario_mix(spark, n, 0.3, ["basis", "contact", "leeftijd"], ["ongeldig", "adres"])
+    """A record for each customer, a third adversarial; its text names the customer and the scenario."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("i"), "c_name", "c_acctbal")
+    mix = Y.scenario_mix(spark, customers.count(), 0.3, ["basis", "contact", "leeftijd"], ["ongeldig", "adres"]).withColumn("i", F.col("i") + 1)
+    text = F.concat_ws(" ", F.lit("Naam"), "c_name", F.lit("geval"), "scenario", F.when(F.col("c_acctbal") < 0, "schuld"))
+    return customers.join(mix, "i").select("i", "difficulty", "scenario", text.alias("text"))
 
 
 def y5_scenario_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)
 
 
-_MIX = """SELECT i, CASE WHEN i < n - h THEN 'normal' ELSE 'adversarial' END AS difficulty, CASE WHEN i < n - h THEN (['basis', 'contact', 'leeftijd'])[i % 3 + 1] ELSE (['ongeldig', 'adres'])[(i - (n - h)) % 2 + 1] END AS scenario
-FROM (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS h FROM customer), unnest(range(0, n)) AS r(i)"""
+_MIX = """SELECT c_custkey AS i, difficulty, scenario, 'Naam ' || c_name || ' geval ' || scenario || CASE WHEN c_acctbal < 0 THEN ' schuld' ELSE '' END AS text FROM customer JOIN (
+  SELECT i + 1 AS i, CASE WHEN i < n - h THEN 'normal' ELSE 'adversarial' END AS difficulty, CASE WHEN i < n - h THEN (['basis', 'contact', 'leeftijd'])[i % 3 + 1] ELSE (['ongeldig', 'adres'])[(i - (n - h)) % 2 + 1] END AS scenario
+  FROM (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS h FROM customer), unnest(range(0, n)) AS r(i)) AS mix ON mix.i = c_custkey"""
 ORACLES["y5_scenario_mix"] = _MIX
 
 
@@ -240,6 +243,22 @@ def s8_dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["s8_dataset_fingerprint"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, true AS stable FROM {t}" for t in ("orders", "customer", "events", "documents"))
 
 
+def s8_verify_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON lines, a file for each status, against a manifest of their digests in which that of `P` is wrong."""
+    path = _path(spark, "dataset")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("status", F.col("o_orderstatus"))
+    orders.repartition("status").write.partitionBy("status").json(path)
+    files = T.file_fingerprints(spark, f"{path}/*").withColumn("status", F.regexp_extract("path", "status=([^/]*)/", 1))
+    said = F.when(F.col("status") == "P", F.reverse("sha256")).otherwise(F.col("sha256"))
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    told = T.verify_checksums(files.select("path", "sha256"), files.select(name.alias("dataset_file"), said.alias("sha256")), depth=2)
+    rows = spark.read.schema("o_orderkey bigint, status string").json(path).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+    return told.select(F.regexp_extract("name", "status=([^/]*)/", 1).alias("status"), "ok").join(rows, "status").select("status", "rows", "ok")
+
+
+ORACLES["s8_verify_manifest"] = "SELECT o_orderstatus AS status, count(*) AS rows, o_orderstatus <> 'P' AS ok FROM orders GROUP BY 1"
+
+
 def s9_resolve_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's manifest names a dataset; of several the preferred name wins."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("/m/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("path"), F.concat(F.lit("set"), (F.col("s_suppkey") % 3).cast("string"), F.lit(".jsonl")).alias("dataset_file"))

@@ -78,9 +78,9 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))
 
 
-def verify_checksums(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """files (path, sha256) against manifests (dataset_file, sha256): name, ok."""
-    name = F.element_at(F.split("path", "/"), -1)
+def verify_checksums(files: DataFrame, manifests: DataFrame, depth: int = 1) -> DataFrame:
+    """files (path, sha256) against manifests (dataset_file, sha256): name, ok. A name is the last depth parts of a path."""
+    name = F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/")
     m = manifests.select(F.col("dataset_file").alias("name"), F.col("sha256").alias("__said"))
     return files.withColumn("name", name).join(m, "name", "left").select("name", F.col("sha256").eqNullSafe(F.col("__said")).alias("ok"))
 
