@@ -1,36 +1,11 @@
-"""Folds over long arrays in one row."""
+"""Long arrays in one row."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluier.functions.spans import let
-
-#: Elements that are folded at once.
-BLOCK = 256
-
-
-def none(kind: str) -> Column:
-    return F.array().cast(kind)
-
-
-def blocks(items: Column) -> Column:
-    """An array in parts of BLOCK elements."""
-    n = F.ceil(F.size(items) / BLOCK).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
-
-
-def walk(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """Fold items with a state (at int, out array of kind); by blocks, so that a long array isn't copied for each of its elements. The result is out."""
-
-    def block(state: Column, some: Column) -> Column:
-        folded = F.aggregate(some, F.struct(state["at"].alias("at"), none(kind).alias("out")), step)
-        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(state["out"], f["out"]).alias("out")))
-
-    return F.aggregate(blocks(items), F.struct(F.lit(0).alias("at"), none(kind).alias("out")), block, lambda s: s["out"])
+from sluier.functions.spans import blocks, let
 
 
 def stretches(text: Column, spans: Column) -> Column:

@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluier.functions.spans import let
-from sluier.llm.arrays import stretches, walk
+from sluier.functions.spans import let, walk
+from sluier.llm.arrays import stretches
 
 # The strings that steer a chat model; (first character, rest).
 CONTROL = r"([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)"

@@ -20,8 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluier.functions.spans import let
-from sluier.llm.arrays import blocks, none, walk
+from sluier.functions.spans import blocks, let, none, walk
 
 # The kinds in the order in which they are listed, with their patterns (Java and RE2 alike).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
