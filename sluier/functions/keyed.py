@@ -53,9 +53,13 @@ def hmac_sha256(inner: Column, outer: Column, message: Column) -> Column:
     return F.sha2(F.unhex(F.concat(outer, first)), 256)
 
 
+#: White space of any kind.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(value: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def pseudonym(pads: Column, entity_type: Column, original: Column, code: Column, width: int = WIDTH) -> Column:

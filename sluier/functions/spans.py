@@ -69,7 +69,14 @@ def scan(text: Column, pattern: str, keep: Callable[[Column], Column] | None = N
     plain = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(matches), F.array(g, F.get(matches, i))).otherwise(F.array(g))))
     pieces = F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
     parts = lambda every: F.transform(every, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("match")))
-    return let(pieces, lambda every: F.when(F.size(every) > 1, walk(parts(every), step, FOUND)).otherwise(none()))
+
+    def only(every: Column) -> Column:
+        # A single match, the most common case, needs no fold.
+        start, found = F.length(every[0]), every[1]
+        one = F.array(F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("text")))
+        return one if keep is None else F.when(keep(found), one).otherwise(none())
+
+    return let(pieces, lambda every: F.when(F.size(every) == 1, none()).when(F.size(every) == 3, only(every)).otherwise(walk(parts(every), step, FOUND)))
 
 
 def overlap(a: Column, b: Column) -> Column:
