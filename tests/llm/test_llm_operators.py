@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -550,6 +551,52 @@ def test_url_counts_are_whole_and_scores_follow_the_definition(spark):
         assert abs(got[i] - (log("allow", t) - log("block", t)) / len(t)) < 1e-6
 
 
+def test_urls_equal_plain_loops(spark):
+    random.seed(17)
+    hosts = ["a.net", "example.net", "x.example.net", "notexample.net", "net", "EXAMPLE.com", "www.example.com", "b.org", "org", "c.test"]
+    made = [f"http{random.choice(['', 's'])}://{random.choice(hosts)}{random.choice(['', '/', '/en/', '/de/x', '/fr/y', '/en', '/fr'])}{random.choice(['', '?q=é', '#z', '?a=/en/'])}{random.choice(['', str(random.randrange(50))])}" for _ in range(700)]
+    rows = [(i, u) for i, u in enumerate([*made, None, "", "net/en/", "://", "a://b.net", "ftp://EXAMPLE.NET/en/?", made[0]])]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+    def split(u):
+        if u is None or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.split("[?#]", rest[len(host) :])[0]
+
+    want, judged = {}, {}
+    for i, u in rows:
+        host, path = split(u)
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        want[i] = (host, path, best and best[0] + best[1], best and best[2])
+        if best:
+            judged[i] = (u, best[2], zlib.crc32(u.encode()) % urls.FOLDS)
+    cells = {v: {} for v in ("allow", "block")}
+    for u, v, fold in judged.values():
+        for a in range(len(u) if fold else 0):
+            for b in range(max(0, a - urls.ORDER), a + 1):
+                cells[v][u[b : a + 1]] = cells[v].get(u[b : a + 1], 0) + 1
+    models = {v: urls.MarkovModel(c) for v, c in cells.items()}
+    log = lambda v, t: sum(math.log(models[v].probability(t[max(0, k - urls.ORDER) : k], c)) for k, c in enumerate(t))
+    score = lambda t: round((log("allow", t) - log("block", t)) / len(t), 9) if t else 0.0
+    bins = {}
+    for u, v, fold in judged.values():
+        if not fold:
+            bins.setdefault(round(score(u) / urls.BIN), [0, 0])[v == "block"] += 1
+    border = urls._threshold(sorted((k, a, b) for k, (a, b) in bins.items()))
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: r for r in urls.op6(table).collect()}
+    assert len(got) == len(rows)
+    for i, u in rows:
+        host, path, rule, verdict = want[i]
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("allow" if score(u or "") >= border else "block")), (u, score(u or ""), border)
+    assert urls.op6(table.limit(0)).count() == 0 and urls.op6(table.union(table)).count() == 2 * len(rows)
+
+
 def test_url_query_and_missing_scheme_tell(spark):
     made = [(i, f"http://s.example.net/{'en' if i % 2 else 'xx'}/{i}?{'goed' if i % 2 else 'slecht'}") for i in range(200)]
     odd = [(300, "http://a.test/?goedgoedgoed"), (301, "http://a.test/?slechtslechtslecht"), (302, "goedgoedgoed"), (303, "slechtslechtslecht")]
