@@ -40,8 +40,7 @@ scored AS (SELECT runner, mode, entity_type, tp, fp, fn, round(p, 4) AS "precisi
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    return E.type_counts(pairs, "exact").unionByName(E.type_counts(pairs, "overlap"))
+    return E.type_counts(_pairs(spark, sf_dir), *E.MODES)
 
 
 def _matched(mode: str):
