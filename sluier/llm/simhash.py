@@ -25,10 +25,8 @@ node that very many rows share is one key of a join; adaptive execution splits s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
