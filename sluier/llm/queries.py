@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluier.llm import align, bpe, chat, decontaminate, licenses, secrets, sentencepieces, simhash, token_counts, topk, toxicity, urls
+from sluier.llm import align, bpe, chat, collocations, decontaminate, licenses, secrets, sentencepieces, simhash, token_counts, topk, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -62,6 +62,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op11(_table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.op12(_table(spark, sf_dir, "documents"), PIECES)
 
@@ -81,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": topk.OP4_SQL,
         "op9_licenses": licenses.OP9_SQL,
         "op10_secrets": secrets.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
