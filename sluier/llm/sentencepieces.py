@@ -9,8 +9,8 @@ without a piece become byte pieces.
 
 Defined cases: null counts as empty; an empty text has no pieces; begin and end ids are never written; control strings
 inside a text are plain text; a piece that stands for added blanks only has an empty span; a byte piece has the span of its byte, or of the
-whole rewritten stretch. Models other than BPE, and models with user-defined or unused pieces, are refused. round_trip() replaces
-columns named ids, spans or decoded; other columns, repeated rows and their order in a partition stay.
+whole rewritten stretch. Models other than BPE, and models with user-defined or unused pieces, are refused. round_trip() replaces columns
+named ids, ends or decoded; other columns, repeated rows and their order in a partition stay.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluier.llm.bpe import Lists, slices
+from sluier.llm.bpe import Lists, Places, _ranges, slices
 
 BLANK = "▁"  # fixed value: how models write a blank
 #: Words whose pieces a worker remembers; beyond, they are made anew.
 MAX_WORDS = 250_000
-#: Characters of a word up to which neighbours are compared anew after each join, without a heap.
-SHORT = 48
-#: The score of two neighbours that aren't a piece together.
-NEVER = float("-inf")
+#: Characters up to which words are joined in step, in rows of the next of these widths, and rows at once; a longer word is joined by itself.
+WIDTHS, ROWS = (2, 4, 8, 12, 16, 24, 32, 64), 1 << 14
+#: The rank of two neighbours that aren't a piece together.
+NEVER = 1 << 60
+#: Bits of a symbol's number in a pair, and what stands for a symbol that went into the one before it.
+SHIFT, GONE = 22, -1
 # Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -162,6 +164,30 @@ class Normaliser:
         return bytes(out), [*origin, end]
 
 
+class _Symbols(dict):
+    """Character or piece -> number; characters without a piece get the numbers behind the pieces."""
+
+    def __init__(self, ids: dict[str, int], n: int):
+        super().__init__(ids)
+        self.n, self.characters = n, []
+
+    def __missing__(self, character: str) -> int:
+        number = self[character] = self.n + len(self.characters)
+        self.characters.append(character)
+        return number
+
+
+class _Words(dict):
+    """Word -> place of its ids; a new word gets the next one."""
+
+    def __init__(self, model: Model, before: str = ""):
+        self.model, self.before = model, before
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = self.model.wait(self.before + word)
+        return place
+
+
 class Model:
     """A BPE model file."""
 
@@ -177,13 +203,15 @@ class Model:
             raise ValueError("not a BPE model of normal, byte and control pieces only")
         self.normaliser = Normaliser(CharacterMap(rules.get(2, b"")), *(bool(rules.get(k, 1)) for k in (3, 4, 5)))
         self.ids = {piece: i for i, piece in enumerate(self.pieces) if self.kinds[i] == NORMAL}
-        self.scores = {piece: struct.unpack("<f", pieces[i].get(2, b"\0\0\0\0"))[0] for piece, i in self.ids.items()}
+        self._tabulate({piece: struct.unpack("<f", pieces[i].get(2, b"\0\0\0\0"))[0] for piece, i in self.ids.items()})
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, kind in enumerate(self.kinds) if kind == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.unknown_text = trainer.get(44, b" \xe2\x81\x87 ").decode()
         self.is_byte = np.array([kind == BYTE for kind in self.kinds])
         #: Whether words can be cut on their own: no piece, nor a run of unknown characters, goes on across a blank.
         self.by_word = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids) and (BLANK in self.ids or bool(self.bytes))
+        #: Whether a word can be cut where letters and other signs meet: no piece holds both.
+        self.by_run = not any(len(_RUN.findall(piece)) > 1 for piece in self.ids) and bool(self.bytes)
         #: Bytes that a piece takes of the normalised text.
         self.sizes = np.array([1 if kind == BYTE else len(piece.encode()) for piece, kind in zip(self.pieces, self.kinds)], np.int64)
         self.written = [self._written(i) for i in range(len(pieces))]
@@ -191,109 +219,186 @@ class Model:
         self._clear()
 
     def _clear(self) -> None:
-        self.places, self.known = {}, Lists()
-        self.waiting: list[list[int]] = []
+        self.whole, self.bare, self.known = _Words(self), _Words(self, BLANK), Lists()
+        self.waiting: list[str] = []
 
     def _written(self, i: int) -> bytes:
         kind, piece = self.kinds[i], self.pieces[i]
         return {CONTROL: b"", BYTE: bytes([int(piece[3:5], 16)]) if kind == BYTE else b"", UNKNOWN: self.unknown_text.encode()}.get(kind, piece.replace(BLANK, " ").encode())
 
+    def _tabulate(self, scores: dict[str, float]) -> None:
+        """Two symbols -> the rank of their joining (equal scores have equal ranks) and the piece it makes. Symbols are pieces, or characters without one."""
+        self.symbols = _Symbols(self.ids, len(self.pieces))
+        order = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        pairs: dict[int, tuple[int, int]] = {}
+        known = lambda part: len(part) == 1 or part in scores
+        for piece, score in scores.items():
+            for i in range(1, len(piece)):
+                if known(piece[:i]) and known(piece[i:]):
+                    pairs[self.symbols[piece[:i]] << SHIFT | self.symbols[piece[i:]]] = order[score], self.ids[piece]
+        self.pairs = Places()
+        self.pairs.put(np.array(list(pairs), np.int64), np.arange(len(pairs), dtype=np.int32))
+        #: The rank and the piece of each pair; the last place is that of pairs that are none.
+        self.rank, self.joined = (np.array([*(pair[k] for pair in pairs.values()), none], np.int64) for k, none in enumerate((NEVER, -1)))
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs; -1, the last one, for what is none."""
+        out = np.full(left.shape, -1, np.int64)
+        both = (left >= 0) & (right >= 0)
+        out[both] = self.pairs.find(left[both] << SHIFT | right[both])
+        return out
+
     # -- encoding
 
-    def join(self, word: str) -> list[str]:
-        """The symbols left when the neighbours of highest score, leftmost first, have been joined until none can be."""
-        parts, score = list(word), self.scores.get
-        if len(parts) > SHORT:
-            return self._join_long(parts)
-        ranked = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        while ranked:
-            best = max(ranked)
-            if best == NEVER:
-                break
-            at = ranked.index(best)
-            whole = parts[at] = parts[at] + parts.pop(at + 1)
-            del ranked[at]
-            if at:
-                ranked[at - 1] = score(parts[at - 1] + whole, NEVER)
-            if at < len(ranked):
-                ranked[at] = score(whole + parts[at + 1], NEVER)
-        return parts
-
-    def _join_long(self, parts: list[str]) -> list[str]:
-        n, scores = len(parts), self.scores
+    def join(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols, filled up with -1: in each row the neighbours of best rank, leftmost first, are joined until none can be; all rows at once."""
+        out, row = symbols.copy(), np.arange(len(symbols))
+        held, pair = symbols, self._pair(symbols[:, :-1], symbols[:, 1:])
+        column = np.arange(symbols.shape[1])
+        while len(row) and held.shape[1] > 1:
+            rank = self.rank[pair]
+            at = rank.argmin(axis=1)
+            going = rank[np.arange(len(row)), at] < NEVER
+            if not going.all():
+                out[row[~going]] = held[~going]
+                row, held, pair, at = row[going], held[going], pair[going], at[going]
+                if not len(row):
+                    break
+            every = np.arange(len(row))
+            whole = self.joined[pair[every, at]]
+            behind = np.minimum(column + (column > at[:, None]), len(column) - 1)
+            moved = np.take_along_axis(held, behind, axis=1)
+            moved[:, -1] = -1
+            moved[every, at] = whole
+            pair = np.take_along_axis(pair, np.minimum(column[:-1] + (column[:-1] >= at[:, None]), len(column) - 2), axis=1)
+            pair[:, -1] = -1
+            held = moved
+            for place in (at - 1, at):
+                inside = (place >= 0) & (place < len(column) - 1)
+                pair[every[inside], place[inside]] = self._pair(held[every[inside], place[inside]], held[every[inside], place[inside] + 1])
+        out[row] = held
+        return out
+
+    def _join_long(self, parts: list[int]) -> list[int]:
+        """The same of one long row, by a heap."""
+        n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(-score, i, i + 1, parts[i] + parts[i + 1]) for i in range(n - 1) if (score := scores.get(parts[i] + parts[i + 1])) is not None]
+        found = self._pair(np.array(parts[:-1]), np.array(parts[1:])).tolist()
+        heap = [(int(self.rank[pair]), i, i + 1, pair) for i, pair in enumerate(found) if pair >= 0]
         heapq.heapify(heap)
+        now = [*found, -1]  # the pair that begins with a symbol
         while heap:
-            _, a, b, whole = heapq.heappop(heap)
-            if not parts[a] or not parts[b] or right[a] != b or parts[a] + parts[b] != whole:
+            _, a, b, pair = heapq.heappop(heap)
+            if right[a] != b or now[a] != pair:
                 continue
-            parts[a], parts[b], right[a] = whole, "", right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
+            parts[a], parts[b], right[a], right[b], now[b] = int(self.joined[pair]), GONE, right[b], -1, -1
+            if right[a] >= 0:
+                left[right[a]] = a
             for x, y in ((left[a], a), (a, right[a])):
-                if x >= 0 and y >= 0 and (score := scores.get(parts[x] + parts[y])) is not None:
-                    heapq.heappush(heap, (-score, x, y, parts[x] + parts[y]))
-        return [part for part in parts if part]
-
-    def ids_of(self, word: str) -> list[int]:
-        """Ids of the pieces of a stretch of normalised text."""
-        out: list[int] = []
-        ids = self.ids
-        for part in self.join(word):
-            known = ids.get(part)
-            if known is not None:
-                out.append(known)
-            elif self.bytes:
-                out += [self.bytes[byte] for byte in part.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+                if x >= 0:
+                    now[x] = int(self._pair(np.array([parts[x]]), np.array([parts[y]]))[0]) if y >= 0 else -1
+                    if now[x] >= 0:
+                        heapq.heappush(heap, (int(self.rank[now[x]]), x, y, now[x]))
+        return [part for part in parts if part != GONE]
+
+    def _joined(self, runs: list[str]) -> Lists:
+        """Ids of the pieces of different stretches of normalised text."""
+        points = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        different, which = np.unique(points, return_inverse=True)
+        symbols = np.array([self.symbols[chr(point)] for point in different.tolist()], np.int64)[which]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        starts = np.cumsum(sizes) - sizes
+        who, counts, values, below = [], [], [], 0
+        for width in (*WIDTHS, None):
+            some = np.flatnonzero((sizes > below) & (sizes <= width)) if width else np.flatnonzero(sizes > below)
+            for k in range(0, len(some), ROWS) if width else range(len(some)):
+                part = some[k : k + (ROWS if width else 1)]
+                if width:
+                    rows = np.full((len(part), width), -1)
+                    rows[np.arange(width) < sizes[part, None]] = symbols[_ranges(starts[part], sizes[part])]
+                    rows = self.join(rows)
+                    flat, held = rows[rows >= 0], (rows >= 0).sum(axis=1)
+                else:
+                    flat = np.array(self._join_long(symbols[starts[part[0]] : starts[part[0]] + sizes[part[0]]].tolist()))
+                    held = np.array([len(flat)])
+                flat, held = self._spelt(flat, held)
+                who.append(part)
+                counts.append(held)
+                values.append(flat)
+            below = width
+        out = Lists()
+        if runs:
+            who, counts, values = (np.concatenate(x) for x in (who, counts, values))
+            order, at = np.argsort(who), np.cumsum(counts) - counts
+            out.extend(counts[order], values[_ranges(at[order], counts[order])])
         return out
 
-    def _place(self, word: str) -> int:
-        place = self.places.get(word)
-        if place is None:
-            place = self.places[word] = self.known.n + len(self.waiting)
-            self.waiting.append(self.ids_of(word))
-        return place
-
-    def _words(self, text: str) -> list[str]:
-        """The words of a text that normalisation leaves alone but for its blanks."""
-        if text[0] != " " and text[-1] != " " and "  " not in text and BLANK not in text:
-            return (BLANK + text.replace(" ", f" {BLANK}")).split(" ")
-        return _WORD.findall(BLANK + text.replace(" ", BLANK))
+    def _spelt(self, flat: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for symbols: characters without a piece become their bytes, or, where a model has no bytes, one unknown piece for a row of them."""
+        n = len(self.pieces)
+        odd = np.flatnonzero(flat >= n)
+        if not len(odd):
+            return flat, held
+        row = np.repeat(np.arange(len(held)), held)
+        if self.bytes:
+            size = np.ones(len(flat), np.int64)
+            spelt = [[self.bytes[byte] for byte in self.symbols.characters[flat[i] - n].encode()] for i in odd.tolist()]
+            size[odd] = [len(x) for x in spelt]
+            new = np.repeat(flat, size)
+            new[new >= n] = [i for x in spelt for i in x]
+            return new, np.bincount(np.repeat(row, size), minlength=len(held))
+        flat = np.where(flat >= n, self.unknown, flat)
+        keep = np.ones(len(flat), bool)
+        keep[1:] = (flat[1:] != self.unknown) | (flat[:-1] != self.unknown) | (row[1:] != row[:-1])
+        return flat[keep], np.bincount(row[keep], minlength=len(held))
+
+    def wait(self, word: str) -> int:
+        """The place that a new word's ids will have."""
+        self.waiting.append(word)
+        return self.known.n + len(self.waiting) - 1
+
+    def _encode_waiting(self) -> None:
+        places: dict[str, int] = {}
+        cut = [_RUN.findall(word) if self.by_run and not word[1:].isalpha() else (word,) for word in self.waiting]
+        wanted = np.fromiter((places.setdefault(run, len(places)) for runs in cut for run in runs), np.int64)
+        found = self._joined(list(places))
+        _, values = found.take(wanted)
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        tokens = np.concatenate([[0], np.cumsum(found.size[wanted])])
+        self.known.extend(np.diff(tokens[np.concatenate([[0], ends])]), values)
+        self.waiting.clear()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Offsets (one more than texts), ids, and first and last original byte of each piece, of all texts one after the other."""
+    def encode(self, texts: list[str | None], places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets (one more than texts), ids, and the original byte at which each piece ends (if places), of all texts one after the other."""
         if self.known.n > MAX_WORDS:
             self._clear()
         plain = self.normaliser.plain and self.by_word
-        places: list[int] = []
-        counts, origins, known = [], [], self.places
+        found: list[int] = []
+        counts, origins = [], []
         for text in texts:
-            before = len(places)
-            if text:
-                if plain:
-                    words = self._words(text)
-                else:
-                    data, origin = self.normaliser(text)
-                    origins.append(origin)
-                    words = _WORD.findall(data.decode()) if self.by_word else [data.decode()]
-                try:
-                    places += [known[word] for word in words]
-                except KeyError:
-                    places += map(self._place, words)
-            counts.append(len(places) - before)
-        self.known.add(self.waiting)
-        self.waiting.clear()
-        sizes, ids = self.known.take(np.array(places, np.int64))
+            before = len(found)
+            if text and not plain:
+                data, origin = self.normaliser(text)
+                origins.append(origin)
+                found += map(self.whole.__getitem__, _WORD.findall(data.decode()) if self.by_word else [data.decode()])
+            elif text and text[0] != " " and text[-1] != " " and "  " not in text and BLANK not in text:
+                found += map(self.bare.__getitem__, text.split(" "))
+            elif text:
+                found += map(self.whole.__getitem__, _WORD.findall(BLANK + text.replace(" ", BLANK)))
+            counts.append(len(found) - before)
+        self._encode_waiting()
+        sizes, ids = self.known.take(np.array(found, np.int64))
         offsets = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
-        begins = self._origins(texts, plain, origins)[np.cumsum(self.sizes[ids]) - self.sizes[ids] + np.repeat(np.arange(len(texts)), np.diff(offsets))] if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(begins[1:], 0) if len(ids) else begins
+        if not places or not len(ids):
+            return offsets, ids, np.zeros(0, np.int64)
+        # A piece ends where the next one begins, the last one of a text where the text ends.
+        sizes = self.sizes[ids]
+        begins = self._origins(texts, plain, origins)[np.cumsum(sizes) - sizes + np.repeat(np.arange(len(texts)), np.diff(offsets))]
+        ends = np.append(begins[1:], 0)
         full = np.diff(offsets) > 0
         lengths = np.array([len((text or "").encode()) for text in texts], np.int64) if plain else np.array([o[-1] for o in _spread(origins, texts)], np.int64)
         ends[offsets[1:][full] - 1] = lengths[full]
-        return offsets, ids, begins, ends
+        return offsets, ids, ends
 
     def _origins(self, texts: list[str | None], plain: bool, origins: list[list[int]]) -> np.ndarray:
         """Original bytes of the normalised bytes of all texts; each text has one more, for its end."""
@@ -353,6 +458,8 @@ class Model:
 
 
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Blanks with the letters behind them, and what is no letter.
+_RUN = re.compile(f"{BLANK}*[A-Za-zÀ-ɏ]+|{BLANK}*[^A-Za-zÀ-ɏ{BLANK}]+|{BLANK}+")
 
 
 def _spread(origins: list[list[int]], texts: list[str | None]) -> Iterator[list[int]]:
@@ -371,14 +478,12 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
 
 
-SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("decoded", T.StringType())])
-_SPANS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_KIND = pa.struct([("ids", pa.list_(pa.int32())), ("spans", pa.list_(_SPANS)), ("decoded", pa.string())])
+ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+_KIND = pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with `ids` (array<int>), `spans` (original bytes of each piece, half-open) and `decoded` (the text that the ids stand for)."""
+    """docs with `ids` (array<int>), `ends` (where each piece ends in the bytes of the original, see spans()) and `decoded` (the text that the ids stand for)."""
 
     @F.arrow_udf(ROUND_TRIP)
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -386,15 +491,18 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             parts = [pa.array([], _KIND)]
             for part in slices(batch):
-                offsets, ids, begins, ends = model.encode(part)
+                offsets, ids, ends = model.encode(part)
                 flat, at = ids.tolist(), offsets.tolist()
                 decoded = [model.decode(flat[a:b]) for a, b in zip(at, at[1:])]
-                spans = pa.StructArray.from_arrays([pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], fields=list(_SPANS))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
-                parts.append(pa.StructArray.from_arrays([_lists(offsets, ids), lists, pa.array(decoded, pa.string())], fields=list(_KIND)))
+                parts.append(pa.StructArray.from_arrays([_lists(offsets, ids), _lists(offsets, ends), pa.array(decoded, pa.string())], fields=list(_KIND)))
             yield pa.concat_arrays(parts)
 
-    return docs.withColumn("__both", both(F.col(text))).withColumns({name: F.col(f"__both.{name}") for name in ("ids", "spans", "decoded")}).drop("__both")
+    return docs.withColumn("__both", both(F.col(text))).withColumns({name: F.col(f"__both.{name}") for name in ("ids", "ends", "decoded")}).drop("__both")
+
+
+def spans(ends: Column) -> Column:
+    """(start, end) of each piece in the bytes of the original: pieces follow each other without a gap."""
+    return F.transform(ends, lambda end, i: F.struct(F.when(i > 0, F.get(ends, i - 1)).otherwise(0).alias("start"), end.alias("end")))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -417,5 +525,5 @@ def op12(docs: DataFrame, path: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.get("spans", F.size("spans") - 1)["end"], F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"),
     )
