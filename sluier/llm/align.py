@@ -37,7 +37,7 @@ from sluier.session import materialise
 #: Tokens of A in a lane.
 LANE = 128
 #: Characters of texts that are merged at once (one text at least), and whose pairs are counted together.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def read_byte_vocabulary(path: str) -> dict[bytes, int]:
@@ -168,7 +168,7 @@ def block_of(texts: list[str | None], a_path: str, b_path: str) -> Block:
     """The tokens of both tokenizers, merged."""
     coder, model = _byte_coder(a_path), model_of(b_path)
     a_at, a = coder.encode([f" {text}" if text else None for text in texts])
-    b_at, b, _, _ = model.encode(texts)
+    b_at, b, _ = model.encode(texts, places=False)
     held, good = _tiles(model, texts, b, b_at)
     a_at, a = _only(good, a_at, a)
     b_at, b, held = _only(good, b_at, b, held)
