@@ -455,7 +455,7 @@ def _ranged(docs: DataFrame, borders: list[Border], least: int) -> DataFrame:
         if many:
             yield told(current, many)
 
-    parts = docs.mapInArrow(shards, "lang string, home int, shard binary").repartition("lang", "home").sortWithinPartitions("lang", "home")
+    parts = docs.mapInArrow(shards, "lang string, home int, shard binary").repartition(2 * len(borders) + 2, "lang", "home").sortWithinPartitions("lang", "home")
     return materialise(parts.mapInArrow(merged, _RANGED), "ranges")
 
 
