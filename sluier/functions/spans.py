@@ -32,8 +32,12 @@ def none(kind: str = FOUND) -> Column:
 
 def blocks(items: Column) -> Column:
     """An array in parts of CHUNK elements."""
-    n = F.ceil(F.size(items) / CHUNK).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(items), 1, 0))
+
+    def parts(every: Column) -> Column:
+        n = F.ceil(F.size(every) / CHUNK).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(every, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(every), 1, 0))
+
+    return let(items, parts)
 
 
 def walk(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
@@ -83,9 +87,35 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+#: Spans that are compared each with each; more are cut into groups first.
+FEW = 24
+
+
 def resolve(spans: Column, kind: str) -> Column:
-    """Greedy choice in the order given: a span that overlaps one already taken is dropped. kind: the array's type."""
-    return F.aggregate(spans, F.array().cast(kind), lambda taken, x: F.when(F.exists(taken, lambda y: overlap(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
+    """Greedy choice in the order given: a span that overlaps one already taken is dropped. kind: the array's type.
+
+    What is taken depends only on spans that hang together by overlaps. So a long array is sorted by start and cut wherever no
+    earlier span reaches; each group then chooses for itself, and the order given comes back by sorting.
+    """
+    greedy = lambda some: F.aggregate(some, none(kind), lambda taken, x: F.when(F.exists(taken, lambda y: overlap(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
+    item = kind[len("array<") : -1]
+    numbered = lambda every: F.array_sort(F.transform(every, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s.alias("s"))))
+
+    def reach(state: Column, x: Column) -> Column:
+        begins = x["start"] >= state["at"]
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], F.array(begins)).alias("out"))
+
+    def grouped(every: Column) -> Column:
+        begins = F.filter(F.transform(walk(every, reach, "array<boolean>"), lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda p, j: F.slice(every, p + 1, F.coalesce(F.get(at, j + 1), F.size(every)) - p)))
+
+    def chosen(group: Column) -> Column:
+        first = F.array_sort(F.transform(group, lambda x: F.struct(x["i"].alias("i"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"))))
+        taken = lambda some: F.aggregate(some, none(f"array<struct<i:int,start:int,end:int,s:{item}>>"), lambda t, x: F.when(F.exists(t, lambda y: overlap(x, y)), t).otherwise(F.concat(t, F.array(x))))
+        return let(first, lambda some: F.when(F.size(some) == 1, some).otherwise(taken(some)))
+
+    many = lambda some: let(numbered(some), lambda every: F.transform(F.array_sort(F.flatten(F.transform(grouped(every), chosen))), lambda x: x["s"])).cast(kind)
+    return let(spans, lambda some: F.when(F.size(some) <= FEW, greedy(some)).otherwise(many(some)))
 
 
 def crossing(edits: Column) -> Column:
@@ -99,17 +129,38 @@ def crossing(edits: Column) -> Column:
     return ends
 
 
+def stretches(text: Column, spans: Column) -> Column:
+    """The parts of a text at spans (start, end) that are sorted by both. A block's stretch is taken from the text once, and its parts from there."""
+
+    def of(b: Column) -> Column:
+        first = b[0]["start"]
+        own = F.substring(text, first + 1, F.element_at(b, -1)["end"] - first)
+        return let(own, lambda o: F.transform(b, lambda s: F.substring(o, s["start"] - first + 1, s["end"] - s["start"])))
+
+    return F.flatten(F.transform(blocks(spans), of))
+
+
 def rewrite(text: Column, edits: Column) -> Column:
     """The text with each edit's stretch replaced by its `new`; edits: sorted, without overlap."""
-    done = F.aggregate(
-        edits,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, e: F.struct(e["end"].alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, e["start"] - s["at"]), e["new"])).alias("out")),
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.lit(2**31 - 1))),
+    gaps = F.transform(edits, lambda e, i: F.struct(F.when(i > 0, F.get(edits, i - 1)["end"]).otherwise(0).alias("start"), e["start"].alias("end")))
+    parts = let(stretches(text, gaps), lambda kept: F.flatten(F.transform(edits, lambda e, i: F.array(F.get(kept, i), e["new"]))))
+    rest = F.substring(text, F.element_at(edits, -1)["end"] + 1, F.lit(2**31 - 1))
+    return F.when(F.size(edits) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+
+
+def moved(positions: Column, edits: Column) -> Column:
+    """Where positions (an array) lie after the edits that end at or before each; edits and positions are sorted together and walked once."""
+    kind = "array<struct<i:int,to:int>>"
+    # Of an edit and a position at the same place the edit comes first.
+    events = F.concat(
+        F.transform(edits, lambda e: F.struct(e["end"].alias("place"), F.lit(-1).alias("i"), (F.length(e["new"]) - (e["end"] - e["start"])).alias("by"))),
+        F.transform(positions, lambda p, i: F.struct(p.alias("place"), i.alias("i"), F.lit(0).alias("by"))),
     )
-    return F.when(F.size(edits) > 0, done).otherwise(text)
 
+    def step(state: Column, e: Column) -> Column:
+        told = F.array(F.struct(e["i"].alias("i"), (e["place"] + state["at"]).alias("to")))
+        return F.struct((state["at"] + e["by"]).alias("at"), F.when(e["i"] < 0, state["out"]).otherwise(F.concat(state["out"], told)).alias("out"))
 
-def moved(position: Column, edits: Column) -> Column:
-    """Where a position lies after the edits that end at or before it."""
-    return F.aggregate(edits, position, lambda at, e: at + F.when(e["end"] <= position, F.length(e["new"]) - (e["end"] - e["start"])).otherwise(0))
+    many = F.transform(F.array_sort(walk(F.array_sort(events), step, kind)), lambda x: x["to"])
+    one = lambda position: F.aggregate(edits, position, lambda at, e: at + F.when(e["end"] <= position, F.length(e["new"]) - (e["end"] - e["start"])).otherwise(0))
+    return F.when(F.size(edits) <= FEW, F.transform(positions, one)).otherwise(many)

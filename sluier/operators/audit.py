@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluier.operators.payload import content_blocks, string_field
+
 MOST_ROWS = 1000
 
 
@@ -62,13 +64,10 @@ def avg_confidence(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(means, "doc_id", "left")
 
 
-_BLOCKS = "array<struct<type:string,text:string>>"
-
-
 def reply_text(body: Column) -> Column:
-    """The texts of all content blocks, one to a line; other shapes give an empty text."""
-    texts = F.filter(F.transform(F.from_json(F.get_json_object(body, "$.content"), _BLOCKS), lambda b: b["text"]), lambda t: t.isNotNull())
-    return F.coalesce(F.trim(F.array_join(texts, "\n")), F.lit(""))
+    """The texts of all content blocks, one to a line, without white space around; elements and texts of other kinds are passed over, other shapes give an empty text."""
+    texts = F.filter(F.transform(content_blocks(body), lambda b: string_field(b, "text")), lambda t: t.isNotNull())
+    return F.coalesce(F.regexp_replace(F.array_join(texts, "\n"), r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def reply_signals(body: Column) -> Column:

@@ -7,7 +7,7 @@ then runs in the row, among spans of one type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluier.functions import spans as S
@@ -200,9 +200,21 @@ def leak_rate(covered: DataFrame) -> DataFrame:
 
 
 def over_redaction(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Predictions that meet no gold span of any type: a left anti range join."""
-    g = gold.select("doc_id", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    return pred.join(g, (pred["doc_id"] == g["doc_id"]) & (pred["start"] < g["ge"]) & (g["gs"] < pred["end"]), "left_anti")
+    """Predictions that meet no gold span of any type.
+
+    Spans of a document are sorted by start once: a prediction meets gold that began before it and reaches into it, or gold that begins inside it. So
+    the largest end before and the smallest start behind tell, whatever the number of spans.
+    """
+    empty = F.col("end") <= F.col("start")
+    rows = pred.withColumns({"__gold": F.lit(False), "__order": F.when(empty, 0).otherwise(2)})
+    marks = gold.select("doc_id", "start", "end", F.lit(True).alias("__gold"), F.lit(1).alias("__order"))
+    every = rows.unionByName(marks, allowMissingColumns=True)
+    line = Window.partitionBy("doc_id").orderBy("start", "__order")
+    reached = F.max(F.when(F.col("__gold"), F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.min(F.when(F.col("__gold"), F.col("start"))).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    told = every.withColumns({"__reached": reached, "__behind": behind}).filter("not __gold")
+    free = F.coalesce(F.col("__reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("__behind") >= F.col("end"), F.lit(True))
+    return told.filter(F.col("doc_id").isNull() | free).drop("__gold", "__order", "__reached", "__behind")
 
 
 def generalisation_check(expected: DataFrame, gold: DataFrame, done: DataFrame) -> DataFrame:

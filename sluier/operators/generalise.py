@@ -14,6 +14,8 @@ OLDEST_AGE = 90
 # Switch keys of the configuration; all default to true.
 SWITCHES = ("gen_birthdate", "gen_postcode", "gen_age", "gen_treatment_dates", "gen_flag_rare_icd")
 _LEAD = r"(?iU)\s+op\s+$"
+#: Characters before a date in which ` op ` is sought.
+LEAD = 20
 
 GENERAL = "struct<start:int,end:int,original:string,entity_type:string,new_type:string,new:string,rare:boolean>"
 
@@ -54,9 +56,9 @@ def edits_of(text: Column, spans: Column, on: set[str]) -> Column:
     ` op ` before a treatment date goes and ` in ` comes; the span then begins where that blank was. The steps are chained
     transforms, so a date is parsed once however many fields need it.
     """
-    text_before = lambda s: F.substring(text, F.greatest(s["start"] - 20, F.lit(0)) + 1, F.least(s["start"], F.lit(20)))
+    before = S.stretches(text, F.transform(spans, lambda s: F.struct(F.greatest(s["start"] - LEAD, F.lit(0)).alias("start"), s["start"].alias("end"))))
 
-    def looked_at(s: Column) -> Column:
+    def looked_at(s: Column, i: Column, led: Column) -> Column:
         kind = s["entity_type"]
         treated = kind.isin(*TREATMENT_DATES) & F.lit("gen_treatment_dates" in on)
         new = F.when(treated, month_of(s["original"]))
@@ -66,7 +68,7 @@ def edits_of(text: Column, spans: Column, on: set[str]) -> Column:
             new = new.when(kind == "postcode_pc6", short_postcode(s["original"]))
         if "gen_age" in on:
             new = new.when(kind == "age", coarse_age(s["original"]))
-        lead = F.when(treated, F.regexp_extract(text_before(s), _LEAD, 0)).otherwise("")
+        lead = F.when(treated, F.regexp_extract(F.get(led, i), _LEAD, 0)).otherwise("")
         return F.struct(s.alias("s"), new.alias("form"), lead.alias("lead"))
 
     def edit(x: Column) -> Column:
@@ -80,11 +82,11 @@ def edits_of(text: Column, spans: Column, on: set[str]) -> Column:
             new_type.alias("new_type"),
         )
 
-    return F.transform(F.transform(spans, looked_at), edit)
+    return F.transform(S.let(before, lambda led: F.transform(spans, lambda s, i: looked_at(s, i, led))), edit)
 
 
 def generalise(docs: DataFrame, spans: str = "spans", switches: dict[str, bool] | None = None) -> DataFrame:
-    """docs (text, spans) with general_text and general_spans: the spans at their new places, with type, generalized_to and rare flag.
+    """docs (text, spans in the order of the text) with general_text and general_spans: the spans at their new places, with type, generalized_to and rare flag.
 
     Edits that cross each other leave the text as it is and are told in the column general_error.
     """
@@ -92,30 +94,28 @@ def generalise(docs: DataFrame, spans: str = "spans", switches: dict[str, bool]
     text = F.col("text")
     changes = lambda edited: F.array_sort(F.transform(F.filter(edited, lambda x: x["new"].isNotNull()), lambda x: F.struct(x["start"], x["end"], x["new"])))
 
-    def placed(x: Column, edits: Column) -> Column:
+    def placed(x: Column, edits: Column, start: Column) -> Column:
         changed = x["new"].isNotNull() & (F.size(edits) > 0)
         rare = (x["s"]["entity_type"] == "icd10_code") & is_rare(x["s"]["original"]) if "gen_flag_rare_icd" in on else F.lit(False)
         length = F.when(changed, F.length(x["new"])).otherwise(x["s"]["end"] - x["s"]["start"])
-        return S.let(
-            S.moved(F.when(changed, x["start"]).otherwise(x["s"]["start"]), edits),
-            lambda start: F.struct(
-                start.alias("start"),
-                (start + length).alias("end"),
-                x["s"]["original"].alias("original"),
-                F.when(changed, x["new_type"]).otherwise(x["s"]["entity_type"]).alias("entity_type"),
-                x["s"]["confidence"].alias("confidence"),
-                x["s"]["layer"].alias("layer"),
-                F.when(changed, x["new"]).alias("generalized_to"),
-                F.coalesce(rare, F.lit(False)).alias("rare_icd_review"),
-            ),
+        return F.struct(
+            start.alias("start"),
+            (start + length).alias("end"),
+            x["s"]["original"].alias("original"),
+            F.when(changed, x["new_type"]).otherwise(x["s"]["entity_type"]).alias("entity_type"),
+            x["s"]["confidence"].alias("confidence"),
+            x["s"]["layer"].alias("layer"),
+            F.when(changed, x["new"]).alias("generalized_to"),
+            F.coalesce(rare, F.lit(False)).alias("rare_icd_review"),
         )
 
     def whole(x: Column) -> Column:
         safe = F.when(S.crossing(x["edits"]), S.none(S.EDIT)).otherwise(x["edits"])
+        starts = lambda edits: F.transform(x["edited"], lambda e: F.when(e["new"].isNotNull() & (F.size(edits) > 0), e["start"]).otherwise(e["s"]["start"]))
         return S.let(
             safe,
             lambda edits: F.struct(
-                F.array_sort(F.transform(x["edited"], lambda e: placed(e, edits))).alias("spans"),
+                S.let(S.moved(starts(edits), edits), lambda to: F.array_sort(F.transform(x["edited"], lambda e, i: placed(e, edits, F.get(to, i))))).alias("spans"),
                 S.rewrite(text, edits).alias("text"),
                 F.when(F.size(edits) < F.size(x["edits"]), "crossing edits").alias("error"),
             ),

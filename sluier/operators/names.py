@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import pandas as pd
@@ -37,7 +39,7 @@ class Announcer(NamedTuple):
     """Words after which a name stands.
 
     link: what stands between (`:` a colon, perhaps in bold, `,` a comma, `(` a bracket, `door` up to 50 characters and that word,
-    else white space). most: words of the name at most. lead: words that must come next and belong to the find. titled: whether a
+    `word` one more word, else white space). most: words of the name at most. lead: words that must come next and belong to the find. titled: whether a
     title may or must (`needs`) stand before the name. behind: what must follow.
     """
 
@@ -56,6 +58,7 @@ ANNOUNCERS = [
     Announcer(["voornaam"], " ", 3),
     Announcer(["notitie verpleegkundige"], " ", 1, behind=r"(?:\*{0,2}\s*)?:"),
     Announcer(BEFORE_NAMES),
+    Announcer(["consulent"], "word"),
     Announcer(BEFORE_SURNAMES, most=1),
     Announcer(["huisarts"], titled="no"),
     Announcer(["consult"], "door", 1),
@@ -77,7 +80,7 @@ ANNOUNCERS = [
 ROLE_GATE = r"(?iU)arts|assist|specialist|behandel|verwijz|supervisor|di[eë]tist|pati[eë]nt|voornaam|verpleeg|consul|apothek|triagist|loog|therap|geboortenaam|eerdergenoemd|mantelzorg|internist|collega|chirurg|\bdr\b|ondertekend|opgesteld|verstrekt|cc naar|polikliniek|ingeschakeld|kopie aan|contactpersoon|partner|dochter|zoon|echtgeno|moeder|vader|broer|\bzus\b|logopedie|i\.o\.m\."
 
 _BOLD = r"\*{0,2}"
-_LINKS = {":": rf"(?:\s+\([^)\n]+\))?{_BOLD}\s*:\s*{_BOLD}\s*", ",": r"\s*,\s*", "(": r"\s+\(", "door": r"\s[^.\n]{0,50}?\bdoor\s+", " ": r"\s+"}
+_LINKS = {":": rf"(?:\s+\([^)\n]+\))?{_BOLD}\s*:\s*{_BOLD}\s*", ",": r"\s*,\s*", "(": r"\s+\(", "door": r"\s[^.\n]{0,50}?\bdoor\s+", "word": r"\s+\w+\s+", " ": r"\s+"}
 _TOKEN = re.compile(r"[^\W\d_][\w-]*|(?<![^\n])[ \t]*(-)(?=\s)")
 _NAME_WORD = re.compile(r"[^\W\d_](?:\.(?=\s)|[\w'’-]*)")
 _BLANKS = re.compile(r"[ \t]+")
@@ -138,8 +141,10 @@ class NameScanner:
         return end
 
 
-PREFIXES = [r"(?:de\s+heer|mevrouw|meneer|mevr\.|dhr\.|mr\.|dr\.|drs\.)\s+$", r"(?:(?:van\s+(?:de|den|der|'t)|van|de|den|der|te|ten|ter|von|'t)\s+)+$"]
-SUFFIX = r"^(?:['’][\w-]+)+"
+# Forms of address before a name, of one word or two; words that belong to a surname; role words that may lead a name.
+ADDRESSES, ADDRESS_PAIR = ("mevrouw", "meneer", "mevr.", "dhr.", "mr.", "dr.", "drs."), ("de", "heer")
+SURNAME_WORDS = ("van", "de", "den", "der", "te", "ten", "ter", "von", "'t")
+LEADING, LEADING_PAIR = ("mevrouw", "dhr.", "dr.", "drs.", "mevr.", "huisarts", "huisartsenpraktijk"), ("verpleegkundig", "specialist")
 
 # Model label -> type and confidence.
 LABELS = {"PER": ("name", 0.90), "PERSON": ("name", 0.90), "ORG": ("org", 0.85), "LOC": ("location", 0.90), "GPE": ("location", 0.85), "FAC": ("location", 0.80)}
@@ -147,11 +152,17 @@ ROLE_CONFIDENCE, DICTIONARY_CONFIDENCE = 0.85, 1.0
 
 
 def looks_like_name(value: Column) -> Column:
-    """1 to 4 words after titles and leading role words, each capitalised, an initial or a particle; headings are none."""
-    bare = F.regexp_replace(F.trim(value), r"(?i)^(?:(?:mevrouw|dhr\.|dr\.|drs\.|mevr\.|huisarts|huisartsenpraktijk|verpleegkundig\s+specialist)\s+)+", "")
-    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    """1 to 4 words behind titles and role words, each capitalised, an initial or a particle; headings are none. At least one word is judged."""
+
+    def judged(words: Column) -> Column:
+        leads = F.transform(words, lambda w, i: F.lower(w).isin(*LEADING) | ((F.lower(w) == LEADING_PAIR[0]) & (F.lower(F.get(words, i + 1)) == LEADING_PAIR[1])) | ((F.lower(w) == LEADING_PAIR[1]) & (i > 0) & (F.lower(F.get(words, F.greatest(i - 1, F.lit(0)))) == LEADING_PAIR[0])))
+        first = F.array_position(F.transform(leads, lambda x: F.coalesce(x, F.lit(False))), False).cast("int")
+        return F.slice(words, F.when(first > 0, first).otherwise(F.size(words)), F.size(words))
+
     good = lambda w: w.rlike(r"^[A-Z]\.$") | F.lower(w).isin(*PARTICLES) | w.rlike(r"^\p{Lu}")
-    return F.coalesce(F.size(words).between(1, 4) & F.forall(words, good) & ~F.exists(words, lambda w: w.isin(HEADINGS)), F.lit(False))
+    fits = lambda words: F.size(words).between(1, 4) & F.forall(words, good) & ~F.exists(words, lambda w: w.isin(HEADINGS))
+    every = F.filter(F.split(value, r"\s+"), lambda w: w != "")
+    return F.coalesce(S.let(every, lambda words: F.when(F.size(words) > 0, S.let(judged(words), fits)).otherwise(False)), F.lit(False))
 
 
 def role_name_spans(docs: DataFrame, text: str = "text", into: str = "names") -> DataFrame:
@@ -178,16 +189,29 @@ def drop_subsumed(spans: Column) -> Column:
 
 
 def expand_name_span(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Left over an honorific or a chain of particles (not from inside a word), right over apostrophe endings."""
-    left = F.substring(text, F.lit(1), start)
-    grown = start
-    for pattern in reversed(PREFIXES):
-        taken = F.length(F.regexp_extract(left, S.java("(?i)" + pattern), 0))
-        before = F.substring(text, start - taken, F.lit(1))
-        fits = (taken > 0) & ((taken == start) | ~before.rlike(r"[\p{L}\p{N}']"))
-        grown = F.when(fits, start - taken).otherwise(grown)
-    right = F.substring(text, end + 1, F.lit(200))
-    return grown, end + F.length(F.regexp_extract(right, S.java(SUFFIX), 0))
+    """Left over a form of address or else a row of surname words, right over endings behind apostrophes. Words are read one by one outwards from the span."""
+    # A word with the blanks behind it, or another sign: together they are the whole left side.
+    chunks = F.reverse(F.regexp_extract_all(F.substring(text, F.lit(1), start), F.lit(r"(?sU)['\w]+\.?\s*|."), F.lit(0)))
+    spoken = F.transform(chunks, lambda c: F.struct(F.length(c).alias("n"), F.when(c.rlike(r"(?U)\s$"), F.lower(F.regexp_replace(c, r"(?U)\s+$", ""))).alias("word")))
+
+    def taken(words: Column) -> Column:
+        first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        ends = lambda w: F.coalesce(reduce(or_, (w.endswith(x) for x in SURNAME_WORDS)), F.lit(False))
+
+        def step(state: Column, w: Column) -> Column:
+            known = F.coalesce(w["word"].isin(*SURNAME_WORDS), F.lit(False))
+            taken = F.when(~state["on"], state["n"]).when(known, state["n"] + w["n"]).when(ends(w["word"]), 0).otherwise(state["n"])
+            return F.struct(taken.alias("n"), (state["on"] & known).alias("on"))
+
+        # A word that only ends like a surname word spoils the row: the span would grow from inside it.
+        row = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step, lambda s: s["n"])
+        return F.coalesce(F.when(first["word"].isin(*ADDRESSES), first["n"]).when((first["word"] == ADDRESS_PAIR[1]) & (second["word"] == ADDRESS_PAIR[0]), first["n"] + second["n"]).otherwise(row), F.lit(0))
+
+    # What follows, cut before each apostrophe; endings go on as long as such a part is nothing but letters behind its apostrophe.
+    parts = F.split(F.substring(text, end + 1, F.length(text)), "(?=['’])")
+    length = lambda p: F.length(F.regexp_extract(p, r"(?U)^['’][\w-]+", 0))
+    ending = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, p: F.struct(F.when(s["on"], s["n"] + length(p)).otherwise(s["n"]).alias("n"), (s["on"] & (length(p) == F.length(p))).alias("on")), lambda s: s["n"])
+    return start - S.let(spoken, taken), end + ending
 
 
 NAME = "array<struct<start:int,end:int,text:string,confidence:double>>"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sluier.functions import spans as S
 from sluier.functions.keyed import WIDTH, pseudonym, session_pads
 from sluier.operators.entity_types import category_of, code_of
+from sluier.operators.payload import content_blocks, string_field
+from sluier.session import materialise
 
 # Form of a pseudonym in a text.
 TOKEN = r"\[[A-Z0-9]{3}-[0-9a-f]{6}\]"
@@ -37,17 +39,20 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "general_text", spans:
     """docs with outbound_text and its spans' pseudonyms: every span is replaced, row by row, without a join.
 
     A pseudonym depends on session, type and original only, so what the vault holds equals what is made here under the same key.
+    Where nothing safe can be sent, outbound_text is null and outbound_error tells why: spans overlap, or a row with spans has no session.
     """
     named = lambda pads: F.transform(spans, lambda s: s.withField("pseudonym", pseudonym(pads, s["entity_type"], s["original"], code_of(s["entity_type"]))))
     pads = lambda use: S.let(session_pads(F.col("session_id"), key), use)
 
+    lost = F.col("session_id").isNull() & (F.size(spans) > 0)
+
     def outbound(every: Column) -> Column:
         edits = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], s["end"], s["pseudonym"].alias("new"))))
         return S.let(
             edits,
             lambda e: S.let(
                 S.crossing(e),
-                lambda bad: F.struct(every.alias("spans"), F.when(~bad, S.rewrite(F.col(text), e)).alias("text"), F.when(bad, "overlapping spans").alias("error")),
+                lambda bad: F.struct(every.alias("spans"), F.when(~bad & ~lost, S.rewrite(F.col(text), e)).alias("text"), F.when(lost, "no session").when(bad, "overlapping spans").alias("error")),
             ),
         )
 
@@ -79,29 +84,39 @@ def build_mappings(spans: DataFrame, vault: DataFrame | None = None) -> DataFram
     return new if vault is None else new.join(vault.select("session_id", "original", "entity_type"), ["session_id", "original", "entity_type"], "left_anti")
 
 
-def restore_text(replies: DataFrame, vault: DataFrame, text: str = "text", row: str = "reply_id") -> DataFrame:
-    """replies (reply_id, session_id, text) with restored: reversible pseudonyms become their originals, others stay.
+def restore_text(replies: DataFrame, vault: DataFrame, text: str = "text") -> DataFrame:
+    """replies (session_id, text, ...) with restored: reversible pseudonyms become their originals, others stay.
+
+    Tokens have a fixed shape, so they are found once and joined to the vault by (session, token); a token that stands for several originals
+    gives the smallest. Rows are numbered in a written table, so rows that share an id, or are equal, are restored each for itself. A token that very
+    many rows of a session hold is one key of the join, whose token side Spark splits; the vault has one row for it. A null session or text stays as it is.
+    """
+    rows = materialise(replies.withColumn("__row", F.monotonically_increasing_id()), "replies")
+    found = rows.select("__row", "session_id", F.explode(S.scan(F.col(text), TOKEN)).alias("t"))
+    tokens = found.select("__row", "session_id", "t.start", "t.end", F.col("t.text").alias("pseudonym"))
+    two_way = vault.filter("mode = 'two_way'").groupBy("session_id", "pseudonym").agg(F.min("original").alias("original"))
+    edits = tokens.join(two_way, ["session_id", "pseudonym"]).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("original").alias("new")))).alias("__edits"))
+    done = rows.join(edits, "__row", "left")
+    return done.withColumn("restored", S.rewrite(F.col(text), F.coalesce("__edits", S.none(S.EDIT)))).drop("__edits", "__row")
+
+
+def restore_json_reply(replies: DataFrame, vault: DataFrame) -> DataFrame:
+    """replies (session_id, body, ...) with restored_body: in the blocks of `content`, texts that are strings are restored.
 
-    Tokens have a fixed shape, so they are found once and joined to the vault by (session, token).
+    All other fields of the reply and of its blocks, and elements that are no objects, keep their values; a body without a restored text
+    comes back letter for letter, another one with its keys in order. A body that is no object, or whose content is no list, stays as it is.
     """
-    found = replies.withColumn("__found", S.scan(F.col(text), TOKEN))
-    tokens = found.select(row, "session_id", F.explode_outer("__found").alias("t")).filter("t is not null").select(row, "session_id", "t.start", "t.end", F.col("t.text").alias("pseudonym"))
-    two_way = vault.filter("mode = 'two_way'").select("session_id", "pseudonym", "original")
-    edits = tokens.join(two_way, ["session_id", "pseudonym"]).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("original").alias("new")))).alias("__edits"))
-    rows = replies.join(edits, row, "left")
-    return rows.withColumn("restored", S.rewrite(F.col(text), F.coalesce("__edits", S.none(S.EDIT)))).drop("__edits")
-
-
-def restore_json_reply(replies: DataFrame, vault: DataFrame, row: str = "reply_id") -> DataFrame:
-    """replies (reply_id, session_id, body) with restored_body: only the text of content blocks is restored; blocks keep type and text."""
-    shape = "array<struct<type:string,text:string>>"
-    blocks = replies.select(row, "session_id", F.posexplode(F.from_json(F.get_json_object("body", "$.content"), shape)).alias("place", "b"))
-    blocks = blocks.select(F.concat_ws("/", F.col(row).cast("string"), F.col("place").cast("string")).alias("block_id"), row, "session_id", "place", "b.type", F.coalesce("b.text", F.lit("")).alias("text"))
-    done = restore_text(blocks, vault, "text", "block_id")
-    whole = done.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("place", "type", F.col("restored").alias("text")))).alias("c"))
-    content = F.transform("c", lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text")))
-    body = F.to_json(F.struct(content.alias("content"), F.get_json_object("body", "$.stop_reason").alias("stop_reason")))
-    return replies.join(whole, row, "left").withColumn("restored_body", F.when(F.col("c").isNotNull(), body).otherwise(F.col("body"))).drop("c")
+    rows = materialise(replies.withColumn("__reply", F.monotonically_increasing_id()), "bodies")
+    fields = F.expr("try_variant_get(try_parse_json(body), '$', 'map<string,variant>')")
+    opened = rows.select("__reply", "session_id", F.posexplode(content_blocks(F.col("body"))).alias("place", "block"))
+    texts = opened.select("__reply", "session_id", "place", string_field(F.col("block"), "text").alias("text")).filter(F.col("text").rlike(TOKEN))
+    done = restore_text(texts, vault).filter("restored <> text")
+    new = done.groupBy("__reply").agg(F.map_from_entries(F.collect_list(F.struct("place", "restored"))).alias("__new"))
+    with_text = "to_variant_object(transform_values(try_variant_get(b, '$', 'map<string,variant>'), (k, x) -> CASE WHEN k = 'text' THEN CAST(try_element_at(__new, i) AS VARIANT) ELSE x END))"
+    content = f"CAST(transform(try_variant_get(__fields['content'], '$', 'array<variant>'), (b, i) -> CASE WHEN try_element_at(__new, i) IS NULL THEN b ELSE {with_text} END) AS VARIANT)"
+    body = F.expr(f"to_json(to_variant_object(transform_values(__fields, (name, value) -> CASE WHEN name = 'content' THEN {content} ELSE value END)))")
+    whole = rows.join(new, "__reply", "left").withColumn("__fields", F.when(F.col("__new").isNotNull(), fields))
+    return whole.withColumn("restored_body", F.when(F.col("__new").isNotNull(), body).otherwise(F.col("body"))).drop("__new", "__fields", "__reply")
 
 
 def restore_foreign(text: Column, mapping: Column) -> Column:
@@ -113,7 +128,7 @@ def restore_foreign(text: Column, mapping: Column) -> Column:
 def mask_with_codes(text: Column, spans: Column) -> Column:
     """The text with [CODE] for each span; a span that overlaps an earlier one is left out."""
     kept = S.resolve(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.concat(F.lit("["), code_of(s["entity_type"]), F.lit("]")).alias("new")))), S.EDIT)
-    return S.rewrite(text, kept)
+    return S.let(kept, lambda edits: S.rewrite(text, edits))
 
 
 def rekey_tokens(vault: DataFrame, key: bytes) -> DataFrame:
@@ -121,10 +136,10 @@ def rekey_tokens(vault: DataFrame, key: bytes) -> DataFrame:
     return vault.select("session_id", F.col("pseudonym").alias("old"), make_pseudonym(F.col("session_id"), F.col("entity_type"), F.col("original"), key).alias("new"))
 
 
-def rekey_corpus(texts: DataFrame, vault: DataFrame, key: bytes, text: str = "outbound_text", row: str = "doc_id") -> DataFrame:
-    """texts (doc_id, session_id, outbound_text) with the tokens of the new key."""
+def rekey_corpus(texts: DataFrame, vault: DataFrame, key: bytes, text: str = "outbound_text") -> DataFrame:
+    """texts (session_id, outbound_text, ...) with the tokens of the new key; rows that share an id are rewritten each for itself."""
     tokens = rekey_tokens(vault, key).select("session_id", F.col("old").alias("pseudonym"), F.col("new").alias("original"), F.lit("two_way").alias("mode"))
-    return restore_text(texts, tokens, text, row).withColumn(text, F.col("restored")).drop("restored")
+    return restore_text(texts, tokens, text).withColumn(text, F.col("restored")).drop("restored")
 
 
 def respan(text: Column, originals: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluier.functions import spans as S
 from sluier.operators.generalise import birth_year, coarse_age, month_of, short_postcode
+from sluier.session import materialise
 
 # Other names of types in placeholders.
 ALIASES = {"PERSON": "name", "PER": "name", "GPE": "location", "LOC": "location", "POSTCODE": "postcode_pc6", "ZIP": "postcode_pc6", "DOB": "birthdate"}
@@ -112,10 +113,9 @@ def render_placeholders(templates: DataFrame, seed: int) -> DataFrame:
 
     rows = templates.withColumn("__e", F.transform(found, filled))
     edits = F.transform("__e", lambda e: F.struct(e["start"], e["end"], e["new"]))
-    placed = F.transform(
-        F.filter("__e", lambda e: e["kind"].isNotNull()),
-        lambda e: F.struct(S.moved(e["start"], F.col("__edits")).alias("start"), (S.moved(e["start"], F.col("__edits")) + F.length(e["new"])).alias("end"), e["new"].alias("text"), e["kind"].alias("entity_type")),
-    )
+    known = F.filter("__e", lambda e: e["kind"].isNotNull())
+    label = lambda start, e: F.struct(start.alias("start"), (start + F.length(e["new"])).alias("end"), e["new"].alias("text"), e["kind"].alias("entity_type"))
+    placed = S.let(known, lambda some: S.let(S.moved(F.transform(some, lambda e: e["start"]), F.col("__edits")), lambda to: F.transform(some, lambda e, i: label(F.get(to, i), e))))
     rows = rows.withColumn("__edits", edits).withColumn("gold", placed).withColumn("text", S.rewrite(F.col("text"), F.col("__edits")))
     return rows.withColumn("error", F.when(F.contains("text", F.lit("{{")) | F.contains("text", F.lit("}}")), "braces left over")).drop("__e", "__edits")
 
@@ -138,5 +138,15 @@ def scenario_mix(spark: SparkSession, n: int, adversarial: float, normal: list[s
     return rows.select(F.col("id").alias("i"), F.when(is_hard, "adversarial").otherwise("normal").alias("difficulty"), scenario.alias("scenario"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with i: 0, 1, ... in the order given. Ranges are sorted each for itself; only their sizes, one number each, are summed in one place."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    # The upper bits of the id tell the partition, the lower ones the place in it.
+    placed = materialise(dealt.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn("i", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def difficulty_subset(records: DataFrame, difficulty: str) -> DataFrame:
     return records.filter(F.col("difficulty") == difficulty)

@@ -210,8 +210,8 @@ ORACLES["l5_layer_counts"] = f"WITH {DOSSIER_CTE}, {_LAYER_CTE} SELECT s.layer A
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies about each dossier: a project, a name in other case, an unknown type, a text that isn't there; every 5th is broken."""
-    entities = F.concat(F.lit('{"entities":[{"text":"'), F.col("project"), F.lit('","type":"project","confidence":0.9},{"text":"'), F.upper("doctor"), F.lit('","type":"name"},{"text":"x","type":"thing"},{"text":"nergens","type":"product","confidence":7}]}'))
+    """Model replies about each dossier: a project, a name in other case, an unknown type, a text that isn't there, elements and fields of odd kinds; every 5th is broken."""
+    entities = F.concat(F.lit('{"entities":[1,{"text":"'), F.col("project"), F.lit('","type":"Project","confidence":0.9},null,{"text":"'), F.upper("doctor"), F.lit('","type":"NAME","confidence":"?"},"los",{"text":"x","type":"thing"},{"text":5,"type":"name"},[{"text":"'), F.col("project"), F.lit('"}],{"text":"nergens","type":"product","confidence":7}]}'))
     return dossiers(spark, sf_dir).select("doc_id", "text", F.when(F.col("k") % 5 == 0, F.lit('{"entities": 3')).otherwise(entities).alias("payload"))
 
 

@@ -294,14 +294,20 @@ ORACLES["v8_restore_text"] = f"WITH {_GENERAL}, {_keyed_cte(TEST_KEY)}, {_OUT_CT
 
 
 def v9_restore_json_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    block = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
-    body = F.to_json(F.struct(F.array(block(F.col("text")), block(F.lit("klaar"))).alias("content"), F.lit("end_turn").alias("stop_reason")))
+    """Replies with an id, usage, a tool block that holds the pseudonyms too, and blocks of odd kinds; told are the whole reply's fields."""
+    first = F.to_json(F.struct(F.lit("text").alias("type"), "text", F.array(F.lit(1)).alias("citations")))
+    tool = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.lit("t1").alias("id"), F.struct(F.col("text").alias("q")).alias("input")))
+    body = F.concat(F.lit('{"id":"m'), F.col("reply_id").cast("string"), F.lit('","model":"m-1","usage":{"output_tokens":'), F.col("reply_id").cast("string"), F.lit('},"content":['), first, F.lit(","), tool, F.lit(',"los",{"type":"text","text":5},{"type":"text","text":"klaar"}],"stop_reason":"end_turn"}'))
     replies = _replies(spark, sf_dir).select("reply_id", "session_id", body.alias("body"))
     done = V.restore_json_reply(replies, _vault(spark, sf_dir))
-    return done.select("reply_id", F.sha2(F.get_json_object("restored_body", "$.content[0].text"), 256).alias("first_sha256"), F.get_json_object("restored_body", "$.content[1].text").alias("second"), F.get_json_object("restored_body", "$.stop_reason").alias("stop_reason"))
+    at = lambda path: F.get_json_object("restored_body", path)
+    sha = {"first_sha256": "$.content[0].text", "tool_sha256": "$.content[1].input.q"}
+    rest = {"id": "$.id", "model": "$.model", "tokens": "$.usage.output_tokens", "cited": "$.content[0].citations[0]", "tool": "$.content[1].id", "odd": "$.content[2]", "number": "$.content[3].text", "second": "$.content[4].text", "stop_reason": "$.stop_reason"}
+    return done.select("reply_id", *(F.sha2(at(path), 256).alias(name) for name, path in sha.items()), *(at(path).alias(name) for name, path in rest.items()))
 
 
-ORACLES["v9_restore_json_reply"] = f"WITH {_GENERAL}, {_keyed_cte(TEST_KEY)}, {_OUT_CTE}, {_RESTORED_CTE} SELECT doc_id AS reply_id, sha256(restored) AS first_sha256, 'klaar' AS second, 'end_turn' AS stop_reason FROM restored"
+ORACLES["v9_restore_json_reply"] = f"""WITH {_GENERAL}, {_keyed_cte(TEST_KEY)}, {_OUT_CTE}, {_RESTORED_CTE} SELECT doc_id AS reply_id, sha256(restored) AS first_sha256, sha256('Antwoord: ' || outbound_text) AS tool_sha256, 'm' || doc_id AS id, 'm-1' AS model, CAST(doc_id AS VARCHAR) AS tokens,
+  '1' AS cited, 't1' AS tool, 'los' AS odd, '5' AS number, 'klaar' AS second, 'end_turn' AS stop_reason FROM restored JOIN outbound USING (doc_id)"""
 
 
 def v10_mask_with_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

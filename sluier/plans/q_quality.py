@@ -130,19 +130,19 @@ WHEN entity_type = 'age' AND CAST(regexp_extract(text, '[0-9]+') AS INT) >= 90 T
 
 def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each customer, a third adversarial; its text names the customer and the scenario."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("i"), "c_name", "c_acctbal")
-    mix = Y.scenario_mix(spark, customers.count(), 0.3, ["basis", "contact", "leeftijd"], ["ongeldig", "adres"]).withColumn("i", F.col("i") + 1)
+    customers = Y.numbered(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+    mix = Y.scenario_mix(spark, customers.count(), 0.3, ["basis", "contact", "leeftijd"], ["ongeldig", "adres"])
     text = F.concat_ws(" ", F.lit("Naam"), "c_name", F.lit("geval"), "scenario", F.when(F.col("c_acctbal") < 0, "schuld"))
-    return customers.join(mix, "i").select("i", "difficulty", "scenario", text.alias("text"))
+    return customers.join(mix, "i").select("c_custkey", "i", "difficulty", "scenario", text.alias("text"))
 
 
 def y5_scenario_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)
 
 
-_MIX = """SELECT c_custkey AS i, difficulty, scenario, 'Naam ' || c_name || ' geval ' || scenario || CASE WHEN c_acctbal < 0 THEN ' schuld' ELSE '' END AS text FROM customer JOIN (
-  SELECT i + 1 AS i, CASE WHEN i < n - h THEN 'normal' ELSE 'adversarial' END AS difficulty, CASE WHEN i < n - h THEN (['basis', 'contact', 'leeftijd'])[i % 3 + 1] ELSE (['ongeldig', 'adres'])[(i - (n - h)) % 2 + 1] END AS scenario
-  FROM (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS h FROM customer), unnest(range(0, n)) AS r(i)) AS mix ON mix.i = c_custkey"""
+_MIX = """SELECT c_custkey, i, CASE WHEN i < n - h THEN 'normal' ELSE 'adversarial' END AS difficulty, scenario, 'Naam ' || c_name || ' geval ' || scenario || CASE WHEN c_acctbal < 0 THEN ' schuld' ELSE '' END AS text FROM (
+  SELECT *, CASE WHEN i < n - h THEN (['basis', 'contact', 'leeftijd'])[i % 3 + 1] ELSE (['ongeldig', 'adres'])[(i - (n - h)) % 2 + 1] END AS scenario
+  FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS h FROM customer))"""
 ORACLES["y5_scenario_mix"] = _MIX
 
 

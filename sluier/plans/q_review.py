@@ -220,9 +220,10 @@ def a7_avg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["a7_avg_confidence"] = f"SELECT doc_id, avg(confidence) FILTER (doc_id % 6 <> 0) AS avg_confidence FROM ({_ITEM}) GROUP BY 1"
 
-# Replies made from events: content of two blocks, or an error, by event_id.
-_BODY = """CASE event_id % 5 WHEN 0 THEN '{"content":[{"type":"text","text":"' || event_type || '"},{"type":"text","text":"klaar"}],"stop_reason":"end_turn"}' WHEN 1 THEN '{"content":[{"type":"text","text":"half"}],"stop_reason":"max_tokens"}'
-  WHEN 2 THEN '{"error":{"message":"stuk ' || event_type || '"}}' WHEN 3 THEN '{"error":"kapot","content":[]}' ELSE '{"content":[],"stop_reason":"refusal"}' END"""
+# Replies made from events: blocks of text among others, or an error, by event_id.
+_BODY = """CASE event_id % 5 WHEN 0 THEN '{"id":"m","content":[{"type":"text","text":"' || event_type || '"},"los",{"type":"tool_use","id":"t","input":{"text":"x"}},{"type":"text","text":{"z":1}},7,{"type":"text","text":"klaar"}],"stop_reason":"end_turn"}'
+  WHEN 1 THEN '{"content":[null,{"type":"text","text":"half"}],"stop_reason":"max_tokens"}'
+  WHEN 2 THEN '{"error":{"message":"stuk ' || event_type || '"}}' WHEN 3 THEN '{"error":"kapot","content":[]}' ELSE '{"content":["los",{"text":5}],"stop_reason":"refusal"}' END"""
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +242,7 @@ def a9_reply_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["a9_reply_signals"] = f"""WITH b AS (SELECT event_id, {_BODY} AS body FROM events), j AS (SELECT event_id, json_extract_string(body, '$.stop_reason') AS stop_reason,
-  coalesce(json_extract_string(body, '$.error.message'), json_extract_string(body, '$.error')) AS error, coalesce(json_array_length(body, '$.content'), 0) = 0 AS empty FROM b)
+  coalesce(json_extract_string(body, '$.error.message'), json_extract_string(body, '$.error')) AS error, event_id % 5 NOT IN (0, 1) AS empty FROM b)
 SELECT event_id, stop_reason, error, coalesce(stop_reason = 'max_tokens', false) AS truncated, coalesce(stop_reason = 'refusal', false) AS refusal, empty, error IS NULL AND coalesce(stop_reason NOT IN ('max_tokens', 'refusal'), true) AND NOT empty AS ok FROM j"""
 
 
