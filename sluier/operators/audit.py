@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluier.operators.payload import content_blocks, string_field
@@ -15,6 +17,42 @@ def append_audit(log: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(log.select("id"), "id", "left_anti")
 
 
+def append_by_day(requests: DataFrame, path: str) -> None:
+    """Append requests (id, created_at, ...) to a log that lies by day: only the days that occur in requests are read to tell what is there already."""
+    spark = requests.sparkSession
+    rows = requests.withColumn("day", F.to_date("created_at"))
+    days = [r["day"] for r in rows.select("day").distinct().collect()]  # a batch is of a few days
+    known = known_ids(spark, path, days)
+    new = rows if known is None else rows.join(known, ["day", "id"], "left_anti")
+    new.write.mode("append").partitionBy("day").parquet(path)
+
+
+def known_ids(spark: SparkSession, path: str, days: list) -> DataFrame | None:
+    """(day, id) of these days of a log; other days' folders aren't read. None if there is no log yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("id bigint, day date").parquet(path).filter(F.col("day").isin(*days)).select("day", "id")
+
+
+def batch_day(spark: SparkSession, content: str, batch_id: int) -> str:
+    """The day of a batch: written down when it is first run, so a batch that is run again later keeps its partition."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{content.rstrip('/')}/days/{batch_id}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    if found:
+        return min(found)
+    today = datetime.datetime.now(datetime.timezone.utc).date().isoformat()
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path, today))
+    return today
+
+
+def append_batch(rows: DataFrame, path: str, day: str, batch_id: int) -> None:
+    """The audit rows of a batch, in a partition of their own: a batch that is run again replaces its rows, and no other partition is read."""
+    rows.withColumn("created_at", F.to_timestamp(F.lit(day))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={day}/batch={batch_id}")
+
+
 def new_sessions(known: DataFrame, requests: DataFrame) -> DataFrame:
     """(session_id, created_at) of sessions not registered yet."""
     return requests.groupBy("session_id").agg(F.min("created_at").alias("created_at")).join(known.select("session_id"), "session_id", "left_anti")

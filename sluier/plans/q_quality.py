@@ -15,7 +15,7 @@ from sluier.operators import detect as D
 from sluier.plans.deidentify import deidentify, mappings_of, with_names
 from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold
 from sluier.plans.q_detect import DETECTED_CTE, SQL_VALID, TYPES_CTE
-from sluier.plans.q_general import _EDIT_CTE, _OUT_CTE, _RARE, TEST_KEY, _keyed_cte
+from sluier.plans.q_general import _EDIT_CTE, _OUT_CTE, _RARE, TEST_KEY, _keyed_cte, sql_digest
 from sluier.plans.q_review import _BASE as _REVIEW_BASE
 from sluier.plans.q_review import _decided, _entities
 from sluier.session import materialise, working_dir
@@ -343,12 +343,12 @@ ORACLES["t1_stream_pipeline"] = f"WITH {DOSSIER_CTE} SELECT doc_id, session_id,
 
 def t3_stream_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with doubtful finds: documents that wait, and their review items."""
-    from sluier.streaming.pipeline import run
+    from sluier.streaming.pipeline import content_table, run
 
     base = _path(spark, "stream_review")
     dossiers(spark, sf_dir).select("doc_id", "session_id", "text").write.json(f"{base}/in")
     run(spark, f"{base}/in", f"{base}/content", f"{base}/vault", f"{base}/checkpoint", TEST_KEY, _layers).awaitTermination()
-    items = spark.read.parquet(f"{base}/content/review").groupBy("session_id").agg(F.count(F.lit(1)).alias("items"))
+    items = content_table(spark, f"{base}/content", "review").read_all().groupBy("session_id").agg(F.count(F.lit(1)).alias("items"))
     told = spark.read.parquet(f"{base}/content/documents").groupBy("session_id").agg(F.count_if("held").alias("held"), F.count("outbound_text").alias("sent"))
     return told.join(items, "session_id", "left").select("session_id", "held", "sent", F.coalesce("items", F.lit(0).cast("bigint")).alias("items"))
 
@@ -357,15 +357,41 @@ ORACLES["t3_stream_review"] = f"WITH {DOSSIER_CTE} SELECT session_id, CAST(count
 
 
 def t2_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held documents of resolved sessions, of which every fourth was released before."""
-    from sluier.operators.review import session_resolved
-    from sluier.streaming.pipeline import resume
+    """The stream with doubtful finds, then decisions about two thirds of them: what was sent for each document, and how often."""
+    from sluier.streaming.pipeline import content_table, run
+
+    base = _path(spark, "stream_resume")
+    dossiers(spark, sf_dir).select("doc_id", "session_id", "text").write.json(f"{base}/in")
+    stream = lambda: run(spark, f"{base}/in", f"{base}/content", f"{base}/vault", f"{base}/checkpoint", TEST_KEY, _layers, f"{base}/decisions").awaitTermination()
+    decision = "item_id bigint, session_id string, decided_at timestamp, status string, entity_type string"
+    spark.createDataFrame([], decision).write.json(f"{base}/decisions")
+    stream()
+    turn = F.floor(F.col("doc_id").cast("bigint") / 10) % 3
+    items = content_table(spark, f"{base}/content", "review").read_all().filter(turn < 2)
+    told = items.select("item_id", "session_id", F.lit("2024-01-01").cast("timestamp").alias("decided_at"), F.when(turn == 0, "accepted").otherwise("rejected").alias("status"), F.lit(None).cast("string").alias("entity_type"))
+    told.write.mode("append").json(f"{base}/decisions")
+    stream()
+    sent = spark.read.parquet(f"{base}/content/documents").filter("not held").select("doc_id", "session_id", "outbound_text").unionByName(content_table(spark, f"{base}/content", "released").read_all().drop("batch"))
+    return sent.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "session_id").agg(F.count(F.lit(1)).alias("times"), F.sha2(F.min("outbound_text"), 256).alias("outbound_sha256"))
+
+
+ORACLES["t2_stream_resume"] = f"""{_W3}, {_OUT_CTE}, turn AS (SELECT doc_id, session_id, (doc_id // 10) % 3 AS turn FROM dossier WHERE doc_id % 10 = 3),
+open AS (SELECT session_id, count(*) FILTER (turn = 2) AS waiting, count(*) FILTER (turn = 1) AS rejected FROM turn GROUP BY 1),
+accepted AS (SELECT session_id, '[ORG-' || substr({sql_digest('skey', "'org:Dossier'")}, 1, 6) || ']' AS token FROM keyed)
+SELECT o.doc_id, o.session_id, CAST(1 AS BIGINT) AS times, sha256(CASE WHEN o.doc_id % 10 = 3 AND rejected = 0 THEN token || substr(outbound_text, 8) ELSE outbound_text END) AS outbound_sha256
+FROM outbound o JOIN accepted USING (session_id) LEFT JOIN open USING (session_id) WHERE o.doc_id % 10 <> 3 OR waiting = 0"""
+
+
+def t4_stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows that the stream wrote, by session."""
+    from sluier.streaming.pipeline import run
 
-    items = _decided(spark, sf_dir)
-    held = items.select("doc_id", "session_id")
-    return resume(held, session_resolved(items, items.filter("item_id % 250 = 0")), held.filter("doc_id % 4 = 0"))
+    base = _path(spark, "stream_audit")
+    dossiers(spark, sf_dir).select("doc_id", "session_id", "text").write.json(f"{base}/in")
+    run(spark, f"{base}/in", f"{base}/content", f"{base}/vault", f"{base}/checkpoint", TEST_KEY, _layers).awaitTermination()
+    return spark.read.parquet(f"{base}/content/audit").groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("review_required").alias("held"), F.count("error").alias("errors"), F.min("avg_confidence").alias("least"))
 
 
-ORACLES["t2_stream_resume"] = f"""WITH {_REVIEW_BASE}, open AS (SELECT session_id, count(*) FILTER (status = 'pending' AND item_id % 250 = 0) AS n FROM decided GROUP BY 1) SELECT session_id, doc_id FROM decided JOIN open USING (session_id) WHERE n = 0 AND doc_id % 4 <> 0"""
+ORACLES["t4_stream_audit"] = f"""{_W3}, {_OUT_CTE} SELECT session_id, count(*) AS rows, count(*) FILTER (doc_id % 10 = 3) AS held, CAST(0 AS BIGINT) AS errors, min(CAST(round((n - 2 + 2 * 0.85) / n, 6) AS DOUBLE)) AS least FROM outbound GROUP BY 1"""
 
 QUERIES |= {name: f for name, f in globals().items() if callable(f) and name[0] in "qystw" and name[1].isdigit()}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluier.operators import audit as A
 from sluier.operators import review as R
+from sluier.session import working_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,6 +170,18 @@ def a1_append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["a1_append_audit"] = f"SELECT id, session_id FROM ({_LOG}) WHERE id % 3 <> 0"
 
 
+def a1_append_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that lies by day, with every third row; the whole log is appended twice. Told are its days."""
+    path = f"{working_dir(spark)}/audit-{uuid.uuid4().hex}"
+    log = _log(spark, sf_dir).select("id", "session_id", "created_at")
+    for rows in (log.filter("id % 3 = 0"), log, log):
+        A.append_by_day(rows, path)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+
+
+ORACLES["a1_append_by_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, count(*) AS ids FROM events GROUP BY 1"
+
+
 def a1_new_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.new_sessions(_log(spark, sf_dir).filter("id % 50 = 0"), _log(spark, sf_dir))
 

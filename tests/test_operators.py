@@ -1,10 +1,13 @@
 """Operators on literal rows."""
 
+import datetime
 import hashlib
 import hmac
 import json
 import re
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluier.functions import checks, spans
@@ -273,7 +276,7 @@ def test_decisions(spark):
 
 
 def test_names_are_replaced_and_doubtful_finds_hold(spark, tmp_path):
-    from sluier.streaming.pipeline import process_batch
+    from sluier.streaming.pipeline import process_batch, vault_table
 
     docs = spark.createDataFrame([(1, "s", "Huisarts: Jansen. Contactpersoon: dochter De Vries. Naar Acme Zorg."), (2, "s", None), (3, "s", "Niets.")], "doc_id long, session_id string, text string")
     listed = spark.createDataFrame([("Acme Zorg", "org")], "surface string, entity_type string")
@@ -284,20 +287,82 @@ def test_names_are_replaced_and_doubtful_finds_hold(spark, tmp_path):
     strict = {r["doc_id"]: r for r in deidentify(rows, KEY, extra_spans="layer_2", thresholds={"threshold_spacy_person": 0.9}).collect()}
     assert strict[1]["held"] and len(strict[1]["pending"]) == 2 and strict[1]["outbound_text"] is None and not strict[3]["held"]
     process_batch(docs, 0, f"{tmp_path}/content", f"{tmp_path}/vault", KEY)
-    assert {r["original"] for r in spark.read.parquet(f"{tmp_path}/vault/mappings").collect()} == {"Jansen", "De Vries"}
+    assert {r["original"] for r in vault_table(spark, f"{tmp_path}/vault").read_all().collect()} == {"Jansen", "De Vries"}
 
 
-def test_a_batch_reads_only_its_buckets_of_the_vault(spark, tmp_path):
-    from sluier.sources.tables import bucket_of
-    from sluier.streaming.pipeline import known_mappings, process_batch
+def test_a_batch_reads_only_its_leaves_of_the_vault(spark, tmp_path):
+    from sluier.streaming.pipeline import process_batch, vault_table
 
     vault = f"{tmp_path}/vault"
     batches = [[(f"d{i}", f"s{i}", f"Huisarts: Jansen. Mail a{i}@x.nl") for i in range(12)], [("e", "s3", "Huisarts: Jansen. Mail b@x.nl")]]
     for again in (0, 0, 1, 1):  # each batch is run twice
         process_batch(spark.createDataFrame(batches[again], "doc_id string, session_id string, text string"), again, f"{tmp_path}/content", vault, KEY)
-    rows = spark.read.parquet(f"{vault}/mappings").select("session_id", "original", "batch").collect()
+    rows = vault_table(spark, vault).read_all().select("session_id", "original", "batch").collect()
     assert len(rows) == 25 and {(r["original"], r["batch"]) for r in rows if r["session_id"] == "s3"} == {("Jansen", 0), ("a3@x.nl", 0), ("b@x.nl", 1)}
-    bucket = spark.range(1).select(bucket_of(F.lit("s3"))).first()[0]
-    known = known_mappings(spark, vault, [bucket, -1], 1)
-    assert known.inputFiles() and all(f"bucket={bucket}/" in f for f in known.inputFiles())
-    assert known_mappings(spark, vault, [-1], 1) is None
+    session = spark.createDataFrame([("s3",)], "session_id string")
+    assert len(vault_table(spark, vault).leaves(session)) == 1
+    known = vault_table(spark, vault).read(session, 1)
+    assert {r["original"] for r in known.collect()} == {"Jansen", "a3@x.nl"} and len(known.inputFiles()) == 1
+    assert spark.read.parquet(f"{tmp_path}/content/audit").filter("batch = 0").count() == 12
+
+
+def test_session_tables_stay_flat(spark, tmp_path, monkeypatch):
+    """Over many batches the files of a leaf stay few; leaves split as they grow; nothing is lost or doubled, also where a batch is run again or a merge broke off."""
+    from sluier.sources import sessions as T
+
+    monkeypatch.setattr(T, "BITS", 1)
+    monkeypatch.setattr(T, "FOLDERS", 3)
+    monkeypatch.setattr(T, "LEAF", 2500)
+    table = T.SessionTable(spark, f"{tmp_path}/t", "session_id string, n bigint")
+    files, want = [], []
+    for batch in range(14):
+        rows = [(f"s{batch % 5}", batch), (f"t{batch}", batch), (None, batch)]
+        want += rows
+        for _ in range(1 + (batch % 7 == 3)):
+            table.write(spark.createDataFrame(rows, "session_id string, n bigint"), batch)
+        if batch == 9:  # as if the driver had been lost after one half of a split was written, before the mark
+            shutil.copytree(f"{tmp_path}/t/leaf=b{table.leaves(spark.createDataFrame(rows, 'session_id string, n bigint'))[0]}", f"{tmp_path}/t/leaf=b01010101")
+        one = spark.createDataFrame([("s0",)], "session_id string")
+        files.append(len(table.paths(table.leaves(one))))
+    key = lambda r: (r[0] or "", r[1])
+    shutil.rmtree(f"{tmp_path}/t/leaf=b01010101")
+    assert sorted(((r["session_id"], r["n"]) for r in table.read_all().collect()), key=key) == sorted(want, key=key)
+    assert max(files) <= 6 and max(map(len, table.leaves(spark.createDataFrame(want, "session_id string, n bigint")))) > 1
+    some = table.read(spark.createDataFrame([("s3",), (None,)], "session_id string"), 14)
+    assert sorted(r["n"] for r in some.filter("session_id = 's3'").collect()) == [3, 8, 13]
+    assert some.filter("session_id is null").count() == 14
+
+
+def test_documents_come_out_once(spark, tmp_path, monkeypatch):
+    """Decisions before and after their documents, a batch that breaks off in the middle, two documents under one id."""
+    from sluier.sources.sessions import SessionTable
+    from sluier.streaming.pipeline import DECISION, content_table, process_batch, vault_table
+
+    content, vault = f"{tmp_path}/content", f"{tmp_path}/vault"
+    doubt = lambda rows: rows.withColumn("layer_2", F.when(F.col("text").startswith("Acme"), F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("Acme").alias("original"), F.lit("org").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit("deduce").alias("layer")))).otherwise(F.array()).cast(detect.SPANS))
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id string, session_id string, text string")
+    told = lambda *rows: spark.createDataFrame([], "doc_id string, session_id string, text string").unionByName(spark.createDataFrame([(i, s, datetime.datetime(2024, 1, 1), d, t) for i, s, d, t in rows], DECISION), allowMissingColumns=True)
+    process_batch(docs(("1", "a", "Acme x"), ("2", "a", "Acme y"), ("3", "b", "Acme z"), ("4", "b", "vrij"), ("4", "b", "anders"), ("4", "b", "vrij")), 0, content, vault, KEY, doubt)
+    assert spark.read.parquet(f"{content}/rejects").count() == 1
+    items = {r["doc_id"]: r["item_id"] for r in content_table(spark, content, "review").read_all().collect()}
+    released = lambda: sorted((r["doc_id"], r["outbound_text"][:4], r["batch"]) for r in content_table(spark, content, "released").read_all().collect())
+    process_batch(told((items["1"], "a", "accepted", None)), 1, content, vault, KEY, doubt)
+    assert released() == []
+    write = SessionTable.write
+
+    def breaks(self, rows, batch):
+        if self.path.endswith("mappings"):
+            raise RuntimeError("lost")
+        write(self, rows, batch)
+
+    second = told((items["2"], "a", "modified", "name"), (items["3"], "b", "rejected", None))
+    monkeypatch.setattr(SessionTable, "write", breaks)
+    with pytest.raises(RuntimeError):
+        process_batch(second, 2, content, vault, KEY, doubt)
+    monkeypatch.setattr(SessionTable, "write", write)
+    process_batch(second, 2, content, vault, KEY, doubt)
+    # The type of the last accepted item holds for the text in its session.
+    last = "[PER" if items["2"] > items["1"] else "[ORG"
+    assert released() == [("1", last, 2), ("2", last, 2), ("3", "Acme", 2)]
+    process_batch(told((items["3"], "b", "rejected", None)), 3, content, vault, KEY, doubt)
+    assert len(released()) == 3 and {r["original"] for r in vault_table(spark, vault).read_all().collect()} == {"Acme"}
