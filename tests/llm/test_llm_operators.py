@@ -14,8 +14,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from sluier.llm import bpe, chat, decontaminate, licenses, secrets, simhash, token_counts, topk, toxicity, urls
-from sluier.llm.queries import RANKS
+from sluier.llm import align, bpe, chat, collocations, decontaminate, licenses, secrets, sentencepieces, simhash, token_counts, topk, toxicity, urls
+from sluier.llm.queries import BYTES, PIECES, RANKS
 
 DOC = "doc_id long, text string"
 EDGES = [(100, None), (101, ""), (102, " \n"), (103, "x" * 60_000), (104, "é😀 " * 9_000)]
@@ -602,3 +602,212 @@ def test_url_query_and_missing_scheme_tell(spark):
     odd = [(300, "http://a.test/?goedgoedgoed"), (301, "http://a.test/?slechtslechtslecht"), (302, "goedgoedgoed"), (303, "slechtslechtslecht")]
     got = {r["page_id"]: r["score"] for r in urls.judge(spark.createDataFrame(made + odd, "page_id long, url string")).collect()}
     assert got[300] > got[301] and got[302] > got[303]
+
+
+# -- phrase collocations -----------------------------------------------------------------------
+
+
+def brute_collocations(rows, least=10, keep=2000, share=50):
+    """Plain loops over (lang, text)."""
+    counts = {}
+    for lang, text in rows:
+        seen = counts.setdefault("und" if lang is None else lang, {})
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            for n in (1, 2, 3):
+                for i in range(len(words) - n + 1):
+                    gram = tuple(words[i : i + n])
+                    seen[gram] = seen.get(gram, 0) + 1
+    out = []
+    for lang, f in counts.items():
+        n, told = sum(c for g, c in f.items() if len(g) == 1), []
+        for gram, a in f.items():
+            if len(gram) < 2 or a < least or any(c >= least and 100 * c >= share * a and gram in (g[:2], g[1:]) for g, c in f.items() if len(gram) == 2 and len(g) == 3):
+                continue
+            score, k = min((10**6 * a * a // (f[gram[:k]] * f[gram[k:]]), k) for k in range(1, len(gram)))
+            told.append((-score, -a, " ".join(gram).encode(), f[gram[:k]], f[gram[k:]]))
+        out += [(lang, i + 1, g.decode(), -a, l, r, n, -s) for i, (s, a, g, l, r) in enumerate(sorted(told)[:keep])]
+    return sorted(out)
+
+
+def test_collocations_equal_plain_loops(spark, monkeypatch):
+    """Many small ranges and shards, hot words and pairs, odd signs, an open piece longer than a shard."""
+    random.seed(11)
+    words = ["de", "kat", "zit", "Op", "op x", "mat\x01", "é", "ß", "€", "a-b", "x'y", "zin"]
+    make = lambda n: "".join(random.choice(words) + random.choice([" ", " ", " ", "  ", "\t", ". ", ", ", "\n", " "]) for _ in range(n))
+    rows = [(random.choice(["nl", "en", None, "", "und"]), make(random.randrange(60))) for _ in range(150)]
+    rows += [("nl", None), ("nl", ""), ("hot", "new york " * 400), ("hot", "new york city hall " * 300), ("one", "x")]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, n long, home string").repartition(6)
+    want = brute_collocations(rows)
+    assert len(want) > 40 and sorted(map(tuple, collocations.collocations(frame).collect())) == want
+    monkeypatch.setattr(collocations, "RANGE", 300)
+    monkeypatch.setattr(collocations, "SAMPLED", 40)
+    assert sorted(map(tuple, collocations.collocations(frame).collect())) == want
+    assert sorted(map(tuple, collocations.collocations(frame, least=3, keep=7, share=30).collect())) == brute_collocations(rows, 3, 7, 30)
+    assert collocations.op11(frame.limit(0)).count() == 0
+
+
+def test_shards_end_inside_a_piece(monkeypatch):
+    monkeypatch.setattr(collocations, "SHARD", 60)
+    monkeypatch.setattr(collocations, "SLICE", 40)
+    texts = [("a", ["x y z " * 50, "y. " * 20, "q" * 300]), ("b", ["z z z"]), ("a", ["x y"])]
+    shards, parts = collocations.Shards(), {}
+    for lang, some in texts:
+        for k, s in shards.add(lang, some):
+            parts.setdefault(k, []).append(s)
+    for k, s in shards.flush():
+        parts.setdefault(k, []).append(s)
+    assert len(parts["a"]) > 3
+    for lang in "ab":
+        one = collocations.united(parts[lang])
+        got = {tuple(one.words[i].decode() for i in row if i >= 0): w for row, w in zip(one.at.T.tolist(), one.weights.tolist())}
+        want = {}
+        for k, some in texts:
+            for text in some if k == lang else []:
+                for piece in text.replace(".", "\n").split("\n"):
+                    w = piece.split()
+                    for i in range(len(w)):
+                        want[tuple(w[i : i + 3])] = want.get(tuple(w[i : i + 3]), 0) + 1
+        assert got == want
+
+
+def test_automata_unite_compose_and_share_states():
+    random.seed(12)
+    A = collocations
+
+    def strings(n, letters):
+        seen = {}
+        for _ in range(n):
+            g = tuple(random.choice(letters) for _ in range(random.randrange(1, 4)))
+            seen[g] = seen.get(g, 0) + 1
+        words = sorted({w.encode() for g in seen for w in g})
+        at = np.array([[words.index(w.encode()) for w in g] + [-1] * (3 - len(g)) for g in seen]).T
+        return seen, A.sorted_sum(words, at, np.array(list(seen.values())))
+
+    told = lambda s: {tuple(s.words[i].decode() for i in row if i >= 0): w for row, w in zip(s.at.T.tolist(), s.weights.tolist())}
+    one, a = strings(400, "abcdefgh")
+    two, b = strings(400, "defghijk")
+    first, second = A.build(a), A.Automaton.load(A.build(b).dump())
+    assert told(first.strings()) == one and told(second.strings()) == two
+    assert told(A.united([first.strings(), second.strings()])) == {g: one.get(g, 0) + two.get(g, 0) for g in {*one, *two}}
+    both, theirs = first.compose(second)
+    assert dict(zip(told(both), theirs.tolist())) == {g: two[g] for g in told(both)} and set(told(both)) == set(one) & set(two)
+    same = A.build(A.Strings([b"a", b"b", b"c"], np.array([[0, 1, 2], [1, 1, 1], [2, 2, 2]]), np.array([5, 5, 5])))
+    assert len(same.first) - 1 == 3 and len(same.word) == 5  # three first words, one state behind each, and one behind those
+    builder = A.Builder(a.words)
+    for i in range(len(a)):
+        builder.add(a.cut(i, i + 1))
+    assert told(builder.finish().strings()) == one
+    empty = A.build(a.cut(0, 0))
+    assert len(empty.strings()) == 0 and len(empty.compose(first)[0]) == 0 and len(first.compose(empty)[0]) == 0
+
+
+# -- SentencePiece -----------------------------------------------------------------------------
+
+ODD = [" ", "  ", "   ", "\n", "\t", "　", "▁", "▁▁", "a", "the", "é", "'s", "don't", "12", "!?", "日本語", "😀", "\x00", "<s>", "<|endoftext|>", "<0x41>", "<unk>", "x" * 70, "ß", "�", "한국어", "​", "½.", "².", "the theatre"]
+
+
+def odd_texts(n, seed):
+    random.seed(seed)
+    return [None, "", " ", "▁", "  a", " a ", "a  b", "\n", *("".join(random.choice(ODD) for _ in range(random.randrange(1, 40))) for _ in range(n)), "x" * 3000, "é " * 5000]
+
+
+def test_pieces_equal_the_library_with_their_places(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = odd_texts(1500, 21)
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ends string")
+    bytes_of = {i for i in range(library.get_piece_size()) if library.is_byte(i)}
+    rows = sentencepieces.round_trip(frame, PIECES).withColumn("spans", sentencepieces.spans(F.col("ends"))).collect()
+    for r in rows:
+        text = r["text"] or ""
+        assert r["ids"] == library.encode(text) and r["decoded"] == library.decode(r["ids"])
+        data, proto = text.encode(), library.encode(text, return_type="proto").pieces
+        assert [data[s["start"] : s["end"]].decode() for s, p in zip(r["spans"], proto) if p.id not in bytes_of] == [p.surface for p in proto if p.id not in bytes_of]
+        assert not r["ids"] or (r["spans"][0]["start"], r["spans"][-1]["end"]) == (0, len(data))
+    random.seed(22)
+    model = sentencepieces.model_of(PIECES)
+    for _ in range(2000):
+        ids = [random.randrange(32000) if random.random() < 0.5 else random.randrange(262) for _ in range(random.randrange(12))]
+        assert model.decode(ids) == library.decode(ids)
+    assert sentencepieces.op12(frame.limit(0), PIECES).count() == 0
+
+
+def test_a_character_map_takes_the_longest_key_and_keeps_places():
+    """A map written by hand as a double array: a -> x, ab -> yy, c -> nothing."""
+    rules = {b"a": b"x", b"ab": b"yy", b"c": b""}
+    targets, place = b"", {}
+    for key, new in rules.items():
+        place[key] = len(targets)
+        targets += new + b"\0"
+    units = [0] * 1024
+    leaf = lambda at, key: units.__setitem__(at, place[key] | 1 << 31)
+    unit = lambda offset, label, has: (offset << 10) | (has << 8) | label
+    units[0] = unit(256, 0, 0)
+    a, c = 256 ^ ord("a"), 256 ^ ord("c")
+    units[a], units[c] = unit(a ^ 512, ord("a"), 1), unit(c ^ 700, ord("c"), 1)
+    leaf(512, b"a")
+    leaf(700, b"c")
+    units[512 ^ ord("b")] = unit((512 ^ ord("b")) ^ 640, ord("b"), 1)
+    leaf(640, b"ab")
+    blob = np.array([len(units) * 4], "<u4").tobytes() + np.array(units, "<u4").tobytes() + targets
+    characters = sentencepieces.CharacterMap(blob)
+    assert [characters.longest(b"abac", i) for i in range(4)] == [(2, b"yy"), None, (1, b"x"), (1, b"")]
+    normal = sentencepieces.Normaliser(characters, add_blank=True, squeeze=True, escape=True)
+    data, origin = normal("  ab  a é c ")
+    assert data.decode() == "▁yy▁x▁é" and origin == [2] * 3 + [2, 2] + [4] * 3 + [6] + [7] * 3 + [8, 9, 10]
+    assert normal("   ") == (b"", [3])
+    plain = sentencepieces.Normaliser(sentencepieces.CharacterMap(b""), squeeze=False)
+    assert plain("a é") == ("▁a▁é".encode(), [0, 0, 0, 0, 1, 1, 1, 2, 3, 4])
+
+
+# -- cross-tokenizer alignment -----------------------------------------------------------------
+
+
+def test_alignment_equals_plain_loops(spark, monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(align, "BLOCK", 3000)
+    texts = [*odd_texts(250, 31), "word " * 700, "same text", "same text"]
+    first = Tokenizer.from_file(BYTES)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    token = {i: t for t, i in align.read_byte_vocabulary(BYTES).items()}
+    piece = lambda i: bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode()
+    want, count = [], {}
+    for t in texts:
+        whole = f" {t}".encode()
+        a, b = (first.encode(f" {t}", add_special_tokens=False).ids, second.encode(t)) if t else ([], [])
+        if not t or b"".join(token[x] for x in a) != whole or b"".join(map(piece, b)) != whole:
+            want.append(None)
+            continue
+        ends = [np.cumsum([len(x) for x in part]).tolist() for part in ([token[x] for x in a], [piece(x) for x in b])]
+        starts = [[0, *e[:-1]] for e in ends]
+        links = [(i, j) for i in range(len(a)) for j in range(max(0, np.searchsorted(ends[1], starts[0][i], "right")), len(b)) if starts[1][j] < ends[0][i]] if len(a) < 400 else [(i, j) for i in range(len(a)) for j in range(int(np.searchsorted(ends[1], starts[0][i], "right")), int(np.searchsorted(starts[1], ends[0][i], "left")))]
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            x, y = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+            i, j = x, y
+        for i, j in links:
+            count[a[i], b[j]] = count.get((a[i], b[j]), 0) + 1
+        want.append((a, b, links, groups))
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    frame = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_a long").repartition(3)
+    for r in align.op13(frame, BYTES, PIECES).collect():
+        w = want[r["doc_id"]]
+        if w is None:
+            assert tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "")
+        else:
+            a, b, links, groups = w
+            held = [(count[a[i], b[j]], best[b[j]]) for i, j in links]
+            assert tuple(r)[1:] == (len(a), len(b), len(groups), len(links), sum(n == m for n, m in held), sum(n for n, _ in held), hashlib.sha256(";".join(groups).encode()).hexdigest())
+    for r in align.align(frame.filter("doc_id < 100"), BYTES, PIECES).collect():
+        w = want[r["doc_id"]] or ([], [], [], [])
+        assert (r["a_ids"], r["b_ids"], [tuple(x) for x in r["links"]], len(r["cuts"])) == (w[0], w[1], w[2], len(w[3]))
+    assert align.op13(frame.limit(0), BYTES, PIECES).count() == 0
