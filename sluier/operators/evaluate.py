@@ -16,16 +16,12 @@ from sluier.operators.entity_types import category_of, entity_types
 PAIRED = "array<struct<g:int,p:int>>"
 MODES = ("exact", "overlap")
 SPANS = "array<struct<start:int,end:int,entity_type:string,text:string>>"
-#: Detectors that are compared at once, at most.
-MOST_RUNNERS = 1000
 
 
-def _runners(pred: DataFrame, runners: DataFrame | None) -> Column:
-    """The names of the detectors, an array; they are a handful."""
-    names = [r["runner"] for r in (pred.select("runner").distinct() if runners is None else runners).limit(MOST_RUNNERS + 1).collect()]
-    if len(names) > MOST_RUNNERS:
-        raise ValueError(f"more than {MOST_RUNNERS} runners")
-    return F.array(*map(F.lit, names)).cast("array<string>")
+def _with_runners(rows: DataFrame, pred: DataFrame, runners: DataFrame | None) -> DataFrame:
+    """rows with the array __runners of the names of all detectors: one row of the plan holds them."""
+    named = pred.select("runner") if runners is None else runners.select("runner")
+    return rows.crossJoin(F.broadcast(named.agg(F.array_sort(F.collect_set("runner")).alias("__runners"))))  # one row
 
 
 def paired(gold: DataFrame, pred: DataFrame, runners: DataFrame | None = None) -> DataFrame:
@@ -34,7 +30,8 @@ def paired(gold: DataFrame, pred: DataFrame, runners: DataFrame | None = None) -
     g = gold.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(span)).alias("gold"))
     p = pred.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "runner"))).alias("every"))
     mine = lambda r: F.struct(r.alias("runner"), F.filter("every", lambda x: x["runner"] == r).cast("array<struct<start:int,end:int,entity_type:string,text:string,runner:string>>").alias("pred"))
-    rows = g.join(p, ["doc_id", "entity_type"], "full").select("doc_id", "entity_type", F.coalesce("gold", S.none(SPANS)).alias("gold"), F.explode(F.transform(_runners(pred, runners), mine)).alias("r"))
+    both = _with_runners(g.join(p, ["doc_id", "entity_type"], "full"), pred, runners)
+    rows = both.select("doc_id", "entity_type", F.coalesce("gold", S.none(SPANS)).alias("gold"), F.explode(F.transform("__runners", mine)).alias("r"))
     told = F.transform(F.coalesce("r.pred", F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,runner:string>>")), lambda x: x.dropFields("runner")).cast(SPANS)
     return rows.select("r.runner", "doc_id", "entity_type", "gold", told.alias("pred")).filter("size(gold) + size(pred) > 0")
 
@@ -181,7 +178,7 @@ def coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:
         bounded = F.transform(S.blocks(_joined(mine)), bounds)
         return S.let(bounded, lambda b: F.struct(r.alias("runner"), F.transform("gold", lambda x: F.struct(x.alias("g"), _covered(b, x).alias("n"))).alias("spans")))
 
-    rows = g.join(p, "doc_id", "left").select("doc_id", F.explode(F.transform(_runners(pred, None), told)).alias("r"))
+    rows = _with_runners(g.join(p, "doc_id", "left"), pred, None).select("doc_id", F.explode(F.transform("__runners", told)).alias("r"))
     rows = rows.select("r.runner", "doc_id", F.explode("r.spans").alias("x"))
     share = F.round(F.col("x.n") / (F.col("x.g.end") - F.col("x.g.start")), 6)
     return rows.select("runner", "doc_id", "x.g.start", "x.g.end", "x.g.entity_type", "x.g.text", share.alias("covered"))

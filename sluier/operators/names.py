@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import NamedTuple
 
 import pandas as pd
@@ -252,11 +252,52 @@ def supplement_names(names: Column, additions: Column, text: Column) -> Column:
     return coalesce_names(F.transform(merged, grown))
 
 
+#: Bits of a field for each entry, places that an entry sets, and blocks of bits at most (of 32768: 32 MB in all).
+FIELD_BITS, FIELD_HASHES, FIELD_BLOCKS = 10, 2, 8192
+_BLOCK = 32768
+
+
+def _field_places(surface: Column, bits: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), surface), bits) for i in range(FIELD_HASHES)]
+
+
+def listed_surfaces(gazetteer: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a surface may be in a gazetteer: never false for one that is, and rarely true for another while the field isn't at its greatest size.
+
+    The field is an array of bit maps, made by an aggregate for each block of bits and read as a subquery of one row.
+    """
+    blocks = F.least(F.lit(FIELD_BLOCKS), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * FIELD_BITS / _BLOCK))).cast("long")
+    size = gazetteer.agg((blocks * _BLOCK).alias("bits"))
+    set_ = gazetteer.select("surface").crossJoin(F.broadcast(size)).select(F.explode(F.array(*_field_places(F.col("surface"), F.col("bits")))).alias("p"))  # size has one row
+    maps = set_.groupBy(F.floor(F.col("p") / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("p") % _BLOCK).alias("map"))
+    every = size.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.col("bits") / _BLOCK).cast("long") - 1)).alias("block")).join(maps, "block", "left")
+    field = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "map"))), lambda x: x["map"]).alias("field")).scalar()
+
+    def may(surface: Column) -> Column:
+        bits = F.size(field).cast("long") * _BLOCK
+
+        def is_set(p: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(F.get(field, F.floor(p / _BLOCK).cast("int")), (F.floor(p % _BLOCK / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.coalesce(F.getbit(byte, (p % 8).cast("int")) == 1, F.lit(False))
+
+        tests = [is_set(p) for p in _field_places(surface, bits)]
+        return reduce(and_, tests)
+
+    return may
+
+
+def gazetteer_grams(docs: DataFrame, grams: Column, may: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, start, end, surface) of the n-grams that may be listed. Texts and words stay behind, and the test comes in the same step, before any exchange."""
+    rows = docs.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.start", "g.end", "g.surface")
+    return rows.filter(may(F.col("surface")))
+
+
 def dictionary_entities(docs: DataFrame, gazetteer: DataFrame, most_words: int = 4, max_rows: int = 1_000_000) -> DataFrame:
     """Rows of docs (doc_id, text) that hold entries of a gazetteer (surface, entity_type): doc_id, start, end, text, entity_type.
 
-    Word n-grams meet the entries by equality; of overlapping finds the longest stays. A gazetteer below max_rows
-    is broadcast, a larger one is joined by shuffle on the n-gram.
+    Word n-grams meet the entries by equality; of overlapping finds the longest stays. Before they leave their row, n-grams are tested against a bit
+    field of the entries, so what is joined follows the hits and not the words. A gazetteer below max_rows is broadcast, a larger one is joined by
+    shuffle on the n-gram.
     """
     words = S.scan(F.col("text"), r"\w[\w'-]*")
 
@@ -270,8 +311,7 @@ def dictionary_entities(docs: DataFrame, gazetteer: DataFrame, most_words: int =
         # Words with more than a blank between them are no n-gram.
         return F.when(F.size(w) > 0, F.filter(every, lambda g: g["end"] - g["start"] == F.length(g["surface"])))
 
-    # Only the n-grams leave the row, not its text or words.
-    grams = docs.select("doc_id", F.explode(S.let(words, grams_of)).alias("g")).select("doc_id", "g.start", "g.end", "g.surface")
+    grams = gazetteer_grams(docs, S.let(words, grams_of), listed_surfaces(gazetteer))
     small = gazetteer.limit(max_rows + 1).count() <= max_rows
     found = grams.join(F.broadcast(gazetteer) if small else gazetteer, "surface")
     row = F.struct((F.col("start") - F.col("end")).alias("by_length"), "start", "end", F.col("surface").alias("text"), "entity_type")

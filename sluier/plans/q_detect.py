@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluier.functions import checks as C
 from sluier.functions import spans as S
+from sluier.functions.tables import register
 from sluier.operators import dates, payload
 from sluier.operators import detect as D
 from sluier.operators import entity_types as T
@@ -67,6 +68,16 @@ ORACLES["d1_scan_pattern"] = f"""WITH found AS (SELECT doc_id, unnest({sql_scan(
 SELECT doc_id, s.start AS "start", s."end" AS "end", s.text AS original FROM found"""
 
 
+def d1_scan_spans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function, called from SQL."""
+    register(spark)
+    sql = "SELECT doc_id, s.start, s.end, s.text AS original FROM {docs} AS d, LATERAL scan_spans(d.text, '[A-Za-z]+[0-9][A-Za-z0-9]*') AS s"
+    return spark.sql(sql, docs=_documents(spark, sf_dir))
+
+
+ORACLES["d1_scan_spans_table"] = ORACLES["d1_scan_pattern"]
+
+
 def d2_detect_email_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(_documents(spark, sf_dir).select("doc_id", D.of_type(F.col("text"), "email").alias("s")))
 

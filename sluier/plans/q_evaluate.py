@@ -99,11 +99,17 @@ ORACLES["e7_group_totals"] = f"""WITH {_BASE}, {_COUNTS}, {_GROUPED} SELECT runn
 {_MEAN('"precision"')} AS "precision", {_MEAN('recall')} AS recall, {_MEAN('f1')} AS f1 FROM grouped GROUP BY GROUPING SETS ((runner, mode, identifier_group), (runner, mode))"""
 
 
+# Further mistaken types, so that the matrix has several cells.
+_SWAPPED = "CASE WHEN (doc_id + start) % 3 = 0 AND entity_type = 'bsn' THEN 'phone' WHEN (doc_id + start) % 4 = 0 AND entity_type = 'email' THEN 'project' WHEN (doc_id + start) % 5 < 2 AND entity_type = 'phone' THEN 'bsn' ELSE entity_type END"
+_MISTYPED = PRED_CTE.replace("pred AS (", "told AS (", 1) + f", pred AS (SELECT * REPLACE ({_SWAPPED.replace('start', '"start"')} AS entity_type) FROM told)"
+
+
 def e8_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.confusion(_pairs(spark, sf_dir))
+    labels, told = _both(spark, sf_dir)
+    return E.confusion(E.paired(labels, told.withColumn("entity_type", F.expr(_SWAPPED))))
 
 
-ORACLES["e8_confusion_matrix"] = f"""WITH {_BASE}, {_MATCHES},
+ORACLES["e8_confusion_matrix"] = f"""WITH {_BASE.replace(PRED_CTE, _MISTYPED)}, {_MATCHES},
 gl AS (SELECT g.* FROM g ANTI JOIN overlap o ON o.runner = g.runner AND o.doc_id = g.doc_id AND o.entity_type = g.entity_type AND o.gs = g."start"),
 pl AS (SELECT p.* FROM pred p ANTI JOIN overlap o ON o.runner = p.runner AND o.doc_id = p.doc_id AND o.entity_type = p.entity_type AND o.ps = p."start")
 SELECT gl.runner, gl.entity_type AS gold_type, pl.entity_type AS pred_type, count(*) AS n FROM gl JOIN pl ON pl.runner = gl.runner AND pl.doc_id = gl.doc_id AND pl."start" < gl."end" AND gl."start" < pl."end" GROUP BY 1, 2, 3"""

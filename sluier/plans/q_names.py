@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluier.functions import spans as S
+from sluier.functions.tables import register_detector
 from sluier.operators import names as N
 from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold
 from sluier.plans.q_detect import sql_scan
@@ -161,6 +162,21 @@ def n11_model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["n11_model_spans"] = f"""WITH {DOSSIER_CTE}, f AS (SELECT doc_id, unnest({sql_scan('text', ' op ')}) AS s FROM dossier) SELECT doc_id, CAST(s.start + 1 AS INT) AS "start", CAST(s."end" - 1 AS INT) AS "end", 'PER' AS label, 'name' AS entity_type, CAST(0.9 AS DOUBLE) AS confidence FROM f"""
 
 
+def n11_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same detector as a table function in SQL."""
+
+    def load():
+        op = re.compile(r"\bop\b")
+        return lambda text: [{"start": m.start(), "end": m.end(), "label": "PER"} for m in op.finditer(text)]
+
+    register_detector(spark, "find_op", load)
+    found = spark.sql("SELECT d.doc_id, s.start, s.end, s.label FROM {docs} AS d, LATERAL find_op(d.text) AS s", docs=dossiers(spark, sf_dir))
+    return N.map_labels(found)
+
+
+ORACLES["n11_detector_table"] = ORACLES["n11_model_spans"]
+
+
 def l6_supplement_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_two_finders(spark, sf_dir).withColumn("o", N.supplement_names(F.col("a"), F.col("b"), F.col("text"))), "o")
 

@@ -230,6 +230,28 @@ def test_over_redaction_equals_plain_loops(spark):
     assert sorted(tuple(r) for r in evaluate.over_redaction(g, p).collect()) == want
 
 
+def test_a_field_of_a_gazetteer_lets_hits_through(spark):
+    """All entries pass, few others do, and a large gazetteer (joined by shuffle) gives what a small one gives."""
+    entries = spark.range(3000).select(F.concat(F.lit("naam "), F.col("id").cast("string")).alias("surface"), F.lit("org").alias("entity_type"))
+    may = names.listed_surfaces(entries)
+    assert entries.filter(~may(F.col("surface"))).count() == 0
+    others = spark.range(20000).select(F.concat(F.lit("iets "), F.col("id").cast("string")).alias("surface"))
+    assert others.filter(may(F.col("surface"))).count() < 2000
+    docs = spark.createDataFrame([(1, "de naam 17 en naam 2999 en naam 3000"), (2, None), (3, "")], "doc_id long, text string")
+    for most in (10, 10**6):
+        assert sorted(r["text"] for r in names.dictionary_entities(docs, entries, max_rows=most).collect()) == ["naam 17", "naam 2999"]
+    assert names.dictionary_entities(docs, entries.limit(0)).count() == 0
+
+
+def test_table_functions(spark):
+    from sluier.functions import tables
+
+    tables.register(spark)
+    docs = spark.createDataFrame([(1, "a1 b22"), (2, None)], "doc_id long, text string")
+    rows = spark.sql("SELECT doc_id, s.* FROM {d} d, LATERAL scan_spans(d.text, '(?P<letter>[a-z])[0-9]+') s", d=docs).collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 2, "a1", "a"), (1, 3, 6, "b22", "b")]
+
+
 def test_payload(spark):
     body = '{"entities":[{"text":"ALPHA","type":"product","confidence":"7"},{"text":"weg","type":"name"},{"text":"x","type":"bsn"}]}'
     rows = spark.createDataFrame([(1, "het alpha middel", body), (2, "t", "kapot"), (3, "t", None)], "doc_id long, text string, payload string")
