@@ -811,3 +811,58 @@ def test_alignment_equals_plain_loops(spark, monkeypatch):
         w = want[r["doc_id"]] or ([], [], [], [])
         assert (r["a_ids"], r["b_ids"], [tuple(x) for x in r["links"]], len(r["cuts"])) == (w[0], w[1], w[2], len(w[3]))
     assert align.op13(frame.limit(0), BYTES, PIECES).count() == 0
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+WORDINGS = {
+    "licensed under the Apache-2.0 license": "Apache-2.0",
+    "Released under MIT license": "MIT",
+    "Distributed under the terms of the MIT license.": "MIT",
+    "This tool is MIT licensed.": "MIT",
+    "Licensed under GPLv3": "GPL-3.0",
+    "Licensed under the GNU GPL, version 2 or later": "GPL-2.0",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "The Unlicense": "Unlicense",
+    "To the extent possible, this work is released under CC0 1.0 Universal.": "CC0-1.0",
+    "Published under CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "available under the Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+    "made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "covered by nothing": "",
+    "Business Source License 1.1": "BUSL-1.1",
+    "Mozilla Public License Version 2.0": "MPL-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "MPL-2.0",
+    "you can redistribute it under the terms of the GNU Affero General\nPublic License as published by the Free Software Foundation, either version 3": "AGPL-3.0",
+    "is licensed under the BSD 3-Clause License; see LICENSE": "BSD-3-Clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"": "ISC",
+    "Licensed under the permit of the mayor": "",
+    ZLIB: "Zlib",
+    "long words stand in this line, which has no end of its own here\nLicensed under the MIT License": "MIT",
+}
+
+
+def test_licenses_of_common_wordings_and_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [*WORDINGS, BSD2 + ENDORSE + BSD_END, MIT, APACHE, GPL, "// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR BSD-3-Clause\n"]
+    rows = licenses.op9(docs_of(spark, texts, EDGES)).collect()
+    got = {r["doc_id"]: r["licenses"] for r in rows}
+    assert {t: got[i] for i, t in enumerate(WORDINGS) if got[i] != WORDINGS[t]} == {}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([*enumerate(texts), *EDGES], columns=["doc_id", "text"]))
+    names = ["doc_id", "n_sentences", "sentence_ids", "licenses", "n_unmatched"]
+    assert sorted(con.execute(f"SELECT {', '.join(names)} FROM ({licenses.OP9_SQL})").fetchall()) == sorted(tuple(r[n] for n in names) for r in rows)
