@@ -28,7 +28,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 USER = r"""(?i:(user_?name|user|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
 KEY = r"[A-Za-z0-9+/=]{40,}"
-ENDPOINT = r"""[a-z][a-z0-9+]{0,31}://[^\x00-\x20"'<>]+"""
+# A scheme is a whole run of its signs. What stands before it only spares Java the other beginnings in that run; RE2 needs no such help.
+_ENDPOINT_TAIL = r"""://[^\x00-\x20"'<>]+"""
+ENDPOINT = r"(?<![a-z][0-9+]{0,31})[a-z][a-z0-9+]*+" + _ENDPOINT_TAIL
+ENDPOINT_RE2 = r"[a-z][a-z0-9+]*" + _ENDPOINT_TAIL
 KINDS = ["assign", "access", "hex", "user", "key", "endpoint"]
 
 LEAST_ASSIGNED, KEY_LENGTH, SCOPE = 6, 40, 200
@@ -158,7 +161,7 @@ found AS (
   SELECT doc_id,
     (SELECT {_sql_spans("a", ASSIGN, 0, f"length(v[i]) >= {LEAST_ASSIGNED}")}) AS assigns,
     (SELECT {_sql_spans("b", ACCESS, 1)}) AS accesses, (SELECT {_sql_spans("c", HEX, 2)}) AS hexes,
-    (SELECT {_sql_spans("d", USER, 3)}) AS users0, (SELECT {_sql_spans("e", KEY, 4, f"length(m[i]) = {KEY_LENGTH}")}) AS keys0, (SELECT {_sql_spans("f", ENDPOINT, 5)}) AS ends0
+    (SELECT {_sql_spans("d", USER, 3)}) AS users0, (SELECT {_sql_spans("e", KEY, 4, f"length(m[i]) = {KEY_LENGTH}")}) AS keys0, (SELECT {_sql_spans("f", ENDPOINT_RE2, 5)}) AS ends0
   FROM doc),
 based AS (SELECT *, list_sort(assigns || accesses || hexes) AS base FROM found),
 freed AS (

@@ -10,8 +10,8 @@ it. Everything is scored: whole texts, all rows.
 
 Defined cases: null text counts as empty; an empty text gets the score of its (all zero) features; a
 row without a doc_id is scored and not held out; labels that are null are ignored, of several labels
-the highest counts; repeated rows are scored one by one, and one that is labelled counts as often as it stands there; without
-labels of both kinds in each part the score is 1 - 0.3 ** (lexicon words found).
+the highest counts; repeated rows are scored one by one, and one that is labelled counts as often as it stands there. A few rows of a prior
+(PRIOR: neutral words, some with insults) are always added to the sample, so trees and calibration are fitted in the same way for any labels, none included.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ WEAK_SHARE, WEAK_RATIO, WEAK_DEVIATIONS = 0.01, 2.5, 5
 BEGINNINGS = (3, 4, 5, 6)
 #: Words of lexicon tests that a worker remembers.
 MAX_WORDS = 100_000
+#: Rows of the prior.
+PRIOR = 42
 
 # Insults that count in any language's text.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
@@ -50,6 +52,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 # What symbols stand for in obfuscated words.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", ".": "", "-": "", "_": ""})
 
+# Neutral words of the prior.
+NEUTRAL = "and are day for garden good house it letter morning of one river road the this today water we with you".split()
+
 FEATURES = ["density", "hits", "insults", "distinct", "second_person", "near_hits", "capitals", "exclaims", "punctuation", "obfuscated", "obfuscated_hits", "word_length", "words", "digits", "weak_density", "weak_hits"]
 
 _WORD = re.compile(r"[^\W_]+")
@@ -173,19 +178,27 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     return [Lexicon(*(frozenset(r["unit"] for r in found if r[f"mark_{p}"] == k) for k in (2, 1))) for p in range(PARTS + 1)]
 
 
+def prior() -> list[tuple[str, int, int]]:
+    """(text, label, part) of the prior: texts of 2 to 60 neutral words, every second one with one to four insults among them."""
+    insults, rows = sorted(INSULTS), []
+    for k in range(PRIOR):
+        words = [NEUTRAL[(7 * k + 3 * i) % len(NEUTRAL)] for i in range(2 + 11 * k % 59)]
+        for i in range(1 + k // 2 % 4 if k % 2 else 0):
+            words.insert((5 * i + k) % (len(words) + 1), insults[(k + 3 * i) % len(insults)])
+        rows.append((" ".join(words), k % 2, k // 2 % PARTS))
+    return rows
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
-    trees: GBTClassificationModel | None = None
+    trees: GBTClassificationModel
     borders: tuple[float, ...] = ()
     levels: tuple[float, ...] = ()
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with `score` (0 to 1) and `predicted`; columns of these names are replaced."""
         rows = docs.withColumn("__features", features(F.col(text), [self.lexicon], F.lit(0)))
-        if self.trees is None:
-            found = F.expm1(F.element_at("__features", 2))
-            return rows.withColumn("score", 1 - F.pow(F.lit(0.3), found)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("__features")
         rows = self.trees.transform(rows.withColumn("__features", array_to_vector("__features")))
         raw = vector_to_array("__probability")[1]
         rows = rows.withColumn("score", self._calibrated(raw)).drop("__features", "__raw", "__probability", "__class")
@@ -217,12 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # At most max_rows rows in expectation, so the broadcast is bounded.
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     rows = rows.select("text", "label", F.pmod(F.shiftright(place, 30), F.lit(PARTS)).cast("int").alias("part")).persist()
-    kinds = {(r["part"], r["label"]) for r in rows.select("part", "label").distinct().collect()}
     *crossed, whole = learn_lexicons(rows)
-    if len(kinds) < 2 * PARTS:
-        rows.unpersist()
-        return ToxicityModel(whole)
-    table = rows.select(F.col("label").cast("double").alias("label"), "part", array_to_vector(features(F.col("text"), crossed, F.col("part"))).alias("__features")).repartition(4).persist()
+    every = rows.unionByName(docs.sparkSession.createDataFrame(prior(), rows.schema))
+    table = every.select(F.col("label").cast("double").alias("label"), "part", array_to_vector(features(F.col("text"), crossed, F.col("part"))).alias("__features")).repartition(4).persist()
     gbt = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=7)
     gbt = gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
     # Each part is calibrated by trees that have not seen it.

@@ -866,3 +866,20 @@ def test_licenses_of_common_wordings_and_their_sql(spark):
     con.register("documents", pd.DataFrame([*enumerate(texts), *EDGES], columns=["doc_id", "text"]))
     names = ["doc_id", "n_sentences", "sentence_ids", "licenses", "n_unmatched"]
     assert sorted(con.execute(f"SELECT {', '.join(names)} FROM ({licenses.OP9_SQL})").fetchall()) == sorted(tuple(r[n] for n in names) for r in rows)
+
+
+def test_endpoints_have_whole_schemes(spark):
+    """Schemes of any length begin where their run of signs has its first letter; long runs without an end cost no more than their length."""
+    random.seed(41)
+    texts = ["".join(random.choice(["a", "b1", "+", "7", "://h/x", "://", " ", "Z", "é", "x" * 40, "9" * 35]) for _ in range(12)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(secrets.ENDPOINT), F.lit(0)).alias("m")).collect()
+    assert [r["m"] for r in sorted(rows)] == [re.findall(secrets.ENDPOINT_RE2, t) for t in texts]
+    began = time.time()
+    long_ = spark.createDataFrame([("a1" * 100_000,), ("x" * 200_000,)], "t string")
+    assert long_.filter(F.col("t").rlike(secrets.ENDPOINT)).count() == 0 and time.time() - began < 20
+
+
+def test_toxicity_prior_has_both_labels_in_each_part():
+    rows = toxicity.prior()
+    assert {(label, part) for _, label, part in rows} == {(k, p) for k in (0, 1) for p in range(toxicity.PARTS)}
+    assert all(bool(toxicity.INSULTS & set(text.split())) == bool(label) for text, label, _ in rows)
