@@ -233,8 +233,9 @@ _PLACES = "__block long, __links array<int>, __pairs array<long>, __held array<l
 
 
 def link_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """docs without their text, with n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum (see the contract of op13)."""
-    others = [c for c in docs.columns if c != text]
+    """docs without their text, with n_a, n_b, n_groups, n_links, groups_sha256, n_best (links whose id pair is the most common one of its B id) and
+    count_sum (how often the id pairs of its links are linked in all documents). Columns of these names are replaced."""
+    others = [c for c in docs.columns if c not in {text, *T.StructType.fromDDL(f"{_COUNTS}, n_best long, count_sum long").names}]
     kept = [T.StructField(c, docs.schema[c].dataType) for c in others]
     shape = T.StructType([*kept, *T.StructType.fromDDL(_COUNTS), *T.StructType.fromDDL(_PLACES)])
     names, told_names = [*others, *T.StructType.fromDDL(_COUNTS).names], shape.names

@@ -811,6 +811,8 @@ def test_alignment_equals_plain_loops(spark, monkeypatch):
         w = want[r["doc_id"]] or ([], [], [], [])
         assert (r["a_ids"], r["b_ids"], [tuple(x) for x in r["links"]], len(r["cuts"])) == (w[0], w[1], w[2], len(w[3]))
     assert align.op13(frame.limit(0), BYTES, PIECES).count() == 0
+    counted = align.link_counts(frame.withColumn("place", F.lit("x")), BYTES, PIECES)
+    assert counted.columns == ["doc_id", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"] and counted.filter("place = 'x'").count() == len(texts)
 
 
 ZLIB = """This software is provided 'as-is', without any express or implied

@@ -72,3 +72,21 @@ def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_pipeline_stages_with_clashing_columns_and_long_texts(spark):
+    """Columns that the operators name themselves, nulls in any column, a text of a million characters: each stage keeps columns and clean rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "een tekst zonder nummer die nergens anders staat", None, None, None), (10**9, "lang woord na woord " * 50_000, "nl", "s", 1), (10**9 + 1, None, None, None, None), (10**9 + 2, "", "nl", "s", 0)], docs.schema)
+    clashes = ["score", "predicted", "held_out", "fingerprint", "component_id", "n_hit", "n_items", "contaminated", "spans", "ids_", "hash", "bits", "part", "label", "features", "place", "start", "end"]
+    docs = docs.unionByName(odd).withColumns({c: F.lit("x") for c in clashes})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DIR)
+        assert kept.columns == docs.columns and kept.filter("score <> 'x' or spans <> 'x' or component_id <> 'x'").count() == 0
+        docs = spark.createDataFrame(kept.collect(), docs.schema)
+        assert docs.filter("doc_id = 1000000000").count() == 1 and docs.filter("doc_id is null").count() == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert last.count() == docs.count() and set(clashes) <= set(last.columns)
+    assert last.filter("doc_id = 1000000000").select("n_tokens").first()[0] > 100_000
