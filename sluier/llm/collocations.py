@@ -31,13 +31,13 @@ from sluier.llm.bpe import _ranges
 from sluier.session import materialise
 
 #: Bytes of text whose windows are one range, about; ranges at most; sampled windows for each range.
-RANGE, MOST_RANGES, SAMPLED = 16 << 20, 1 << 17, 8
+RANGE, MOST_RANGES, SAMPLED = 8 << 20, 1 << 17, 8
 #: Words of a shard: below 2^21, so that three places of different words fit into one number.
 SHARD = 1_500_000
 #: Bytes of text that are cut into words at once, about.
 SLICE = 1 << 20
 #: Strings that are closed at once while an automaton is built, and strings of automata that wait to be united.
-CLOSED, WAITING = 1 << 16, 1 << 20
+CLOSED, WAITING = 1 << 16, 1 << 18
 #: Parts of a language whose best phrases are chosen before those of the language.
 SALTS = 16
 
