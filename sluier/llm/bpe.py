@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluier.llm import workers
+
 #: Chunks whose ids a worker remembers, and transducer moves and neighbour tests that it keeps; beyond, they are made anew.
 #: Some 60 MB for chunks, 90 MB for moves with their states, 40 MB for neighbours.
 MAX_CHUNKS, MAX_MOVES, MAX_PAIRS = 250_000, 600_000, 400_000
@@ -571,6 +573,10 @@ def _tokens(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
+def _turn() -> None:
+    workers.turn("bpe", _coder.cache_clear, _tokens.cache_clear)
+
+
 def encode_texts(texts: list[str | None], path: str, pattern: str = public_tokenizers.PATTERN) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and token ids of texts, see Coder.encode()."""
     return _coder(path, pattern).encode(texts)
@@ -617,6 +623,7 @@ def encode(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _turn()
         for batch in batches:
             yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(_lists(*encode_texts(part, path, pattern)) for part in slices(batch))])
 
@@ -628,6 +635,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _turn()
         for batch in batches:
             yield pa.array(["".join(decode_stream(row.as_py() or [], path)) for row in batch], pa.string())
 
@@ -643,6 +651,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", pattern: str = pu
 
     @F.arrow_udf(ROUND_TRIP)
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _turn()
         for batch in batches:
             parts = [pa.array([], kind)]
             for part in slices(batch):

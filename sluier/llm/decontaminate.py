@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluier.llm import workers
 from sluier.session import materialise
 
 WINDOW = 10
@@ -118,6 +119,7 @@ def _finder(spark: SparkSession, parts: DataFrame, window: int):
 
     @F.arrow_udf(_FOUND)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        workers.turn("decontaminate", _matchers.clear)
         matcher = _matcher(listed, name, window)
         for batch in batches:
             out = []

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluier.llm import workers
 from sluier.session import drop_materialised, materialise
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -68,6 +69,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.arrow_udf("bigint")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        workers.turn("simhash")
         for batch in batches:
             yield pa.array([text_fingerprint(x.as_py(), shingle) for x in batch], pa.int64())
 

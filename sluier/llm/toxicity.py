@@ -16,6 +16,7 @@ the highest counts; repeated rows are scored one by one, and one that is labelle
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,12 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluier.functions.spans import let
+from sluier.llm import workers
+
 #: Labelled rows that are used at most, in expectation.
 MAX_ROWS = 12_000
 TREES, DEPTH = 10, 3
@@ -136,6 +140,7 @@ def features(text: Column, lexicons: list[Lexicon], which: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        workers.turn("toxicity")
         hits = [_Hits(lexicon) for lexicon in lexicons]
         for texts, places in batches:
             yield pa.array([text_features(x.as_py(), hits[k]) for x, k in zip(texts, places.to_pylist(), strict=True)], pa.list_(pa.float64()))
@@ -144,13 +149,13 @@ def features(text: Column, lexicons: list[Lexicon], which: Column) -> Column:
 
 
 def units_of(text: Column) -> Column:
-    """The different words of a text and their beginnings, as _units() makes them."""
+    """The different words of a text and their beginnings, as _units() makes them. The text is cut into words once: a generator evaluates what stands in it several times each time."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
-    def begun(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+    def begun(cut: Column, n: int) -> Column:
+        return F.transform(F.filter(cut, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-    return F.array_distinct(F.concat(words, *map(begun, BEGINNINGS)))
+    return let(words, lambda cut: F.array_distinct(F.concat(cut, *(begun(cut, n) for n in BEGINNINGS))))
 
 
 def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
@@ -189,6 +194,12 @@ def prior() -> list[tuple[str, int, int]]:
     return rows
 
 
+def _prior_rows(spark: SparkSession) -> DataFrame:
+    """The prior as rows, from one literal: rows of Python objects would start Python processes of another kind beside the workers of the features."""
+    rows = F.from_json(F.lit(json.dumps([dict(zip(("text", "label", "part"), row)) for row in prior()])), "array<struct<text string, label int, part int>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(rows))
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
@@ -231,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     rows = rows.select("text", "label", F.pmod(F.shiftright(place, 30), F.lit(PARTS)).cast("int").alias("part")).persist()
     *crossed, whole = learn_lexicons(rows)
-    every = rows.unionByName(docs.sparkSession.createDataFrame(prior(), rows.schema))
+    every = rows.unionByName(_prior_rows(docs.sparkSession))
     table = every.select(F.col("label").cast("double").alias("label"), "part", array_to_vector(features(F.col("text"), crossed, F.col("part"))).alias("__features")).repartition(4).persist()
     gbt = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=7)
     gbt = gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
