@@ -49,7 +49,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select("doc_id", F.explode(column).alias("s")).select("doc_id", "s.start", "s.end", F.col("s.text").alias("original"))
+    return rows.select("doc_id", S.each(column).alias("s")).filter("s is not null").select("doc_id", "s.start", "s.end", F.col("s.text").alias("original"))
 
 
 def n3_drop_subsumed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ FROM d, unnest(range(0, CASE WHEN n <= 2000 THEN 1 ELSE CAST(ceil((n - 2000) / 1
 def n10_merge_window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of five letters and more that begin with a capital, found in each window, back in the text; a word cut by a window's border scores less."""
     windows = N.text_windows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    found = windows.select("doc_id", "offset", F.length("part").alias("n"), F.explode(S.scan(F.col("part"), r"[A-Z][A-Za-z]{4,}")).alias("s"))
+    found = windows.select("doc_id", "offset", F.length("part").alias("n"), S.each(S.scan(F.col("part"), r"[A-Z][A-Za-z]{4,}")).alias("s")).filter("s is not null")
     cut = ((F.col("s.start") == 0) & (F.col("offset") > 0)) | (F.col("s.end") == F.col("n"))
     scored = found.select("doc_id", "offset", "s.start", "s.end", F.lit("org").alias("entity_type"), F.when(cut, 0.5).otherwise(0.9).alias("score"))
     return N.merge_window_spans(scored).select("doc_id", "start", "end", "entity_type")
