@@ -188,30 +188,42 @@ def drop_subsumed(spans: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(spans, lambda o: inside(s, o)))
 
 
+#: Characters before a span that are read first.
+NEAR = 48
+
+
 def expand_name_span(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Left over a form of address or else a row of surname words, right over endings behind apostrophes. Words are read one by one outwards from the span."""
-    # A word with the blanks behind it, or another sign: together they are the whole left side.
-    chunks = F.reverse(F.regexp_extract_all(F.substring(text, F.lit(1), start), F.lit(r"(?sU)['\w]+\.?\s*|."), F.lit(0)))
-    spoken = F.transform(chunks, lambda c: F.struct(F.length(c).alias("n"), F.when(c.rlike(r"(?U)\s$"), F.lower(F.regexp_replace(c, r"(?U)\s+$", ""))).alias("word")))
+
+    def spoken(left: Column) -> Column:
+        # A word with the blanks behind it, or another sign: together they are the whole left side, here from the last of them on.
+        chunks = F.reverse(F.regexp_extract_all(left, F.lit(r"(?sU)['\w]+\.?\s*|."), F.lit(0)))
+        return F.transform(chunks, lambda c: F.struct(F.length(c).alias("n"), F.when(c.rlike(r"(?U)\s$"), F.lower(F.regexp_replace(c, r"(?U)\s+$", ""))).alias("word")))
+
+    known = lambda w: F.coalesce(w["word"].isin(*SURNAME_WORDS), F.lit(False))
 
     def taken(words: Column) -> Column:
         first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
         ends = lambda w: F.coalesce(reduce(or_, (w.endswith(x) for x in SURNAME_WORDS)), F.lit(False))
 
         def step(state: Column, w: Column) -> Column:
-            known = F.coalesce(w["word"].isin(*SURNAME_WORDS), F.lit(False))
-            taken = F.when(~state["on"], state["n"]).when(known, state["n"] + w["n"]).when(ends(w["word"]), 0).otherwise(state["n"])
-            return F.struct(taken.alias("n"), (state["on"] & known).alias("on"))
+            taken = F.when(~state["on"], state["n"]).when(known(w), state["n"] + w["n"]).when(ends(w["word"]), 0).otherwise(state["n"])
+            return F.struct(taken.alias("n"), (state["on"] & known(w)).alias("on"))
 
         # A word that only ends like a surname word spoils the row: the span would grow from inside it.
         row = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step, lambda s: s["n"])
         return F.coalesce(F.when(first["word"].isin(*ADDRESSES), first["n"]).when((first["word"] == ADDRESS_PAIR[1]) & (second["word"] == ADDRESS_PAIR[0]), first["n"] + second["n"]).otherwise(row), F.lit(0))
 
+    # Most often the last characters tell: two words, and one that ends the row. They are read from where a word or sign begins; else the whole left side is.
+    cut = F.regexp_replace(F.substring(text, start - NEAR + 1, F.lit(NEAR)), r"(?U)^['\w]*\.?\s*", "")
+    whole = lambda: S.let(spoken(F.substring(text, F.lit(1), start)), taken)
+    near = S.let(spoken(cut), lambda words: F.when((F.size(words) >= 2) & F.exists(words, lambda w: ~known(w)), taken(words)).otherwise(whole()))
+    before = F.when(start > NEAR, near).otherwise(whole())
     # What follows, cut before each apostrophe; endings go on as long as such a part is nothing but letters behind its apostrophe.
     parts = F.split(F.substring(text, end + 1, F.length(text)), "(?=['’])")
     length = lambda p: F.length(F.regexp_extract(p, r"(?U)^['’][\w-]+", 0))
     ending = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, p: F.struct(F.when(s["on"], s["n"] + length(p)).otherwise(s["n"]).alias("n"), (s["on"] & (length(p) == F.length(p))).alias("on")), lambda s: s["n"])
-    return start - S.let(spoken, taken), end + ending
+    return start - before, end + F.when(F.substring(text, end + 1, F.lit(1)).isin("'", "’"), ending).otherwise(0)
 
 
 NAME = "array<struct<start:int,end:int,text:string,confidence:double>>"
@@ -247,7 +259,7 @@ def supplement_names(names: Column, additions: Column, text: Column) -> Column:
 
     def grown(s: Column) -> Column:
         start, end = expand_name_span(text, s["start"], s["end"])
-        return F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("text"))
+        return S.let(F.struct(start.alias("start"), end.alias("end")), lambda at: F.struct(at["start"], at["end"], F.substring(text, at["start"] + 1, at["end"] - at["start"]).alias("text")))
 
     return coalesce_names(F.transform(merged, grown))
 
@@ -288,7 +300,7 @@ def listed_surfaces(gazetteer: DataFrame) -> Callable[[Column], Column]:
 
 def gazetteer_grams(docs: DataFrame, grams: Column, may: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, start, end, surface) of the n-grams that may be listed. Texts and words stay behind, and the test comes in the same step, before any exchange."""
-    rows = docs.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.start", "g.end", "g.surface")
+    rows = docs.select("doc_id", S.each(grams).alias("g")).filter("g is not null").select("doc_id", "g.start", "g.end", "g.surface")
     return rows.filter(may(F.col("surface")))
 
 
