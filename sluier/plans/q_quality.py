@@ -13,7 +13,7 @@ from sluier.functions.checks import bsn_valid, iban_valid
 from sluier.operators.entity_types import category_of
 from sluier.operators import detect as D
 from sluier.plans.deidentify import deidentify, mappings_of, with_names
-from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold
+from sluier.plans.dossiers import DOSSIER_CTE, GOLD_CTE, dossiers, gold, labelled
 from sluier.plans.q_detect import DETECTED_CTE, SQL_VALID, TYPES_CTE
 from sluier.plans.q_general import _EDIT_CTE, _OUT_CTE, _RARE, TEST_KEY, _keyed_cte, sql_digest
 from sluier.plans.q_review import _BASE as _REVIEW_BASE
@@ -161,9 +161,9 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entity = F.struct("start", "end", "text", F.col("entity_type").alias("type"), category_of(F.col("entity_type")).alias("category"), F.lit("").alias("note"))
-    labels = gold(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    return dossiers(spark, sf_dir).join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"), "entities", F.lit(0).alias("seed"), F.lit("dossier").alias("scenario"), F.lit("normal").alias("difficulty"))
+    entity = lambda x: F.struct(x["start"], x["end"], x["text"], x["entity_type"].alias("type"), category_of(x["entity_type"]).alias("category"), F.lit("").alias("note"))
+    entities = F.array_sort(F.transform("labels", entity)).alias("entities")
+    return labelled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"), entities, F.lit(0).alias("seed"), F.lit("dossier").alias("scenario"), F.lit("normal").alias("difficulty"))
 
 
 def s1_read_labelled_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
